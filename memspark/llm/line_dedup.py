@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_key, materialize
+from .common import id_key
+from .runs import later_in_run
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,54 +30,6 @@ def line_occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def repeats(occurrences: DataFrame) -> DataFrame:
-    """(did, tid, pos) of each line that an earlier document holds.
-
-    The range partitioning is by hash, document and position, so a line that a third of the corpus holds spreads over
-    many partitions, and a partition may begin in the middle of a line's occurrences. Each partition therefore also
-    returns the first document of its first and of its last hash; the least of these by hash, at most two rows a
-    partition, settle what the partition alone can't know.
-    """
-    spread = occurrences.repartitionByRange("h1", "h2", "did", "pos").sortWithinPartitions("h1", "h2", "did", "pos")
-    schema = "did long, tid long, pos int, h1 long, h2 long, first long, open boolean, mark boolean"
-
-    def rows(did, tid, pos, h1, h2, first, opened, mark):
-        kinds = (np.int64, np.int64, np.int32, np.int64, np.int64, np.int64, bool, bool)
-        values = (did, tid, pos, h1, h2, first, opened, np.full(len(did), mark))
-        arrays = [pa.array(np.asarray(x, dtype=k)) for x, k in zip(values, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, names=["did", "tid", "pos", "h1", "h2", "first", "open", "mark"])
-
-    def stream(batches):
-        last = None  # the hash that the batch before ended in, its first document, and whether it began the partition
-        for b in batches:
-            if not b.num_rows:
-                continue
-            h1, h2, did, tid, pos = (np.asarray(b.column(i)) for i in range(5))
-            new = np.ones(len(h1), dtype=bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            goes_on = last is not None and last[:2] == (h1[0], h2[0])
-            starts = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
-            first, opened = did[starts], np.zeros(len(h1), dtype=bool)
-            if goes_on:
-                first = np.where(starts == 0, last[2], first)
-            if last is None or goes_on and last[3]:
-                opened = starts == 0
-            marks = [(h1[0], h2[0], first[0])] if last is None else []
-            last = (h1[-1], h2[-1], first[-1], bool(opened[-1]))
-            out = np.flatnonzero(opened | (did != first))
-            yield rows(did[out], tid[out], pos[out], h1[out], h2[out], first[out], opened[out], False)
-            for a, b2, f in marks:
-                yield rows([f], [0], [0], [a], [b2], [f], [False], True)
-        if last is not None:
-            yield rows([last[2]], [0], [0], [last[0]], [last[1]], [last[2]], [False], True)
-
-    streamed = materialize(spread.mapInArrow(stream, schema), "repeats")
-    marks = streamed.where("mark").groupBy("h1", "h2").agg(F.min("first").alias("least"))
-    closed = streamed.where("not mark and not open").select("did", "tid", "pos")
-    opened = streamed.where("open").join(F.broadcast(marks), ["h1", "h2"], "left")  # two rows a partition at most
-    return closed.unionByName(opened.where(F.col("did") != F.least("first", "least")).select("did", "tid", "pos"))
-
-
 @F.pandas_udf(T.BinaryType())
 def packed(positions: pd.Series) -> pd.Series:
     """Keep bitmap of a document: a bit a line up to the last dropped one, 1 for kept, packed and deflated."""
@@ -107,7 +60,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     one doc_id count as one document. An empty table gives no bitmaps.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    drops = repeats(line_occurrences(texts, min_chars))
+    drops = later_in_run(line_occurrences(texts, min_chars), ["h1", "h2"], "did", ["pos", "tid"], "repeats")
     return drops.groupBy("did", "tid").agg(packed(F.collect_set("pos")).alias("bitmap"))
 
 
