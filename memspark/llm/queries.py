@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, url_cascade, warc, weak_rules
-from .common import table
+from . import decontam, line_dedup, ngram_join, packing, url_cascade, warc, weak_rules
+from .common import table, tokenizer_path
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -22,6 +22,10 @@ def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -38,12 +42,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_cascade": op2_url_cascade,
+    "op3_ngram_join": op3_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
