@@ -86,18 +86,22 @@ class WarcReader(DataSourceReader):
         disk, _ = filesystem(self.path)
         rows: list[tuple] = []
         size = 0
-        with disk.open_input_file(partition.path) as f:
-            for headers, start, length, window in records(f):
-                named = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
-                if any(named[c] not in values for c, values in self.wanted.items()):
-                    continue
-                payload = window.get(start, length) if self.payload else None
-                n = named.pop("payload_bytes")
-                rows.append((*named.values(), int(n) if n else length, payload))
-                size += len(payload or b"") + 200
-                if size > 8 << 20:
-                    yield batch(rows)
-                    rows, size = [], 0
+        stream = Stream(disk, partition.path)
+        while (headers := stream.headers()) is not None:
+            length = int(headers["content-length"])
+            named = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
+            if any(named[c] not in values for c, values in self.wanted.items()):
+                stream.skip(length + len(END))
+                continue
+            payload = stream.take(length) if self.payload else stream.skip(length)
+            stream.skip(len(END))
+            n = named.pop("payload_bytes")
+            rows.append((*named.values(), int(n) if n else length, payload))
+            size += len(payload or b"") + 200
+            if size > 8 << 20:
+                yield batch(rows)
+                rows, size = [], 0
+        stream.close()
         if rows:
             yield batch(rows)
 
@@ -110,43 +114,62 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 BLOCK = 1 << 18
 
 
-class Window:
-    """Reads a file through one block of bytes at a time."""
-
-    def __init__(self, f):
-        self.f, self.size, self.at, self.data = f, f.size(), 0, b""
-
-    def get(self, start: int, n: int) -> bytes:
-        n = min(n, self.size - start)
-        if start < self.at or start + n > self.at + len(self.data):
-            self.at, self.data = start, self.f.read_at(min(max(n, BLOCK), self.size - start), start)
-        return self.data[start - self.at : start - self.at + n]
-
-
-def records(f) -> Iterator[tuple[dict[str, str], int, int, Window]]:
-    """(headers by lower-case name, place of the payload, its length, window) of each record; payloads aren't read."""
-    window, at = Window(f), 0
-    while at < window.size:
-        headers, body = header_block(window, at)
-        length = int(headers["content-length"])
-        if body + length + len(END) > window.size:
-            raise ValueError(f"the record at {at} is cut short")
-        yield headers, body, length, window
-        at = body + length + len(END)
-
-
-def header_block(window: Window, at: int) -> tuple[dict[str, str], int]:
-    n = 2048
-    while True:
-        chunk = window.get(at, n)
-        k = chunk.find(b"\r\n\r\n")
-        if k >= 0 or n >= window.size - at:
-            break
-        n *= 8
-    if k < 0 or not chunk.startswith(b"WARC/1."):
-        raise ValueError(f"no record begins at {at}")
-    lines = chunk[:k].decode("utf-8").split("\r\n")[1:]
-    return {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}, at + k + 4
+class Stream:
+    """Reads an archive forward through a buffer. Skipped bytes are sought over, or in a compressed archive inflated
+    and dropped a block at a time."""
+
+    def __init__(self, disk, path: str):
+        self.packed = path.endswith(".gz")
+        self.f = disk.open_input_stream(path, compression="gzip") if self.packed else disk.open_input_file(path)
+        self.data, self.at = b"", 0  # what is read, and how much of it is used
+
+    def fill(self, n: int) -> bool:
+        """Hold n unused bytes if the archive has them."""
+        if len(self.data) - self.at < n:
+            parts = [self.data[self.at :]]
+            held = len(parts[0])
+            while held < n:
+                parts.append(self.f.read(max(BLOCK, n - held)))
+                held += len(parts[-1])
+                if not parts[-1]:
+                    break
+            self.data, self.at = b"".join(parts), 0
+        return len(self.data) - self.at >= n
+
+    def take(self, n: int) -> bytes:
+        if not self.fill(n):
+            raise ValueError("a record is cut short")
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+    def skip(self, n: int) -> None:
+        held = min(n, len(self.data) - self.at)
+        self.at, n = self.at + held, n - held
+        if n and not self.packed:
+            self.f.seek(self.f.tell() + n)
+            n = 0
+        while n:
+            self.take(min(n, BLOCK))
+            n -= min(n, BLOCK)
+
+    def headers(self) -> dict[str, str] | None:
+        """Headers of the record that begins here, by lower-case name; None at the archive's end."""
+        n = 2048
+        if not self.fill(1):
+            return None
+        while True:
+            more = self.fill(n)
+            k = self.data.find(b"\r\n\r\n", self.at)
+            if k >= 0 or not more:
+                break
+            n *= 8
+        if k < 0 or not self.data.startswith(b"WARC/1.", self.at):
+            raise ValueError("no record begins where one should")
+        lines = self.take(k + 4 - self.at)[:-4].decode("utf-8").split("\r\n")[1:]
+        return {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+
+    def close(self) -> None:
+        self.f.close()
 
 
 def header_value(column):
@@ -180,7 +203,7 @@ def with_roles(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
-    """Write a WARC/1.1 record for each row of pages(page_id, url, html), UTF-8, into the files of folder `path`.
+    """Write a WARC/1.1 record for each row of pages(page_id, url, html), UTF-8, into gzip files of folder `path`.
 
     The sink is Spark's text writer with the records' end as its line separator, so archives go wherever Spark writes,
     and a lost or repeated task leaves no half-written file. Of records with equal payloads of min_bytes or more, those
@@ -206,7 +229,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
         body,
     )
     sink = rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", 100_000)
-    sink.text(path)
+    sink.text(path, compression="gzip")
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
