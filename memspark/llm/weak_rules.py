@@ -178,3 +178,8 @@ def judge(docs: DataFrame, threshold: float = 0.5, carry: bool = False) -> DataF
         posterior.alias("posterior"),
         F.col("__ms_votes").alias("votes"),
     )
+
+
+def kept(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs, all columns, without the rows that `judge` rejects."""
+    return judge(docs, threshold, carry=True).where("__ms_kept").drop("__ms_kept")
