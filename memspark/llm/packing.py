@@ -13,6 +13,7 @@ import os
 import zlib
 from dataclasses import dataclass
 from itertools import filterfalse, islice
+from struct import pack
 from unicodedata import normalize
 
 import numpy as np
@@ -32,7 +33,8 @@ class Encoder:
 
     The tokenizer drops white space, and no token, character composition or special token spans any, so a text's ids
     are its words' ids joined. Likewise it parts letters from a full stop or comma after them and lower-cases, so such
-    forms of a word share its ids. Words recur all the time; the first CACHE_WORDS forms are kept.
+    forms of a word share its ids. Words recur all the time; forms are kept, and beyond twice
+    CACHE_WORDS the first CACHE_WORDS of them.
     """
 
     def __init__(self, path: str):
@@ -45,19 +47,19 @@ class Encoder:
 
     def raw(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > 2 * CACHE_WORDS:
             self.known = dict(islice(self.known.items(), CACHE_WORDS))
         known, new = self.known, set()
         for ws in split:
             new.update(filterfalse(known.__contains__, ws))
-        forms = {w: stem(w) for w in new}
-        stems = list({c for c, _ in forms.values()} - known.keys())
+        forms = [(w, *stem(w)) for w in new]
+        stems = list({c for _, c, _ in forms if c not in known})
         known.update(zip(stems, self.raw(stems), strict=True))
-        for w, (c, end) in forms.items():
+        for w, c, end in forms:
             known[w] = known[c] + self.ends[end] if end else known[c]
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
@@ -97,7 +99,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         encoder, end = Encoder.of(path), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for at, some in chunks(texts, 2_000_000):
+            for at, some in chunks(texts, 200_000):
                 rows, found = [], []
                 for i, ids in enumerate(encoder.encode(some)):
                     ids += end
