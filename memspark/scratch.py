@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under spark.checkpoint.dir and read it back. Where that is unset and Spark runs in this one
-    process, as in tests, a temporary folder takes its place; on a cluster an unset folder is an error."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir. Where that is unset and Spark runs in this one process, as in tests, a
+    temporary folder takes its place; on a cluster an unset folder is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='memspark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into a new folder and read it back: lineage ends here, what is read twice is computed once,
+    and the files survive lost executors."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -41,7 +41,7 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "contradicted").otherwise("observed")
     return e.select(
         tagged("evt", "event_id").alias("id"), F.lit("EVT").alias("kind"), F.lit("local.default").alias("ns"), F.lit("user").alias("scope"),
-        status.alias("status"), tagged("user", "user_id").alias("actor"), F.col("event_type").alias("action"), F.col("ts").alias("t0"), "value", "props", "event_id",
+        status.alias("status"), F.lit(1.0).alias("conf"), tagged("user", "user_id").alias("actor"), F.col("event_type").alias("action"), F.col("ts").alias("t0"), "value", "props", "event_id",
     )
 
 
