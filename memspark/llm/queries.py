@@ -39,7 +39,8 @@ def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("longest_match", "longest_match_at")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,3 +119,37 @@ select page_id, payload_bytes, payload_digest,
        case when owner <> page_id then owner end as refers_to
 from q left join g on payload_digest = digest and payload_bytes >= 1000
 """
+
+WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE_SQL["op3_ngram_join"] = f"""
+with recursive d as (select doc_id, {WORDS} as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as shingle
+      from (select doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n, md5(string_agg(shingle, '|' order by shingle)) as print from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where shared >= 0.8 * (x.n + y.n - shared) - 1e-6),
+w(id, other) as (select a, b from l union select w.id, l.b from w join l on w.other = l.a),
+c as (select id, least(id, min(other)) as class_id from w group by id),
+k as (select a as id, count(*) as links from l group by a)
+select d.doc_id, coalesce(class_id, d.doc_id) as class_id,
+       coalesce(min(d.doc_id) over (partition by print), d.doc_id) as copy_id, coalesce(links, 0) as n_links
+from d join n on d.doc_id = n.doc_id left join c on d.doc_id = c.id left join k on d.doc_id = k.id
+union all select doc_id, doc_id, doc_id, 0 from d where len(ws) = 0
+"""
+
+ORACLE_SQL["op6_decontamination"] = f"""
+with d as (select doc_id, {WORDS} as ws from documents), b as (select item_id, {WORDS} as ws from benchmark),
+v as (select item_id, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as w, least(10, len(ws)) as n
+      from (select item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i from b where len(ws) > 0)),
+sizes as (select distinct n from v),
+t as (select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as w
+      from (select doc_id, ws, n, unnest(range(1, greatest(0, len(ws) - n + 1) + 1)) as i from d, sizes)),
+m as (select distinct doc_id, i, t.n, item_id from t join v on t.w = v.w and t.n = v.n),
+h as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from m) group by doc_id),
+x as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from m group by doc_id)
+select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join x using (doc_id)
+"""
