@@ -67,3 +67,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = drawn[0].unionByName(drawn[1])  # 2 * limit rows of two numbers at most
     return texts.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns called c0, c1, ..., so that an operator's own names clash with none, and their new names
+    by the old. Rename back with toDF(*docs.columns)."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import numbered
+
 #: ASCII letters and digits make words, lower-cased, and so does all beyond ASCII; the rest of ASCII parts them.
 WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -159,22 +161,23 @@ def test_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 FIELDS = "n_words long, spans array<long>, items array<string>, longest long, longest_at long"
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, carry: bool = False, block_bytes: int = 64 << 20) -> DataFrame:
-    """docs with n_words, spans (merged, flat [begin, end) pairs of words hit), items (ids as text), longest, longest_at.
+def matches(
+    docs: DataFrame, items: DataFrame, window: int = 10, columns: tuple[str, ...] = ("doc_id",), text: str = "text", block_bytes: int = 64 << 20
+) -> DataFrame:
+    """The given columns of docs with n_words, spans (merged, flat [begin, end) pairs of words hit), items (ids as text),
+    longest, longest_at (length and first word of the longest verbatim match).
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z lower-cased. A window is `window` consecutive words of an
     item, or a whole shorter item. Items without words and null texts match nothing; a text without words has n_words 0
     and nothing else. Rows are independent, so repeated rows each get their result. Empty tables give empty results,
-    and an empty test set leaves all documents clean. carry keeps the columns of docs, else doc_id alone is kept; the
-    new ones then have the prefix `__ms_`.
+    and an empty test set leaves all documents clean.
 
     One pass over the texts without a shuffle: an Arrow batch is a shard with its own suffix array. The test set is
-    broadcast in blocks of block_bytes; with more than one block, a document's spans are merged by a pass over the texts for each.
+    broadcast in blocks of block_bytes; with more than one block, there is a pass over the texts for each.
     """
-    names = list(docs.columns) if carry else ["doc_id"]
-    source = docs if carry else docs.select("doc_id", "text")
+    source = docs.select(*columns, *([text] if text not in columns else []))
     plain = source.schema.fields
-    fields = [T.StructField(f"__ms_{f.name}", f.dataType) for f in T._parse_datatype_string(FIELDS).fields]
+    fields = T._parse_datatype_string(FIELDS).fields
     added = [f.name for f in fields]
     kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64())
     for number, block in enumerate(test_blocks(items, block_bytes)):
@@ -182,7 +185,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, carry: bool = F
         def run(batches, tests=TestSet.of(block, window), own=source.columns[: len(plain)], again=number > 0):
             labels = [item for item, _ in tests.items]
             for b in batches:
-                found = [(n, spans, [labels[k] for k in ks], *rest) for n, spans, ks, *rest in match_shard(b.column("text").to_pylist(), tests)]
+                shard = match_shard(b.column(text).to_pylist(), tests)
+                found = [(n, spans, [labels[k] for k in ks], *rest) for n, spans, ks, *rest in shard]
                 if again:
                     old = zip(*(b.column(c).to_pylist() for c in added), strict=True)
                     found = [joined(x, y) for x, y in zip(old, found, strict=True)]
@@ -190,7 +194,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, carry: bool = F
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], *arrays], names=[*own, *added])
 
         source = source.mapInArrow(run, T.StructType([*plain, *fields]))
-    return source.select(*names, *added)
+    return source.select(*columns, *added)
 
 
 def joined(x: tuple, y: tuple) -> tuple:
@@ -202,24 +206,22 @@ def joined(x: tuple, y: tuple) -> tuple:
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest and longest_at of each document."""
     found = matches(docs, items, window)
-    spans = F.col("__ms_spans")
-    hit = F.aggregate(
-        F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x
-    )
-    ids = F.array_sort(F.array_distinct("__ms_items"))
+    edges = F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
+    ids = F.array_sort(F.array_distinct("items"))
     return found.select(
         "doc_id",
-        F.col("__ms_n_words").alias("n_words"),
-        hit.alias("n_hit"),
+        "n_words",
+        F.aggregate(edges, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (F.size(spans) > 0).alias("contaminated"),
-        F.col("__ms_longest").alias("longest_match"),
-        F.col("__ms_longest_at").alias("longest_match_at"),
+        (F.size("spans") > 0).alias("contaminated"),
+        F.col("longest").alias("longest_match"),
+        F.col("longest_at").alias("longest_match_at"),
     )
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """docs, all columns, without those that hold a window of an item."""
-    found = matches(docs, items, window, carry=True)
-    return found.where(F.size("__ms_spans") == 0).select(*docs.columns)
+    source, names = numbered(docs)
+    found = matches(source, items, window, tuple(names.values()), names["text"])
+    return found.where(F.size("spans") == 0).select(*names.values()).toDF(*docs.columns)

@@ -3,6 +3,7 @@ streamed, and what comes back is a compressed keep bitmap for each document inst
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_key
+from .common import id_key, numbered
 from .runs import later_in_run
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -64,11 +65,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return drops.groupBy("did", "tid").agg(packed(F.collect_set("pos")).alias("bitmap"))
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs and their `__ms_bitmap`, null for those that keep all lines."""
-    keyed = docs.withColumns({"__ms_did": id_key(), "__ms_tid": F.xxhash64(F.coalesce("text", F.lit("")))})
-    right = bitmaps.toDF("__ms_did", "__ms_tid", "__ms_bitmap")
-    return keyed.join(right, ["__ms_did", "__ms_tid"], "left").select(*docs.columns, "__ms_bitmap")
+def with_bitmaps(source: DataFrame, bitmaps: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """source and, last, the bitmap of each row, null for those that keep all lines."""
+    keyed = source.withColumns({"did": id_key(doc_id), "tid": F.xxhash64(F.coalesce(text, F.lit("")))})
+    return keyed.join(bitmaps, ["did", "tid"], "left").select(*source.columns, "bitmap")
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
@@ -81,34 +81,33 @@ def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
 
 def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """docs with all columns, their texts without the lines that earlier documents hold."""
+    source, names = numbered(docs)
+    text = names["text"]
 
     def apply(batches):
         for b in batches:
-            i = b.schema.get_field_index("text")
-            texts = [kept_text(x.as_py(), m.as_py())[2] for x, m in zip(b.column("text"), b.column("__ms_bitmap"), strict=True)]
+            i = b.schema.get_field_index(text)
+            rows = zip(b.column(text).to_pylist(), b.column("bitmap").to_pylist(), strict=True)
+            texts = [t if m is None else kept_text(t, m)[2] for t, m in rows]
             columns = [pa.array(texts, b.schema.field(i).type) if k == i else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return with_bitmaps(docs, keep_bitmaps(docs, min_chars)).mapInArrow(apply, docs.schema)
+    joined = with_bitmaps(source, keep_bitmaps(docs, min_chars), names["doc_id"], text)
+    return joined.mapInArrow(apply, source.schema).toDF(*docs.columns)
 
 
 def line_digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of each document, from its keep bitmap."""
-    import hashlib
 
     def digest(batches):
         for b in batches:
-            found = [kept_text(x.as_py(), m.as_py()) for x, m in zip(b.column("text"), b.column("__ms_bitmap"), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array([x[0] for x in found], pa.int64()),
-                    pa.array([x[1] for x in found], pa.int64()),
-                    pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in found], pa.string()),
-                ],
-                names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
-            )
+            found = [kept_text(t, m) for t, m in zip(b.column("text").to_pylist(), b.column("bitmap").to_pylist(), strict=True)]
+            hashes = [hashlib.sha256(x[2].encode("utf-8", "surrogatepass")).hexdigest() for x in found]
+            counts = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
+            arrays = [b.column("doc_id"), *counts, pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     slim = docs.select("doc_id", "text")
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_lines long, n_dropped long, kept_sha256 string").fields])
-    return with_bitmaps(slim, keep_bitmaps(slim, min_chars)).mapInArrow(digest, schema)
+    fields = T._parse_datatype_string("n_lines long, n_dropped long, kept_sha256 string").fields
+    joined = with_bitmaps(slim, keep_bitmaps(slim, min_chars), "doc_id", "text")
+    return joined.mapInArrow(digest, T.StructType([docs.schema["doc_id"], *fields]))

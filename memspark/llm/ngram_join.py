@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_key, materialize
+from .common import NULL_ID, id_key, materialize, numbered
 from .decontam import words_of
 from .runs import later_in_run
 
@@ -291,7 +291,7 @@ def links_of(docs: DataFrame, members: DataFrame, threshold: float, width: int)
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs, all columns, with the least doc_id of each class alone; of its repeated rows one stays."""
     found = near_duplicates(docs, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(id_key().alias("__ms_did")).distinct()
-    keyed = docs.withColumn("__ms_did", id_key())
-    known = keyed.join(kept, "__ms_did", "left_semi")
-    return known.dropDuplicates(["__ms_did"]).select(*docs.columns)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(id_key().alias("did")).distinct()
+    source, names = numbered(docs)
+    known = source.withColumn("did", id_key(names["doc_id"])).join(kept, "did", "left_semi")
+    return known.dropDuplicates(["did"]).select(*names.values()).toDF(*docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, numbered
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -105,7 +105,7 @@ def fit_votes(
     """
     rules = patterns.shape[1]
     prior = np.empty((1 + rules, rules, 3))
-    prior[0], prior[1:] = (false_alarms / 2, 0.15 - false_alarms / 2, 0.85), (0.1, 0.15, 0.75)
+    prior[0], prior[1:] = (false_alarms / 2, 0.15 - false_alarms / 2, 0.85), (0.05, 0.1, 0.85)
     for r in range(rules):
         prior[1 + r, r] = (0.9, 0.08, 0.02)
     share_prior = np.array([0.8, *[0.2 / rules] * rules])
@@ -131,55 +131,54 @@ def fit_votes(
     return good, share, conditional
 
 
-def judge(docs: DataFrame, threshold: float = 0.5, carry: bool = False) -> DataFrame:
-    """Judge every document by its whole text.
-
-    Returns doc_id, the base counts (long), base_failed, kept, posterior (double) and votes (string, a digit a rule:
-    0 against, 1 abstains, 2 for); with carry, the columns of docs followed by `__ms_kept` alone. One row out for each
-    row in, repeated rows and null ids included; a null or empty text has no words and fails. An empty table gives an
-    empty table.
-
-    Votes are counted over all documents; only the counts by vote pattern, at most 3 ** len(RULES) rows however many
-    documents there are, come to the driver.
-    """
-    names = list(docs.columns) if carry else ["doc_id"]
-    source = docs if carry else docs.select("doc_id", "text")
-    added = [T.StructField(f"__ms_{c}", T.LongType()) for c in BASE] + [T.StructField("__ms_votes", T.StringType())]
-    schema = T.StructType([*[docs.schema[c] for c in names], *added])
+def measured(source: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """The columns `names` of source with the base counts and the votes of its column `text`, written once."""
+    added = [*[T.StructField(c, T.LongType()) for c in BASE], T.StructField("votes", T.StringType())]
+    schema = T.StructType([*[source.schema[c] for c in names], *added])
 
     def run(batches):
         for batch in batches:
-            found = [measure(x.as_py()) for x in batch.column("text")]
+            found = [measure(x) for x in batch.column(text).to_pylist()]
             columns = [batch.column(c) for c in names]
             columns += [pa.array([x[0][i] for x in found], pa.int64()) for i in range(len(BASE))]
             columns.append(pa.array(["".join("012"[v + 1] for v in x[1]) for x in found], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in added]])
 
-    measured = materialize(source.mapInArrow(run, schema), "votes")
-    bound = 3 ** len(RULES)
-    rows = measured.groupBy("__ms_votes").count().orderBy("__ms_votes").limit(bound).collect()
+    return materialize(source.mapInArrow(run, schema), "votes")
+
+
+def judged(found: DataFrame, threshold: float) -> DataFrame:
+    """What `measured` returns with base_failed, kept and posterior.
+
+    Votes are counted over all documents; only the counts by vote pattern, at most 3 ** len(RULES) rows however many
+    documents there are, come to the driver.
+    """
+    rows = found.groupBy("votes").count().orderBy("votes").limit(3 ** len(RULES)).collect()
     patterns = np.array([[int(c) - 1 for c in r[0]] for r in rows], dtype=int).reshape(len(rows), len(RULES))
     good, _, _ = fit_votes(patterns, np.array([r[1] for r in rows], dtype=float))
     pairs = [(r[0], float(p)) for r, p in zip(rows, good, strict=True)]
     posterior = F.lit(0.0)
     if pairs:
         known = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(p)) for k, p in pairs))
-        posterior = known[F.col("__ms_votes")]
-    n, repeats = F.col("__ms_n_words"), F.col("__ms_n_repeat_words")
+        posterior = known[F.col("votes")]
+    n, repeats = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < 50) | (100 * repeats > 50 * n)
-    kept = ~failed & (posterior >= threshold)
-    if carry:
-        return measured.select(*names, kept.alias("__ms_kept"))
-    return measured.select(
-        "doc_id",
-        *[F.col(f"__ms_{c}").alias(c) for c in BASE],
-        failed.alias("base_failed"),
-        kept.alias("kept"),
-        posterior.alias("posterior"),
-        F.col("__ms_votes").alias("votes"),
-    )
+    return found.select("*", failed.alias("base_failed"), (~failed & (posterior >= threshold)).alias("kept"), posterior.alias("posterior"))
+
+
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Judge every document by its whole text.
+
+    Returns doc_id, the base counts (long), base_failed, kept, posterior (double) and votes (string, a digit a rule:
+    0 against, 1 abstains, 2 for). One row out for each row in, repeated rows and null ids included; a null or empty
+    text has no words and fails. An empty table gives an empty table.
+    """
+    found = judged(measured(docs.select("doc_id", "text"), "text", ["doc_id"]), threshold)
+    return found.select("doc_id", *BASE, "base_failed", "kept", "posterior", "votes")
 
 
 def kept(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs, all columns, without the rows that `judge` rejects."""
-    return judge(docs, threshold, carry=True).where("__ms_kept").drop("__ms_kept")
+    source, names = numbered(docs)
+    found = judged(measured(source, names["text"], list(names.values())), threshold)
+    return found.where("kept").select(*names.values()).toDF(*docs.columns)
