@@ -20,7 +20,7 @@ def later_in_run(rows: DataFrame, keys: list[str], value: str, rest: list[str] =
     and of its last key; the least of these by key, at most two rows a partition, settles what it can't know alone.
     """
     by = [*keys, value, *rest]
-    slim = rows.select(*by)
+    slim = materialize(rows.select(*by), f"{name}-rows")  # range partitioning samples its input before it reads it
     spread = slim.repartitionByRange(*by).sortWithinPartitions(*by)
     fields = [*slim.schema.fields, slim.schema[value]]
     names = [*by, "__ms_first", "__ms_open", "__ms_mark"]
