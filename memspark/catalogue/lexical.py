@@ -19,7 +19,6 @@ PHRASE = "the ha of onthe thing"
 REPEATED = "the the ha of onthe"
 WANTED = "('the'),('ha'),('of'),('onthe'),('thing')"
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9_:-]+')"
-CONTENT = F.col("content")
 
 
 @query(f"""
@@ -27,7 +26,7 @@ with w(t) as (values {WANTED}), d as (select doc_id, list_distinct({TOKENS}) as
 s as (select doc_id, count(*) / 5.0::double as score from d, w where list_contains(ts, t) group by doc_id)
 select 'raw:' || doc_id as id, round(score, 9) as score from s order by score desc, id limit 10""")
 def lexical_overlap_topk(spark, d):
-    return lexical.top(lexical.overlap(tables.raw_records(spark, d), PHRASE, CONTENT), 10).select("id", "score")
+    return lexical.top(lexical.overlap(tables.raw_records(spark, d), PHRASE, F.col("content")), 10).select("id", "score")
 
 
 @query(f"""
@@ -35,7 +34,7 @@ with w(t) as (values {WANTED}), d as (select doc_id, list_distinct({TOKENS}) as
 select 'raw:' || doc_id as id, cast(count(*) as integer) as score from d, w where list_contains(ts, t)
 group by doc_id order by score desc, id limit 20""")
 def raw_overlap_search(spark, d):
-    return lexical.top(lexical.shared_tokens(tables.raw_records(spark, d), PHRASE, CONTENT), 20, digits=None).select("id", "score")
+    return lexical.top(lexical.shared_tokens(tables.raw_records(spark, d), PHRASE, F.col("content")), 20, digits=None).select("id", "score")
 
 
 def _bm25(words: str) -> str:
@@ -52,18 +51,18 @@ select 'raw:' || doc_id as id, round(score, 6) as score from r order by score de
 
 @query(_bm25(WANTED))
 def bm25_topk(spark, d):
-    return lexical.top(lexical.bm25(tables.raw_records(spark, d), PHRASE, CONTENT), 10, digits=6).select("id", "score")
+    return lexical.top(lexical.bm25(tables.raw_records(spark, d), PHRASE, F.col("content")), 10, digits=6).select("id", "score")
 
 
 @query(_bm25("('the'),('the'),('ha'),('of'),('onthe')"))
 def bm25_repeated_terms(spark, d):
-    return lexical.top(lexical.bm25(tables.raw_records(spark, d), REPEATED, CONTENT), 10, digits=6).select("id", "score")
+    return lexical.top(lexical.bm25(tables.raw_records(spark, d), REPEATED, F.col("content")), 10, digits=6).select("id", "score")
 
 
 @query(_bm25(WANTED).replace("from r order", "from r join documents using (doc_id) where lang = 'en' order"))
 def bm25_filtered_candidates(spark, d):
     """Statistics of all documents, candidates of one namespace."""
-    rows = lexical.bm25(tables.raw_records(spark, d), PHRASE, CONTENT, candidates=F.col("ns") == "en")
+    rows = lexical.bm25(tables.raw_records(spark, d), PHRASE, F.col("content"), candidates=F.col("ns") == "en")
     return lexical.top(rows, 10, digits=6).select("id", "score")
 
 
@@ -73,7 +72,7 @@ c as (select doc_id, t, count(*) as tf from e group by doc_id, t), z as (select
 w(t) as (values {WANTED}), p as (select doc_id, sum(tf) as dot from c join w using (t) group by doc_id)
 select 'raw:' || doc_id as id, round(dot / (norm * sqrt(5.0)), 9) as score from p join z using (doc_id) order by score desc, id limit 10""")
 def bag_cosine_topk(spark, d):
-    return lexical.top(lexical.bag_cosine(tables.raw_records(spark, d), PHRASE, CONTENT), 10).select("id", "score")
+    return lexical.top(lexical.bag_cosine(tables.raw_records(spark, d), PHRASE, F.col("content")), 10).select("id", "score")
 
 
 LEG_QUERY = "onthe ha art"
@@ -86,7 +85,7 @@ h as (select doc_id, lang, (contains(t, 'onthe')::int + contains(t, 'ha')::int +
 @query(LEG_SQL + """
 select 'raw:' || doc_id as id, hits, round((phrase + hits * 0.22)::double, 9) as score from h where hits > 0 order by score desc, id limit 25""")
 def substring_sql_leg(spark, d):
-    rows = lexical.substring_leg(tables.raw_records(spark, d), LEG_QUERY, CONTENT).where("hits > 0")
+    rows = lexical.substring_leg(tables.raw_records(spark, d), LEG_QUERY, F.col("content")).where("hits > 0")
     return lexical.top(rows, 25).select("id", "hits", "score")
 
 
@@ -127,8 +126,8 @@ ch as (select d.doc_id, coalesce(s, 0.0) as lexical, least(1.0, len(all_ts) / 10
 def _channels(spark, d):
     return tables.raw_records(spark, d).select(
         "id",
-        tx.overlap(PHRASE, CONTENT).alias("lexical"),
-        F.least(F.lit(1.0), F.size(tx.tokens(CONTENT)) / 1000).alias("semantic"),
+        tx.overlap(PHRASE, F.col("content")).alias("lexical"),
+        F.least(F.lit(1.0), F.size(tx.tokens(F.col("content"))) / 1000).alias("semantic"),
         F.when(F.col("source_ref") == "src1", 1.0).otherwise(0.0).alias("graph"),
         F.lit(0.0).alias("temporal"),
     )

@@ -17,14 +17,13 @@ query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
 ANCHOR = datetime(2024, 1, 20, 12)
-AT = F.lit(ANCHOR)
 
 
 @query("""
 select 'evt:' || event_id as id, round(exp(-abs(epoch_us(ts) - epoch_us(timestamp '2024-01-20 12:00:00')) / 8.64e10 / 30), 9) as score
 from events order by score desc, id limit 20""")
 def temporal_decay_topk(spark, d):
-    return lexical.top(tables.event_records(spark, d).withColumn("score", tm.decay(F.col("t0"), AT)), 20).select("id", "score")
+    return lexical.top(tables.event_records(spark, d).withColumn("score", tm.decay(F.col("t0"), F.lit(ANCHOR))), 20).select("id", "score")
 
 
 @query("""

@@ -22,10 +22,11 @@ def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None
     return top(scored, k)
 
 
-def approximate(vectors: DataFrame, query: list[float], k: int, tables: int = 8, bits: int = 6, seed: int = 11) -> DataFrame:
+def approximate(vectors: DataFrame, query: list[float], k: int, tables: int = 20, bits: int = 4, seed: int = 11) -> DataFrame:
     """Like `nearest`, over the vectors that share a random-hyperplane bucket with the query in some table.
 
-    Buckets are column expressions: the scan is filtered, nothing is shuffled but the k best of each task.
+    A vector at cosine c of the query shares a table with it with probability (1 - acos(c) / pi) ** bits; the defaults
+    find those at 0.35 with a recall of 0.95. Buckets are column expressions: the scan is filtered, nothing is shuffled but the k best of each task.
     """
     planes = np.random.default_rng(seed).normal(size=(tables, bits, len(query)))
     hit = F.lit(False)
