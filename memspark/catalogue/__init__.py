@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical", "vectors", "temporal", "state", "graph", "knowledge", "records", "evaluation", "retrieval", "extended")
+MODULES = ("lexical", "vectors", "temporal", "state", "graph", "knowledge", "records", "evaluation", "retrieval", "extended", "fidelity")
 
 
 def collected() -> tuple[dict, dict]:

@@ -196,3 +196,24 @@ def product_versions(spark, d):
     made = n.where("n_regionkey < 4").select(tables.tagged("nation", "n_nationkey").alias("product"), F.md5(F.when(F.col("n_regionkey") == 2, F.concat("n_name", F.lit("*"))).otherwise(F.col("n_name"))).alias("fingerprint"))
     new = spark.range(1).select(F.lit("nation:1000").alias("product"), F.md5(F.lit("new")).alias("fingerprint"))
     return graph.new_versions(made.unionByName(new), stored)
+
+
+@query(NODES + """,
+r as (select src, case predicate when 'supplies' then (case when shipments > 1 then 'supports' else 'precedes' end) else predicate end as predicate, shipments from supplies union all select src, predicate, 1 from places)
+select case predicate when 'supports' then 'epistemic' when 'precedes' then 'temporal' else 'semantic' end as family, count(*) as edges, sum(shipments)::bigint as records from r group by 1""")
+def predicate_families(spark, d):
+    s = tables.supply_edges(spark, d).select("src", F.when(F.col("shipments") > 1, "supports").otherwise("precedes").alias("predicate"), "shipments")
+    r = s.unionByName(tables.place_edges(spark, d).select("src", "predicate", F.lit(1).cast("long").alias("shipments")))
+    return r.groupBy(graph.family(F.col("predicate")).alias("family")).agg(F.count(F.lit(1)).alias("edges"), F.sum("shipments").alias("records"))
+
+
+@query(NODES + " select predicate, count(*) as edges from edges where predicate = 'located_in' group by predicate")
+def admitted_edges(spark, d):
+    return graph.admitted(_edges(spark, d)).groupBy("predicate").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query(NODES + """,
+p as (select 'out' as direction, predicate, dst as other from edges where src = 'nation:3' union all select 'in', predicate, src from edges where dst = 'nation:3')
+select direction, predicate, other, label from p left join nodes on other = nodes.id""")
+def node_page(spark, d):
+    return graph.node_page(tables.nodes(spark, d), _edges(spark, d), "nation:3")

@@ -119,3 +119,39 @@ def new_versions(products: DataFrame, stored: DataFrame) -> DataFrame:
     joined = products.join(last, "product", "left")
     same = F.col("fingerprint").eqNullSafe(F.col("f"))
     return joined.select("product", "fingerprint", F.when(same, F.col("v")).otherwise(F.coalesce("v", F.lit(0)) + 1).alias("version"), (~same).alias("written"))
+
+
+# Predicates by family, and those that traversal may follow.
+FAMILIES = {
+    "epistemic": ("supports", "contradicts", "refutes", "disputes"),
+    "causal": ("caused_by", "causes", "motivated_by", "because", "reason", "resulted_in", "leads_to"),
+    "temporal": ("precedes", "follows", "before", "after", "then", "occurred_at", "valid_during", "supersedes"),
+    "provenance": ("provenance", "evidence", "excerpt_of", "contributed", "produced"),
+    "facet": ("who", "what", "when", "where", "why", "how"),
+}
+ADMITTED = (
+    *FAMILIES["epistemic"], *FAMILIES["causal"], *FAMILIES["temporal"],
+    "affiliated_with", "attended", "collaborates_with", "connects", "depends_on", "governs", "has", "knows", "leads", "likes", "located_in", "manages",
+    "member_of", "mentions", "mentored", "mentors", "met", "next_scale_node", "owns", "references", "related_to", "reports_to", "requires",
+    "reviews_with", "uses", "uses_domain", "went_to", "works_at", "works_with",
+)
+
+
+def family(predicate: Column) -> Column:
+    """The family of a predicate, `semantic` for those in none."""
+    name = F.lower(F.trim(F.coalesce(predicate, F.lit(""))))
+    out = F.when(name.isin(*FAMILIES["epistemic"]), "epistemic")
+    for kind in ("causal", "temporal", "provenance", "facet"):
+        out = out.when(name.isin(*FAMILIES[kind]), kind)
+    return out.otherwise("semantic")
+
+
+def admitted(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("predicate").isin(*ADMITTED))
+
+
+def node_page(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """(direction, predicate, other, label) of one node's edges."""
+    out = edges.where(F.col("src") == node).select(F.lit("out").alias("direction"), "predicate", F.col("dst").alias("other"))
+    into = edges.where(F.col("dst") == node).select(F.lit("in").alias("direction"), "predicate", F.col("src").alias("other"))
+    return out.unionByName(into).join(nodes.select(F.col("id").alias("other"), "label"), "other", "left").select("direction", "predicate", "other", "label")

@@ -126,3 +126,16 @@ def resolve_flags(defaults: dict, stored: dict | None = None, environment: dict
             raise ValueError(f"unknown flags: {sorted(unknown)}")
         out |= {k: type(defaults[k])(v) if not isinstance(defaults[k], bool) else str(v).lower() in ("1", "true", "yes", "on") for k, v in layer.items()}
     return out
+
+
+def ancestry(ns: str) -> list[str]:
+    """A dotted namespace and those above it."""
+    parts = ns.split(".")
+    return [".".join(parts[: i + 1]) for i in range(len(parts))]
+
+
+def expand_symbols(text: str, symbols: list[tuple[str, str, str, float]], ns: str) -> str:
+    """text with each whole token that is a symbol replaced by its expansion: symbols (ns, symbol, expansion,
+    ambiguity) of the namespace's ancestry that are ambiguous by at most 0.34."""
+    known = {s: e for n, s, e, a in symbols if s and e and a <= 0.34 and n in ancestry(ns)}
+    return " ".join(known.get(t, t) for t in text.split())
