@@ -123,11 +123,11 @@ def new_versions(products: DataFrame, stored: DataFrame) -> DataFrame:
 
 # Predicates by family, and those that traversal may follow.
 FAMILIES = {
-    "epistemic": ("supports", "contradicts", "refutes", "disputes"),
+    "epistemic": ("supports", "contradicts", "corrects", "refutes", "corroborates", "derived_from", "unverified_by"),
     "causal": ("caused_by", "causes", "motivated_by", "because", "reason", "resulted_in", "leads_to"),
     "temporal": ("precedes", "follows", "before", "after", "then", "occurred_at", "valid_during", "supersedes"),
     "provenance": ("provenance", "evidence", "excerpt_of", "contributed", "produced"),
-    "facet": ("who", "what", "when", "where", "why", "how"),
+    "facet": ("who", "what", "when", "where", "why", "how", "then"),
 }
 ADMITTED = (
     *FAMILIES["epistemic"], *FAMILIES["causal"], *FAMILIES["temporal"],
