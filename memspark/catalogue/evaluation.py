@@ -177,3 +177,12 @@ def lossless_round_trip(spark, d):
     b = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
     back = ev.restored(ev.lossless(b))
     return back.select(F.col("id").alias("item_id"), F.sha2("content", 256).alias("sha256"), "intact")
+
+
+@query("""
+with c as (select user_id, event_id, sha256('{"id":' || event_id || ',"kind":"' || event_type || '"}') as h from events)
+select user_id as run, count(*) as cases, sha256(string_agg(h, '' order by h)) as bundle from c group by user_id""")
+def bundle_hashes(spark, d):
+    """A run's bundle hash from the hashes of its cases' canonical JSON."""
+    e = tables.table(spark, d, "events")
+    return ev.bundles(e.select(F.col("user_id").alias("run"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("case")))

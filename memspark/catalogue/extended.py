@@ -199,3 +199,10 @@ def strict_ratchet(spark, d):
     e = tables.table(spark, d, "events")
     mean = lambda rows: rows.groupBy(F.col("event_type").alias("category")).agg(F.round(F.avg("value"), 4).alias("metric"))
     return mu.ratchet(mean(e.where("ts >= timestamp_ntz '2024-01-15'")), mean(e.where("ts < timestamp_ntz '2024-01-15'")), 0.5, 5)
+
+
+@query("""
+select 'evt:' || event_id as id, 'user:' || user_id as who, event_type as what, strftime(ts, '%Y-%m-%d') as "when", json_extract_string(props, '$.k') as "how" from events""")
+def event_facets(spark, d):
+    """Who, what, when and how of each event: what it says itself, else its fields."""
+    return pr.facets(tables.event_records(spark, d))

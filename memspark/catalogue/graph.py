@@ -217,3 +217,11 @@ p as (select 'out' as direction, predicate, dst as other from edges where src =
 select direction, predicate, other, label from p left join nodes on other = nodes.id""")
 def node_page(spark, d):
     return graph.node_page(tables.nodes(spark, d), _edges(spark, d), "nation:3")
+
+
+@query(NODES + """,
+d as (select id, count_if(o)::bigint as o, count_if(not o)::bigint as i from (select src as id, true as o from edges union all select dst, false from edges) group by id)
+select 'edge' as motif, sum(o)::bigint as n from d union all select 'path', sum(o * i)::bigint from d
+union all select 'fork', sum(o * (o - 1) // 2)::bigint from d union all select 'join', sum(i * (i - 1) // 2)::bigint from d""")
+def graph_motifs(spark, d):
+    return graph.motifs(_edges(spark, d))

@@ -146,3 +146,14 @@ def provenance_completeness(spark, d):
 @query(CHAIN + " select coalesce(defect, 'none') as defect, count(*) as links from j group by 1")
 def provenance_defects(spark, d):
     return _chains(spark, d).groupBy(F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count(F.lit(1)).alias("links"))
+
+
+@query("""
+with m as (select c_custkey as node, c_custkey // 2 as target from customer where c_custkey > 0)
+select case when target in (select o_custkey from orders where o_orderstatus = 'F') and node in (select o_custkey from orders where o_orderstatus = 'F') then 'accepted' else 'conflict' end as state, count(*) as merges from m group by 1""")
+def merge_revalidation(spark, d):
+    """Accepted merges whose nodes are still there stay accepted; the others are in conflict."""
+    c = tables.table(spark, d, "customer").where("c_custkey > 0")
+    merges = c.select(F.col("c_custkey").alias("node"), F.floor(F.col("c_custkey") / 2).cast("long").alias("into"))
+    nodes = tables.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
+    return kn.revalidated(merges, nodes).groupBy("state").agg(F.count(F.lit(1)).alias("merges"))

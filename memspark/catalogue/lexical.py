@@ -225,3 +225,20 @@ select id, score, cast(rank as integer) as rank, case when rank <= 10 then 'sele
 def candidate_split(spark, d):
     scored = fusion.weighted(_channels(spark, d)).withColumn("score", F.round("score", 9))
     return fusion.split(scored.select("id", "score"), budget=10, trace_limit=40)
+
+
+@query(_bm25(WANTED).split("\nselect 'raw:'")[0] + """,
+x as (select max(score) as most from r),
+o as (select doc_id, list_distinct(ts) as us from d),
+c as (select o.doc_id, greatest((list_contains(us, 'the')::int + list_contains(us, 'ha')::int + list_contains(us, 'of')::int + list_contains(us, 'onthe')::int + list_contains(us, 'thing')::int) / 5.0::double,
+             coalesce(score, 0) / greatest(most, 1)) as lexical from o left join r using (doc_id), x)
+select 'raw:' || doc_id as id, round(0.40 * lexical + 0.10 * 0.2, 6)::double as score from c order by score desc, id limit 20""")
+def channel_scores(spark, d):
+    """The four-channel score: the lexical channel is the better of overlap and BM25 over the largest BM25 (1 at least)."""
+    records = tables.raw_records(spark, d)
+    scored = lexical.bm25(records, PHRASE, F.col("content")).select("id", F.col("score").alias("bm25"))
+    most = scored.agg(F.greatest(F.max("bm25"), F.lit(1.0)).alias("most"))
+    rows = records.join(scored, "id", "left").join(F.broadcast(most))  # one row
+    lex = F.greatest(tx.overlap(PHRASE, F.col("content")), F.coalesce("bm25", F.lit(0.0)) / F.col("most"))
+    channels = rows.select("id", lex.alias("lexical"), F.lit(0.0).alias("semantic"), F.lit(0.0).alias("graph"), tm.presence(F.lit(None)).alias("temporal"))
+    return lexical.top(fusion.weighted(channels), 20, digits=6).select("id", "score")

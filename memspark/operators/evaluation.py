@@ -165,3 +165,9 @@ def restored(packed: DataFrame) -> DataFrame:
 
     kind = packed.schema["id"].dataType.simpleString()
     return packed.mapInArrow(run, f"id {kind}, content string, intact boolean")
+
+
+def bundles(cases: DataFrame) -> DataFrame:
+    """(run, cases, bundle) of cases(run, case): SHA-256 over the sorted hashes of a run's canonical cases."""
+    hashes = cases.select("run", F.sha2("case", 256).alias("h"))
+    return hashes.groupBy("run").agg(F.count(F.lit(1)).alias("cases"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("bundle"))

@@ -155,3 +155,13 @@ def node_page(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     out = edges.where(F.col("src") == node).select(F.lit("out").alias("direction"), "predicate", F.col("dst").alias("other"))
     into = edges.where(F.col("dst") == node).select(F.lit("in").alias("direction"), "predicate", F.col("src").alias("other"))
     return out.unionByName(into).join(nodes.select(F.col("id").alias("other"), "label"), "other", "left").select("direction", "predicate", "other", "label")
+
+
+def motifs(edges: DataFrame) -> DataFrame:
+    """(motif, n): edges, two-edge paths, forks and joins. Pairs are counted from each node's degrees, never listed."""
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    d = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    totals = d.agg(
+        F.sum("o").alias("edge"), F.sum(F.col("o") * F.col("i")).alias("path"), F.sum(F.expr("o * (o - 1) div 2")).alias("fork"), F.sum(F.expr("i * (i - 1) div 2")).alias("join")
+    )
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(m).alias("motif"), F.coalesce(m, F.lit(0)).alias("n")) for m in ("edge", "path", "fork", "join")])))

@@ -137,3 +137,12 @@ def completeness(links: DataFrame) -> DataFrame:
     each = links.groupBy("id").agg(F.bool_and(F.col("defect").isNull()).alias("ok"))
     totals = each.agg(F.count_if("ok").alias("complete"), F.count(F.lit(1)).alias("total"))
     return totals.withColumn("share", F.round(F.when(F.col("total") == 0, 1.0).otherwise(F.col("complete") / F.col("total")), 6))
+
+
+def revalidated(merges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """merges(node, into) with `state`: accepted while both nodes(id) exist, else conflict."""
+    known = nodes.select("id").distinct().withColumn("there", F.lit(True))
+    for end in ("node", "into"):
+        merges = merges.join(known.toDF(end, f"__{end}"), end, "left")
+    both = F.coalesce(F.col("__node") & F.col("__into"), F.lit(False))
+    return merges.select("node", "into", F.when(both, "accepted").otherwise("conflict").alias("state"))

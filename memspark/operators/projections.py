@@ -70,3 +70,16 @@ def unpacked(packs: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, by: str, *order: Column) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def facets(events: DataFrame) -> DataFrame:
+    """events(id, actor, action, t0, props JSON) with who, what, when and how; a facet that props names wins over the
+    field that stands for it."""
+    said = lambda name: F.get_json_object("props", f"$.{name}")
+    return events.select(
+        "id",
+        F.coalesce(said("who"), "actor").alias("who"),
+        F.coalesce(said("what"), "action").alias("what"),
+        F.coalesce(said("when"), F.date_format("t0", "yyyy-MM-dd")).alias("when"),
+        F.coalesce(said("how"), said("k")).alias("how"),
+    )
