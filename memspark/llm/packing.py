@@ -224,7 +224,7 @@ def ranked(found: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, salts: int = 64) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pack all documents into sequences of at most `capacity` ids.
 
     Returns a row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are the
@@ -234,6 +234,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, sa
     found = materialize(pieces(docs, path, capacity, end_id), "pieces")
     counts = {r[0]: r[1] for r in found.groupBy("length").count().limit(capacity + 1).collect()}
     table = places(plan(counts, capacity))
+    salts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # as fine as the cluster deals rows
     span = 1 << 40
     keys = table[:, 0] * span + table[:, 1]
     names = found.columns
