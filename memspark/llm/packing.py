@@ -12,7 +12,7 @@ import bisect
 import os
 import zlib
 from dataclasses import dataclass
-from itertools import filterfalse, islice
+from itertools import islice
 from struct import pack
 from unicodedata import normalize
 
@@ -42,26 +42,47 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.word_ends = frozenset(i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>"))
         self.known: dict[bytes, bytes] = {}
         self.ends = dict(zip((b".", b","), self.raw([b".", b","]), strict=True))
 
     def raw(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        return [pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+        """Ids of words. Lower-case ASCII letters are what the model itself reads; other letters go joined by spaces,
+        and are told apart by the tokens that end words; the rest goes one by one."""
+        found: dict[bytes, list[int]] = {w: [t.id for t in self.model.tokenize(w.decode())] for w in words if w.isalpha() and w.islower()}
+        rest = [w for w in words if w not in found]
+        letters = [w for w in rest if letters_alone(w)]
+        for k in range(0, len(letters), 200):
+            some, parts, part = letters[k : k + 200], [], []
+            for i in self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids:
+                part.append(i)
+                if i in self.word_ends:
+                    parts.append(part)
+                    part = []
+            if len(parts) == len(some) and not part:
+                found.update(zip(some, parts, strict=True))
+        rest = [w for w in rest if w not in found]
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in rest], add_special_tokens=False)
+        found.update((w, e.ids) for w, e in zip(rest, encoded, strict=True))
+        return [pack(f"<{len(ids)}I", *ids) for ids in map(found.__getitem__, words)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.known) > 2 * CACHE_WORDS:
             self.known = dict(islice(self.known.items(), CACHE_WORDS))
-        known, new = self.known, set()
-        for ws in split:
-            new.update(filterfalse(known.__contains__, ws))
-        forms = [(w, *stem(w)) for w in new]
+        known = self.known
+        parts = [list(map(known.get, ws)) for ws in split]
+        holes = [(ws, ps, [k for k, p in enumerate(ps) if p is None]) for ws, ps in zip(split, parts, strict=True) if None in ps]
+        forms = [(w, *stem(w)) for w in {ws[k] for ws, _, ks in holes for k in ks}]
         stems = list({c for _, c, _ in forms if c not in known})
         known.update(zip(stems, self.raw(stems), strict=True))
         for w, c, end in forms:
             known[w] = known[c] + self.ends[end] if end else known[c]
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for ws, ps, ks in holes:
+            for k in ks:
+                ps[k] = known[ws[k]]
+        return [b"".join(ps) for ps in parts]
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -75,9 +96,13 @@ def stem(word: bytes) -> tuple[bytes, bytes]:
     core, end = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
     if core.isalpha():  # ASCII letters alone
         return core.lower(), end
-    if end and normalize("NFC", core.decode("utf-8", "surrogatepass")).lower().isalpha():
-        return core, end
-    return word, b""
+    return (core, end) if end and letters_alone(core) else (word, b"")
+
+
+def letters_alone(word: bytes) -> bool:
+    """Whether a word is letters alone, also once it is composed and lower-cased."""
+    text = word.decode("utf-8", "surrogatepass")
+    return text.isalpha() and normalize("NFC", text).lower().isalpha()
 
 
 def chunks(texts: list[str], size: int):
