@@ -34,9 +34,8 @@ def _only(words: Column, term: str) -> Column:
     return F.filter(words, lambda w: w == term)
 
 
-def matched_terms(query: str, content: Column) -> Column:
-    """struct(tf of each distinct query token, length): what BM25 and cosine need of a text, without exploding it."""
-    words = tx.tokens(content)
+def matched_terms(query: str, words: Column) -> Column:
+    """struct(tf of each distinct query token, length): what BM25 needs of a text's tokens, without exploding them."""
     terms = sorted(set(tx.query_tokens(query)))
     counts = [F.size(_only(words, t)).alias(f"t{i}") for i, t in enumerate(terms)]
     return F.struct(F.size(words).alias("n"), *counts)
@@ -51,7 +50,8 @@ def bm25(records: DataFrame, query: str, content: Column, candidates: Column | N
     """
     repeats = Counter(tx.query_tokens(query))
     terms = sorted(repeats)
-    counted = records.withColumn("__m", matched_terms(query, content))
+    # The tokens are a projection of their own, so that they are made once for all the terms.
+    counted = records.withColumn("__w", tx.tokens(content)).withColumn("__m", matched_terms(query, F.col("__w"))).drop("__w")
     stats = counted.where("__m.n > 0").agg(
         F.count(F.lit(1)).cast("double").alias("__n"),
         F.avg("__m.n").alias("__avg"),
@@ -72,7 +72,7 @@ def bag_cosine(records: DataFrame, query: str, content: Column) -> DataFrame:
     """Cosine of token counts."""
     wanted = Counter(tx.query_tokens(query))
     size = sum(c * c for c in wanted.values()) ** 0.5
-    words = tx.tokens(content)
+    records, words = records.withColumn("__w", tx.tokens(content)), F.col("__w")
     terms = sorted(wanted)
     product = sum((F.size(_only(words, t)) * float(wanted[t]) for t in terms), F.lit(0.0))
     ordered = F.array_sort(words)
@@ -87,7 +87,7 @@ def bag_cosine(records: DataFrame, query: str, content: Column) -> DataFrame:
         ),
         lambda a: a["s"],
     )
-    return records.withColumn("__p", product).where("__p > 0").withColumn("score", F.col("__p") / (F.sqrt(squares) * size)).drop("__p")
+    return records.withColumn("__p", product).where("__p > 0").withColumn("score", F.col("__p") / (F.sqrt(squares) * size)).drop("__p", "__w")
 
 
 def substring_leg(records: DataFrame, query: str, content: Column) -> DataFrame:
