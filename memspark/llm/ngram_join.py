@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_key, materialize, numbered
@@ -70,23 +70,33 @@ def prefix_depth(threshold: float, target: float, depth: int = DEPTH) -> int:
     return depth
 
 
+#: A document is its id and a 128-bit hash of its text: null ids and ids with several texts are told apart.
+KEY = ["did", "t1", "t2"]
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    return [id_key(doc_id).alias("did"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """did, f1, f2 (fingerprint of the shingle set), n (its size), sig; a row a document, n is 0 without words."""
+    """did, t1, t2 (hash of the text), f1, f2 (fingerprint of the shingle set), n (its size), sig; a row a document, n is
+    0 without words."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for did, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text in b.column(3).to_pylist():
                 found = shingles(text, width)
                 if len(found):
-                    rows.append((did, *fingerprint(found), len(found), signature(found)))
+                    rows.append((*fingerprint(found), len(found), signature(found)))
                 else:
-                    rows.append((did, 0, 0, 0, b""))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    rows.append((0, 0, 0, b""))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["did", "f1", "f2", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *arrays], names=[*KEY, "f1", "f2", "n", "sig"])
 
-    return docs.select(id_key().alias("did"), "text").mapInArrow(run, "did long, f1 long, f2 long, n long, sig binary")
+    kinds = "did long, t1 long, t2 long, f1 long, f2 long, n long, sig binary"
+    return docs.select(*row_key(), "text").mapInArrow(run, kinds)
 
 
 def forest(texts: DataFrame, depth: int) -> DataFrame:
@@ -221,10 +231,23 @@ def near_duplicates(
     not pairs. Candidates connected by stars are verified all against all, in blocks of bounded size, each pair of
     blocks a task of its own; what tasks return is counts and the pairs that connect, never all links.
     """
+    kind = docs.schema["doc_id"].dataType
+    as_id = lambda c: F.when(c != NULL_ID, c).cast(kind)
+    return classes(docs, threshold, width, target, block_shingles, block_texts).select(
+        as_id(F.col("did")).alias("doc_id"),
+        as_id(F.coalesce("class.did", "did")).alias("class_id"),
+        as_id(F.coalesce("rep.did", "did")).alias("copy_id"),
+        F.coalesce("total", F.lit(0)).alias("n_links"),
+    )
+
+
+def classes(docs: DataFrame, threshold: float, width: int, target: float, block_shingles: int, block_texts: int) -> DataFrame:
+    """did, t1, t2 of each row of docs; rep and class, the least such key with its shingles and in its class, and total,
+    its links; these are null without words."""
     profiled = materialize(profiles(docs.select("doc_id", "text"), width), "profiles")
     worded = profiled.where("n > 0")
     owners = worded.groupBy("f1", "f2").agg(
-        F.min("did").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")
+        F.min(F.struct(*KEY)).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")
     )
     texts = materialize(owners, "texts")
     depth = prefix_depth(threshold, target)
@@ -247,21 +270,13 @@ def near_duplicates(
     least = nodes.groupBy("root").agg(F.min("rep").alias("class"))
     total = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("total")
     nodes = nodes.join(least, "root").select("f1", "f2", "rep", "class", total)
-    kind = docs.schema["doc_id"].dataType
-    as_id = lambda c: F.when(c != NULL_ID, c).cast(kind)
-    joined = profiled.select("did", "f1", "f2").join(nodes, ["f1", "f2"], "left")
-    return joined.select(
-        as_id(F.col("did")).alias("doc_id"),
-        as_id(F.coalesce("class", "did")).alias("class_id"),
-        as_id(F.coalesce("rep", "did")).alias("copy_id"),
-        F.coalesce("total", F.lit(0)).alias("n_links"),
-    )
+    return profiled.select(*KEY, "f1", "f2").join(nodes, ["f1", "f2"], "left").drop("f1", "f2")
 
 
 def links_of(docs: DataFrame, members: DataFrame, threshold: float, width: int) -> DataFrame:
     """What `verified` returns for every pair of blocks of members(root, id, f2, rep, copies, blocks, block)."""
-    texts = docs.select(id_key().alias("rep"), "text")
-    joined = texts.join(members.select("rep", "root", "id", "f2", "copies", "blocks", "block"), "rep")
+    texts = docs.select(*row_key(), "text")
+    joined = texts.join(members.select("rep.*", "root", "id", "f2", "copies", "blocks", "block"), KEY)
 
     def run(batches):
         for b in batches:
@@ -288,10 +303,21 @@ def links_of(docs: DataFrame, members: DataFrame, threshold: float, width: int)
     return dealt.groupBy("root", "bi", "bj").applyInArrow(verified(threshold), "a long, b long, links long")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, with the least doc_id of each class alone; of its repeated rows one stays."""
-    found = near_duplicates(docs, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(id_key().alias("did")).distinct()
+def one_of_each(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    width: int = 5,
+    target: float = 0.999,
+    block_shingles: int = 500_000,
+    block_texts: int = 1_000,
+) -> DataFrame:
+    """docs, all columns, with one document of each class alone, one of least doc_id; of its repeated rows one stays.
+
+    Documents are told apart by doc_id and text, so null ids, or one id with unrelated texts, lose no class. Without
+    words a text is a class of its own."""
+    found = classes(docs, threshold, width, target, block_shingles, block_texts)
+    kept = found.where(F.col("class").isNull() | (F.col("class") == F.struct(*KEY))).select(*KEY).distinct()
     source, names = numbered(docs)
-    known = source.withColumn("did", id_key(names["doc_id"])).join(kept, "did", "left_semi")
-    return known.dropDuplicates(["did"]).select(*names.values()).toDF(*docs.columns)
+    did, t1, t2 = row_key(names["doc_id"], names["text"])
+    known = source.withColumns({"did": did, "t1": t1, "t2": t2}).join(kept, KEY, "left_semi")
+    return known.dropDuplicates(KEY).select(*names.values()).toDF(*docs.columns)

@@ -178,6 +178,18 @@ def test_near_duplicates_edges(edges, nothing):
     assert sorted(r.doc_id for r in kept.where("text like 'One shared%'").collect()) == [4]
 
 
+def test_one_of_each_class_whatever_the_ids(spark):
+    base = [" ".join(f"t{k}x{i * (k + 3) % 91}" for i in range(80)) for k in range(6)]
+    near = [f"{b} end" for b in base]
+    rows = [(None, base[0]), (None, base[1]), (None, near[1]), (None, base[2]), (None, base[2]), (None, "!"), (None, "?")]
+    rows += [(7, base[3]), (7, base[4]), (7, near[4]), (3, near[0]), (9, base[5]), (9, base[5]), (9, None), (9, None)]
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(docs(spark, rows)).collect())
+    assert sum(kept.values()) == len(kept) == 9
+    assert set(kept) >= {(None, base[2]), (None, "!"), (None, "?"), (7, base[3]), (3, near[0]), (9, base[5]), (9, None)}
+    assert (None, base[0]) not in kept and ((None, base[1]) in kept) != ((None, near[1]) in kept)
+    assert ((7, base[4]) in kept) != ((7, near[4]) in kept)
+
+
 def test_prefixes_shorten_until_the_recall():
     depth = ngram_join.prefix_depth(0.8, 0.999)
     assert ngram_join.recall(0.8, depth) >= 0.999 > ngram_join.recall(0.8, depth + 1)
