@@ -365,6 +365,26 @@ def test_html_cases():
         html_main.gather(html_main.parse(broken))
 
 
+NAMED = {
+    "<div class='page no-sidebar'><main><p>kept</p></main></div>": "kept",
+    "<div class='sidebar'><main><p>kept</p></main><p>no</p></div>": "kept",
+    "<div id=search><div class='ad'>x</div><article><p>kept</p></article></div>": "kept",
+    "<div class='menu-open with-header'><p>kept</p></div>": "kept",
+    "<div class='widget'><div role=\"main\" class='search'><p>kept</p></div></div>": "kept",
+    "<article><section id='related-work'><p>a</p></section><p class='notice'>b</p><div class='social'>c</div><p id=search>d</p><div class='ads'>x</div></article>": "a b c d",
+    "<main><p class=notice>a</p><div class='share'>x</div></main>": "a",
+    "<main><article class='no-comments'><p>a</p></article><div class='sidebar'>x</div></main>": "a",
+    "<article><p>a</p></article><div class='related'><article><p>teaser</p></article></div>": "a",
+    "<div><p>the text of this page</p></div><div class='related'><article><p>teaser</p></article></div>": "the text of this page teaser",
+    "<div class='page-header'>x</div><div id='ad-12'>x</div><p>a</p>": "a",
+}
+
+
+def test_names_drop_no_article():
+    for body, text in NAMED.items():
+        assert html_main.gather(html_main.parse(page(body))) == text, body
+
+
 def test_templates_recur_on_their_host(spark):
     rows = [(i, f"http://h.com/{i}", page(f"<div><div>site line</div></div><div><p>own text {i}</p><p>shared words</p></div>")) for i in range(9)]
     rows += [(20 + i, "http://g.com/", page("<div><p>copy of a page</p></div>")) for i in range(5)]
