@@ -399,6 +399,19 @@ def test_templates_recur_on_their_host(spark):
     assert html_main.main_text(pages.limit(0)).collect() == []
 
 
+def test_templates_take_a_share_of_the_host(spark):
+    own = lambda i: f"<p>headline {i}, of this page alone, and some more of its own</p>"
+    quote, block = "<div><span>quoted text</span></div>", "<div><div>first half of it,</div><div>second half of it</div></div>"
+    rows = [(i, "http://h.com/", page(own(i) + (quote if i < 3 else "") + "<div>site line</div>")) for i in range(20)]
+    rows += [(30 + i, "http://b.com/", page(f"<p>day {i}</p>{block}")) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (200_000, 0):
+        found = {r.page_id: r.text for r in html_main.main_text(pages, broadcast_rows=limit).collect()}
+        assert found[1] == "headline 1, of this page alone, and some more of its own quoted text"
+        assert found[9] == "headline 9, of this page alone, and some more of its own"
+        assert found[31] == "day 1 first half of it, second half of it"
+
+
 def test_html_on_the_tables(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
