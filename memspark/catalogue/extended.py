@@ -101,8 +101,8 @@ def source_selector(spark, d):
 def same_event_groups(spark, d):
     """A user's purchases and clicks as evidence for a count: those of one day that share a token are one event."""
     e = tables.event_records(spark, d).where(F.col("action").isin("purchase", "click"))
-    rows = e.select(F.col("actor").alias("question"), F.col("event_id").alias("id"), F.col("t0").cast("timestamp").alias("at"), F.date_format("t0", "yyyy-MM-dd").alias("day"), F.lit(None).cast("int").alias("ordinal"), F.array("action").alias("tokens"))
-    return se.same_events(rows)
+    rows = e.select(F.col("actor").alias("question"), F.col("event_id").alias("id"), F.date_format("t0", "yyyy-MM-dd").alias("day"), F.col("action").alias("token"))
+    return se.same_day_events(rows)
 
 
 @query("""

@@ -75,8 +75,9 @@ def same(day, ordinal, tokens: set, member: tuple, likeness: float, anchors: int
 
 
 def same_events(rows: DataFrame, likeness: float = 0.72, anchors: int = 2) -> DataFrame:
-    """rows(question, id, at, day, ordinal, tokens) with `event`, the least id of the group. A question's rows are a
-    retriever's list, so a group is bounded."""
+    """rows(question, id, at, day, ordinal, tokens) with `event`, the least id of the group. For rows that a retriever
+    has cut at a limit a question: each question is one group in one task, quadratic in its rows. Whole logs go to
+    same_day_events."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("at", "ascending"), ("id", "ascending")])
@@ -89,3 +90,12 @@ def same_events(rows: DataFrame, likeness: float = 0.72, anchors: int = 2) -> Da
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return rows.select("question", "id", "at", "day", "ordinal", "tokens").groupBy("question").applyInArrow(run, f"question {kinds['question']}, id {kinds['id']}, event {kinds['id']}")
+
+
+def same_day_events(rows: DataFrame) -> DataFrame:
+    """rows(question, id, day, token) with `event`: what same_events gives for rows of one token and no ordinal. Those of
+    a question, day and token are one event, named by its least id; a row without a day is its own."""
+    least = rows.where("day is not null").groupBy("question", "day", "token").agg(F.min("id").alias("least"))
+    r, e = rows.alias("r"), least.alias("e")
+    same_key = F.col("r.question").eqNullSafe(F.col("e.question")) & (F.col("r.day") == F.col("e.day")) & (F.col("r.token") == F.col("e.token"))
+    return r.join(e, same_key, "left").select("r.question", "r.id", F.coalesce("e.least", "r.id").alias("event"))

@@ -32,6 +32,20 @@ def test_events_group_in_order_of_time(spark):
         assert {r.id: r.event for r in se.same_events(shuffled).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
 
 
+def test_day_events_are_as_in_order_of_time(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["p", "q", None]), i, draw.choice(["d1", "d2", None]), draw.choice("ab")) for i in range(80)]
+    df = spark.createDataFrame(rows, "question string, id long, day string, token string")
+    old = se.same_events(df.withColumns({"at": -F.col("id"), "ordinal": F.lit(None).cast("int"), "tokens": F.array("token")}))
+    assert sorted(map(str, se.same_day_events(df).collect())) == sorted(map(str, old.collect()))
+
+
+def test_same_event_groups_holds_no_log_in_a_task(spark, data):
+    from memspark.catalogue.extended import same_event_groups
+
+    assert "InArrow" not in same_event_groups(spark, data)._jdf.queryExecution().toString()
+
+
 def test_soft_delete_refuses_and_repeats(spark):
     stored = spark.createDataFrame([("a", "n", "s", 1, "asserted"), ("b", "n", "s", 2, "asserted")], "id string, ns string, scope string, generation int, status string")
     target = lambda *rows: spark.createDataFrame(rows, "id string, ns string, scope string, generation int")
