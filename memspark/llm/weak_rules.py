@@ -3,7 +3,7 @@ votes on good and on bad documents, and the posterior probability of "good" repl
 
 from __future__ import annotations
 
-import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,17 @@ SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 DIGITS = bytes(range(48, 58))
-
-RULES = ("symbols", "repeats", "dup_lines", "case", "exclaim", "word_length", "variety", "letters")
+SYMBOL_WORD = re.compile(rb"[^\x20\x09-\x0D#*$%&|<>]*[#*$%&|<>][^\x20\x09-\x0D]*")
+ENDS = (".", "!", "?", ":", ";", '"', "\u201d", "\u00bb", "\u2026", "\u3002")
+STOPS = (b".", b"!", b"?", "\u2026".encode(), "\u3002".encode())
+
+#: The rules, by the way of going bad that they look for; each way is looked for by several.
+KINDS = {
+    "clutter": ("symbols", "symbol_words", "line_ends", "stops"),
+    "repetition": ("repeats", "dup_lines", "variety"),
+    "shape": ("case", "exclaim", "word_length", "letters"),
+}
+RULES = tuple(rule for rules in KINDS.values() for rule in rules)
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -75,46 +84,55 @@ def measure(text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
 
     mean = chars / n
     kinds = len(set(words)) / min(n, 200)  # long texts repeat words, and that isn't held against them
+    ended = sum(line.rstrip(SPACE).endswith(ENDS) for line in lines) / len(lines)
+    stops = sum(w.endswith(STOPS) for w in words) / n
     return base, (
         vote(symbols / n, 0.01, 0.1),
+        vote(len(SYMBOL_WORD.findall(raw)) / n if symbols else 0.0, 0.02, 0.2),
+        1 if ended >= 0.8 else -1 if ended < 0.5 else 0,
+        1 if 0.02 <= stops <= 0.25 else -1 if stops < 0.005 or stops > 0.6 else 0,
         vote(repeats / n, 0.25, 0.4),
         vote(dup_lines / len(lines), 0.35, 0.6) if len(lines) > 1 else 0,
+        1 if kinds >= 0.5 else -1 if kinds < 0.3 else 0,
         vote(upper / max(1, upper + lower), 0.15, 0.4),
         vote(exclaims / n, 0.02, 0.15),
         1 if 3 <= mean <= 10 else -1 if mean < 2 or mean > 16 else 0,
-        1 if kinds >= 0.5 else -1 if kinds < 0.3 else 0,
         vote(digits / max(1, chars), 0.2, 0.5),
     )
 
 
+def prior_votes() -> np.ndarray:
+    """P(vote -1, 0, 1 | class) by [class, rule, vote] before any document is seen; "good" is the first class."""
+    prior = np.empty((1 + len(KINDS), len(RULES), 3))
+    prior[0], prior[1:] = (0.01, 0.12, 0.87), (0.02, 0.13, 0.85)
+    for k, rules in enumerate(KINDS.values()):
+        for rule in rules:
+            prior[1 + k, RULES.index(rule)] = (0.6, 0.15, 0.25)
+    return prior
+
+
 def fit_votes(
-    patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 50.0, false_alarms: float = 0.01
+    patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, strength: float = 50.0
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over vote patterns (rows of -1, 0, 1) and how many documents have each.
 
-    The latent classes are "good" and, for each rule, "bad as that rule sees it": documents go bad in several ways
-    that have little in common, and a single bad class would call the rarer ways good. Returns the posterior
-    probability of "good" by pattern, the classes' shares (good first), and P(vote | class) as [class, rule, vote
-    -1/0/1]; a rule's accuracy on good documents is 1 - [0, rule, 0], and its recall on its own class [1 + rule, rule, 0].
-
-    A rule votes against at most the share false_alarms of good documents: rules are set to speak up only on strong
-    evidence, and without that bound EM may explain a whole kind of bad documents as good ones with a noisy rule.
+    The latent classes are "good" and a bad class for each of KINDS: documents go bad in ways that have little in
+    common, and one bad class would call the rarer ways good. Given the class, rules vote independently. Returns the
+    posterior probability of "good" by pattern, the classes' shares (good first), and P(vote | class) as [class, rule,
+    vote -1/0/1]: what EM finds a rule's votes to be worth, a false alarm being [0, rule, 0].
 
-    The prior beliefs weigh as `strength` documents, so that an empty or tiny table gives a defined answer: a document
-    against which no rule votes is good, one with a vote against it is bad.
+    No rule decides alone by decree: each of a way's rules is believed to miss some of its documents and to speak up
+    against some good ones, as far as the data don't say otherwise. The prior beliefs weigh as `strength` documents of
+    each class, so that an empty or tiny table gives a defined answer.
     """
-    rules = patterns.shape[1]
-    prior = np.empty((1 + rules, rules, 3))
-    prior[0], prior[1:] = (false_alarms / 2, 0.15 - false_alarms / 2, 0.85), (0.05, 0.1, 0.85)
-    for r in range(rules):
-        prior[1 + r, r] = (0.9, 0.08, 0.02)
-    share_prior = np.array([0.8, *[0.2 / rules] * rules])
+    prior, n_bad = prior_votes(), len(KINDS)
+    share_prior = np.array([0.8, *[0.2 / n_bad] * n_bad])
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
     conditional, share = prior, share_prior
     good = np.full(len(patterns), -1.0)
     for _ in range(rounds):
         logs = np.log(share)[:, None] + np.einsum("prv,crv->cp", onehot, np.log(conditional))
-        each = np.exp(logs - logs.max(axis=0, initial=-np.inf)) if len(patterns) else np.empty((1 + rules, 0))
+        each = np.exp(logs - logs.max(axis=0, initial=-np.inf)) if len(patterns) else np.empty((1 + n_bad, 0))
         each = each / each.sum(axis=0)
         done = np.abs(each[0] - good).max(initial=0) < 1e-9
         good = each[0]
@@ -123,9 +141,6 @@ def fit_votes(
         weights = each * counts
         seen = np.einsum("cp,prv->crv", weights, onehot) + strength * prior
         conditional = seen / seen.sum(axis=2, keepdims=True)
-        over = np.maximum(conditional[0, :, 0] - false_alarms, 0)
-        conditional[0, :, 0] -= over
-        conditional[0, :, 1] += over
         totals = weights.sum(axis=1) + strength * share_prior
         share = totals / totals.sum()
     return good, share, conditional
@@ -151,19 +166,17 @@ def judged(found: DataFrame, threshold: float) -> DataFrame:
     """What `measured` returns with base_failed, kept and posterior.
 
     Votes are counted over all documents; only the counts by vote pattern, at most 3 ** len(RULES) rows however many
-    documents there are, come to the driver.
+    documents there are, come to the driver, and as many posteriors are broadcast.
     """
     rows = found.groupBy("votes").count().orderBy("votes").limit(3 ** len(RULES)).collect()
     patterns = np.array([[int(c) - 1 for c in r[0]] for r in rows], dtype=int).reshape(len(rows), len(RULES))
     good, _, _ = fit_votes(patterns, np.array([r[1] for r in rows], dtype=float))
     pairs = [(r[0], float(p)) for r, p in zip(rows, good, strict=True)]
-    posterior = F.lit(0.0)
-    if pairs:
-        known = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(p)) for k, p in pairs))
-        posterior = known[F.col("votes")]
+    posteriors = found.sparkSession.createDataFrame(pairs, "votes string, posterior double")
     n, repeats = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < 50) | (100 * repeats > 50 * n)
-    return found.select("*", failed.alias("base_failed"), (~failed & (posterior >= threshold)).alias("kept"), posterior.alias("posterior"))
+    known = found.join(F.broadcast(posteriors), "votes")
+    return known.select(*found.columns, failed.alias("base_failed"), (~failed & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -178,7 +191,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def kept(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs, all columns, without the rows that `judge` rejects."""
+    """docs, all columns, without the rows that `judge` rejects. Rows are judged one by one, so repeated rows and null
+    ids go or stay by their own text; null, empty and wordless texts go. An empty table gives an empty table."""
     source, names = numbered(docs)
     found = judged(measured(source, names["text"], list(names.values())), threshold)
     return found.where("kept").select(*names.values()).toDF(*docs.columns)
