@@ -21,6 +21,7 @@ from .packing import chunks
 BUCKETS = 1 << 18
 SIZE, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 CACHE_WORDS = 300_000
+START, STEP = 0.05, 0.1
 
 #: Frequent function words, by language.
 FUNCTION_WORDS = {
@@ -66,32 +67,70 @@ class Model:
         """What a word adds to each filter at each place of its width."""
         return [[vectors @ f[k] for k in range(len(f))] for f in self.filters]
 
-    def pooled(self, tables: list[list[np.ndarray]], ids: np.ndarray, places: bool = False):
-        """Largest response of each filter over a text given as rows of tables, at least 0; and where."""
-        values, where = [], []
-        for width, parts, shift in zip(WIDTHS, tables, self.shifts, strict=True):
-            best, at = np.zeros(FILTERS, dtype=np.float32), np.zeros(FILTERS, dtype=np.int64)
-            last = len(ids) - width + 1
-            for start in range(0, last, 100_000):  # whole texts, a stretch at a time
-                end = min(last, start + 100_000)
-                response = parts[0][ids[start:end]] + shift
-                for k in range(1, width):
-                    response = response + parts[k][ids[start + k : end + k]]
-                top = response.argmax(axis=0)
-                value = response[top, np.arange(FILTERS)]
-                better = value > best
-                best, at = np.where(better, value, best), np.where(better, start + top, at)
-            values.append(best)
-            where.append(at)
-        return (np.concatenate(values), where) if places else np.concatenate(values)
+    def pooled(self, tables: list[list[np.ndarray]], texts: list[np.ndarray]) -> np.ndarray:
+        """Largest response of each filter, at least 0, over each of texts, given as rows of tables; a row a text."""
+        out = np.zeros((len(texts), len(WIDTHS) * FILTERS), dtype=np.float32)
+        for some, ids, starts in stretches(texts):
+            for w in range(len(WIDTHS)):
+                top, _ = self.tops(tables[w], w, ids, starts)
+                cut = slice(w * FILTERS, (w + 1) * FILTERS)
+                for row, values in zip(some, top, strict=True):  # a long text comes in several stretches
+                    out[row, cut] = np.maximum(out[row, cut], values)
+        return out
+
+    def tops(self, parts: list[np.ndarray], w: int, ids: np.ndarray, starts: np.ndarray, places: bool = False):
+        """Largest responses of the filters of the w-th width over texts that lie in ids behind each other, each followed
+        by the number 0 of the gap between texts; and the places in ids where they are, -1 if nothing fits."""
+        width, n = WIDTHS[w], len(ids)
+        ends = np.append(starts[1:], n) - 1  # of the texts; their gaps are there
+        response = np.full((n, FILTERS), -np.inf, dtype=np.float32)
+        last = n - width + 1
+        if last > 0:
+            response[:last] = parts[0][ids[:last]] + self.shifts[w]
+            for k in range(1, width):
+                response[:last] += parts[k][ids[k : last + k]]
+        for back in range(width):  # windows that reach a gap
+            response[np.maximum(ends - back, 0)] = -np.inf
+        top = np.maximum.reduceat(response, starts, axis=0)
+        if not places:
+            return top, None
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        rows, columns = np.nonzero((response == top[owner]) & np.isfinite(response))
+        where = np.full(top.shape, -1, dtype=np.int64)
+        where[owner[rows[::-1]], columns[::-1]] = rows[::-1]  # the first of equal ones
+        return top, where
+
+
+def stretches(texts: list[np.ndarray], size: int = 100_000):
+    """(rows of texts, ids, starts): about `size` words at a time, each text followed by a gap, numbered 0. A text longer
+    than that comes in stretches that overlap by the widest filter."""
+    rows, parts, total = [], [], 0
+    for row, ids in enumerate(texts):
+        for at in range(0, max(1, len(ids)), size):
+            part = ids[at : at + size + max(WIDTHS) - 1]
+            rows.append(row)
+            parts.append(part)
+            total += len(part) + 1
+            if total >= size:
+                yield joined(rows, parts)
+                rows, parts, total = [], [], 0
+    if rows:
+        yield joined(rows, parts)
+
+
+def joined(rows: list[int], parts: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+    gap = np.zeros(1, dtype=np.int64)
+    return rows, np.concatenate([x for p in parts for x in (p, gap)]), starts
 
 
 class Words:
-    """Numbers of words, and the filter tables of those numbers; the commonest words recur all the time."""
+    """Numbers of words from 1 up, 0 being the gap between texts, and the filter tables of those numbers; the commonest
+    words recur all the time."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
-        self.tables: list[list[np.ndarray]] = model.tables(np.zeros((0, SIZE), dtype=np.float32))
+        self.tables: list[list[np.ndarray]] = model.tables(np.zeros((1, SIZE), dtype=np.float32))
 
     def number(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.known) > CACHE_WORDS:
@@ -99,41 +138,32 @@ class Words:
         known = self.known
         new = list(set().union(*(filterfalse(known.__contains__, ws) for ws in texts)))
         if new:
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            known.update(zip(new, range(len(known) + 1, len(known) + len(new) + 1), strict=True))
             more = self.model.tables(self.model.vectors(np.array([buckets(w) for w in new], dtype=np.int64)))
             self.tables = [[np.concatenate([a, b]) for a, b in zip(x, y, strict=True)] for x, y in zip(self.tables, more, strict=True)]
         return [np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in texts]
 
 
-def train(texts: list[list[bytes]], y: np.ndarray, epochs: int = 6, rate: float = 0.02, seed: int = 3) -> Model:
-    """Fit on word lists and labels 0, 1.
+def train(
+    features: np.ndarray, ids: list[np.ndarray], y: np.ndarray, epochs: int = 5, least_steps: int = 400, rate: float = 0.02, seed: int = 3
+) -> Model:
+    """Fit on labels 0, 1 and texts as numbers of words, from 1 up; features[number] are a word's buckets.
 
-    A feature's first embedding coordinate starts at its smoothed log odds between the labels, the others near zero;
-    features of fewer than two texts stay at zero, so that words never met say nothing.
+    Embeddings, filters and weights all start small and random and are learned by back-propagation through the pooled
+    places. Buckets of fewer than two texts stay at zero, so that words never met say nothing.
     """
     draw = np.random.default_rng(seed)
-    words = sorted(set().union(*texts)) if texts else []
-    number = {w: i for i, w in enumerate(words)}
-    features = np.array([buckets(w) for w in words], dtype=np.int64).reshape(-1, 4)
-    ids = [np.fromiter(map(number.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in texts]
-    held = np.zeros((2, BUCKETS))
-    for k, own in zip(y, ids, strict=True):
-        held[k, np.unique(features[np.unique(own)])] += 1
     totals = np.bincount(y, minlength=2).astype(float)
-    odds = np.log((held[1] + 0.3) / (totals[1] + 1)) - np.log((held[0] + 0.3) / (totals[0] + 1))
-    # Log odds of one of many features are shrunk by how little its count could say.
-    seen = held.sum(axis=0)
+    seen = np.zeros(BUCKETS, dtype=np.int64)
+    for own in ids:
+        seen[np.unique(features[np.unique(own)])] += 1
     used = seen >= 2
     embedding = np.zeros((BUCKETS, SIZE), dtype=np.float32)
-    embedding[used] = draw.normal(0, 0.02, (int(used.sum()), SIZE))
-    embedding[used, 0] = (np.clip(odds, -4, 4) * seen / (seen + 8))[used] / 2
-    filters, shifts = [], []
-    for width in WIDTHS:
-        f = draw.normal(0, 0.1, (width, SIZE, FILTERS)).astype(np.float32)
-        f[:, 0] += np.linspace(0.5, 1.2, FILTERS, dtype=np.float32) / width
-        filters.append(f)
-        shifts.append(np.zeros(FILTERS, dtype=np.float32))
-    model = Model(embedding, filters, shifts, np.full(len(WIDTHS) * FILTERS, 0.1, dtype=np.float32), -1.0)
+    embedding[used] = draw.normal(0, START, (int(used.sum()), SIZE))
+    filters = [draw.normal(0, 0.5 / np.sqrt(width), (width, SIZE, FILTERS)).astype(np.float32) for width in WIDTHS]
+    shifts = [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS]
+    weights = np.tile(np.where(np.arange(FILTERS) % 4 < 3, 0.3, -0.3), len(WIDTHS)).astype(np.float32)
+    model = Model(embedding, filters, shifts, weights, -1.0)
     if len(set(y.tolist())) < 2:
         model.bias = 0.0 if not len(y) else (3.0 if y[0] else -3.0)
         model.weights[:] = 0
@@ -147,51 +177,51 @@ def train(texts: list[list[bytes]], y: np.ndarray, epochs: int = 6, rate: float
         m[1] = 0.99 * m[1] + 0.01 * gradient**2
         return rate * (m[0] / (1 - 0.9**steps)) / (np.sqrt(m[1] / (1 - 0.99**steps)) + 1e-6)
 
+    slopes = np.full(BUCKETS, 1e-8, dtype=np.float32)  # sums of squared gradients, by bucket
     balance = len(y) / (2 * np.maximum(1, totals))
-    for epoch in range(epochs):
+    for _ in range(max(epochs, -(-least_steps // -(-len(y) // 32))) if epochs else 0):  # a small sample is gone over more often
         order = draw.permutation(len(y))
-        for at in range(0, len(order), 64):
+        for at in range(0, len(order), 32):
             steps += 1
-            g_filters = [1e-3 * f for f in model.filters]
-            g_shifts = [np.zeros_like(s) for s in model.shifts]
-            g_weights, g_bias = 1e-3 * model.weights, 0.0
-            g_rows: list[tuple[np.ndarray, np.ndarray]] = []
-            batch = order[at : at + 64]
-            for i in batch:
-                own = ids[i]
-                kinds, local = np.unique(own, return_inverse=True)
-                vectors = model.vectors(features[kinds])
-                pooled, where = model.pooled(model.tables(vectors), local, places=True)
-                p = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + model.bias, -30, 30)))
-                error = float((p - y[i]) * balance[y[i]] / len(batch))
-                g_weights += error * pooled
-                g_bias += error
-                back = error * model.weights * (pooled > 0)
-                for w, width in enumerate(WIDTHS):
-                    g = back[w * FILTERS : (w + 1) * FILTERS]
-                    live = np.flatnonzero(g)
-                    g_shifts[w] += g
-                    for k in range(width if len(live) else 0):
-                        hit = local[where[w][live] + k]
-                        g_filters[w][k][:, live] += vectors[hit].T * g[live]
-                        g_rows.append((features[kinds[hit]], (model.filters[w][k][:, live] * g[live]).T))
-            model.weights -= adam("weights", g_weights).astype(np.float32)
-            model.bias -= float(adam("bias", np.array([g_bias]))[0])
-            for w in range(len(WIDTHS)):
-                model.filters[w] -= adam(f"f{w}", g_filters[w]).astype(np.float32)
-                model.shifts[w] -= adam(f"s{w}", g_shifts[w]).astype(np.float32)
-            if g_rows:
-                touched = np.concatenate([r for r, _ in g_rows]).ravel()
-                change = np.repeat(np.concatenate([g for _, g in g_rows]), 4, axis=0)
-                change[~used[touched]] = 0
-                np.subtract.at(model.embedding, touched, 0.5 * change)
+            batch = order[at : at + 32]
+            _, own, starts = joined([*batch], [ids[i] for i in batch])
+            kinds, local = np.unique(own, return_inverse=True)
+            vectors = model.vectors(features[kinds])
+            vectors[kinds == 0] = 0
+            tables = model.tables(vectors)
+            found = [model.tops(tables[w], w, local, starts, places=True) for w in range(len(WIDTHS))]
+            pooled = np.maximum(np.concatenate([top for top, _ in found], axis=1), 0)
+            p = 1 / (1 + np.exp(-np.clip(pooled @ model.weights + model.bias, -30, 30)))
+            error = ((p - y[batch]) * balance[y[batch]] / len(batch)).astype(np.float32)
+            back = error[:, None] * model.weights[None, :] * (pooled > 0)
+            change = np.zeros_like(vectors)
+            for w, width in enumerate(WIDTHS):
+                g, where = back[:, w * FILTERS : (w + 1) * FILTERS], found[w][1]
+                text, column = np.nonzero((g != 0) & (where >= 0))
+                value = g[text, column]
+                g_filter = 1e-3 * model.filters[w]
+                for k in range(width):
+                    hit = local[where[text, column] + k]
+                    np.add.at(g_filter[k].T, column, vectors[hit] * value[:, None])
+                    np.add.at(change, hit, model.filters[w][k][:, column].T * value[:, None])
+                model.shifts[w] -= adam(f"s{w}", g.sum(axis=0)).astype(np.float32)
+                model.filters[w] -= adam(f"f{w}", g_filter).astype(np.float32)
+            model.weights -= adam("weights", error @ pooled + 1e-3 * model.weights).astype(np.float32)
+            model.bias -= float(adam("bias", np.array([error.sum()]))[0])
+            moved = np.flatnonzero(np.abs(change).sum(axis=1) * (kinds > 0))
+            touched = features[kinds[moved]].ravel()
+            rows = np.repeat(change[moved], features.shape[1], axis=0)
+            live = used[touched]
+            touched, rows = touched[live], rows[live]
+            np.add.at(slopes, touched, (rows**2).mean(axis=1))
+            np.subtract.at(model.embedding, touched, STEP * rows / np.sqrt(slopes[touched])[:, None])
     return model
 
 
 def logits(model: Model, texts: list[list[bytes]], words: Words | None = None) -> np.ndarray:
     words = words or Words(model)
     numbered = words.number(texts)
-    return np.array([float(model.pooled(words.tables, ids) @ model.weights + model.bias) for ids in numbered])
+    return (model.pooled(words.tables, numbered) @ model.weights + model.bias).astype(float)
 
 
 def best_cut(values: np.ndarray, y: np.ndarray, care: float = 3.0) -> float | None:
@@ -219,12 +249,20 @@ def calibrate(values: np.ndarray, y: np.ndarray, languages: np.ndarray, least: i
     return cuts
 
 
+def numbers(texts: list[list[bytes]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The buckets of each word by its number, and the texts as numbers; number 0 is no word."""
+    words = sorted(set().union(*texts)) if texts else []
+    number = {w: i for i, w in enumerate(words, 1)}
+    features = np.array([(0, 0, 0, 0), *map(buckets, words)], dtype=np.int64)
+    return features, [np.fromiter(map(number.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in texts]
+
+
 def fit(rows: list[tuple[int, int, str]], calibration: float = 0.25) -> Model:
     """rows: (doc_id, label, text). A share of the rows, by hash, is kept from training and sets the cuts."""
     rows = sorted(rows)
     texts, y = [words_of(t) for _, _, t in rows], np.array([v for _, v, _ in rows], dtype=int)
     aside = np.array([xxhash.xxh3_64_intdigest(str(i).encode()) % 1000 < 1000 * calibration for i, _, _ in rows], dtype=bool)
-    model = train([t for t, a in zip(texts, aside, strict=True) if not a], y[~aside])
+    model = train(*numbers([t for t, a in zip(texts, aside, strict=True) if not a]), y[~aside])
     if len(rows):
         kept = np.flatnonzero(aside) if len(set(y[aside].tolist())) > 1 else np.arange(len(rows))
         values = logits(model, [texts[i] for i in kept])
