@@ -58,7 +58,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
 
     Held-out ids are never drawn, rows without a label neither. The ids with the least hash are drawn, so the sample
     is the same in each run and does not depend on partitions. Texts of over max_chars are left out of the sample (not
-    of the scoring), which bounds what the driver gets at 2 * limit * max_chars characters.
+    of the scoring), and of an id with several rows the least text is taken, which bounds what the driver gets at
+    2 * limit texts of max_chars characters.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(~held_out() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -66,7 +67,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     drawn = [known.where(F.col("label") == v).orderBy(*by).limit(limit) for v in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = drawn[0].unionByName(drawn[1])  # 2 * limit rows of two numbers at most
-    return texts.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    drawn_texts = texts.where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    return drawn_texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -122,8 +122,8 @@ def quality_scores(
 
     Returns doc_id, held_out, score (0..1), predicted (1 if score >= at), utility (the Bradley-Terry score) and level
     (the quantile that is the threshold). The model learns from at most `limit` labelled documents of each label, as
-    said in labelled_sample. The candidates for the threshold are quantiles of the utilities of all documents; a
-    document just at the threshold has score `at`, and the others' odds against it follow the model. Null and empty
+    said in labelled_sample, texts of over max_chars characters not among them. The candidates for the threshold are the
+    quantiles 0.001 to 0.999 of the utilities of all documents, whatever share of them is bad; a document just at the threshold has score `at`, and the others' odds against it follow the model. Null and empty
     texts are scored by the feature that says so. Without labels of both kinds every utility is 0 and every document
     is predicted 1. Repeated rows are scored alike; an empty table gives an empty table.
     """
@@ -149,7 +149,7 @@ def quality_scores(
     slim = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("utility", T.DoubleType())])
     scored = materialize(slim.mapInArrow(score, schema), "utilities")
-    levels = np.arange(1, 800) / 1000
+    levels = np.arange(1, 1000) / 1000
     cuts = scored.agg(F.percentile_approx("utility", levels.tolist(), 20_000)).first()[0] or []
     own = np.clip((x - model.mean) / model.scale, -8, 8) @ model.weights
     level, cut = threshold(own, y, levels[: len(cuts)], np.array(cuts))

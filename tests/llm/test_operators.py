@@ -541,10 +541,53 @@ def test_classifiers_edges(spark, edges, nothing, f):
         assert f(nothing, given).collect() == []
 
 
+def test_quality_threshold_where_most_are_bad(spark):
+    """Nine documents of ten are lists of marks: the cut lies at the 0.9 quantile or so."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choices("aeioulnrst", k=draw.randint(3, 8)))
+    text = lambda good: " ".join(word() + ("." if good and k % 9 == 8 else "" if good or draw.random() < 0.5 else "###") for k in range(90))
+    rows = [(i, text(i % 10 == 0)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id long, quality int")
+    found = quality_bt.quality_scores(docs(spark, rows), labels).collect()
+    assert all(r.predicted == (r.doc_id % 10 == 0) for r in found)
+    assert all(0.85 < r.level < 0.95 for r in found)
+
+
+def test_filters_carry_word_order(spark):
+    """Only the order of two words, which all texts hold, tells the labels apart; untrained filters can't."""
+    draw = random.Random(2)
+    texts, y = [], []
+    for i in range(600):
+        ws = [f"w{draw.randrange(60)}".encode() for _ in range(30)]
+        at = draw.randrange(0, 28)
+        ws[at : at + 2] = (b"red", b"fox") if i % 2 else (b"fox", b"red")
+        texts.append(ws), y.append(i % 2)
+    y = np.array(y)
+    features, ids = toxic_cnn.numbers(texts[:400])
+    right = lambda m: np.mean((toxic_cnn.logits(m, texts[400:]) > 0) == (y[400:] == 1))
+    assert right(toxic_cnn.train(features, ids, y[:400], least_steps=800)) > 0.95
+    assert right(toxic_cnn.train(features, ids, y[:400], epochs=0)) < 0.7
+
+
+def test_pooling_as_brute_force():
+    draw = np.random.default_rng(1)
+    model = toxic_cnn.Model(np.zeros((1, toxic_cnn.SIZE)), [draw.normal(size=(w, toxic_cnn.SIZE, toxic_cnn.FILTERS)) for w in toxic_cnn.WIDTHS],
+                            [draw.normal(size=toxic_cnn.FILTERS) for _ in toxic_cnn.WIDTHS], np.zeros(1), 0.0)
+    vectors = draw.normal(size=(50, toxic_cnn.SIZE))
+    texts = [draw.integers(1, 50, n) for n in (0, 1, 2, 3, 400, 250_000, 7)]
+    found = model.pooled(model.tables(vectors), texts)
+    for ids, row in zip(texts, found, strict=True):
+        want = []
+        for f, shift in zip(model.filters, model.shifts, strict=True):
+            windows = [sum(vectors[ids[k : len(ids) - len(f) + 1 + k]] @ f[k] for k in range(len(f))) + shift] if len(ids) >= len(f) else []
+            want.append(np.maximum(windows[0].max(axis=0), 0) if windows else np.zeros(toxic_cnn.FILTERS))
+        assert np.allclose(np.concatenate(want), row, atol=1e-4)
+
+
 def test_held_out_rows_teach_nothing(spark):
     from memspark.llm.common import labelled_sample
 
-    table = docs(spark, [(i, f"text {i}") for i in range(200)])
+    table = docs(spark, [(i, f"text {i}") for i in range(200)] + [(6, f"text {i}") for i in range(300)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     rows = labelled_sample(table, labels, "quality", 40, 1000).collect()
     assert Counter(r.label for r in rows) == {0: 40, 1: 40}
