@@ -247,10 +247,58 @@ def test_one_of_each_class_whatever_the_ids(spark):
     assert ((7, base[4]) in kept) != ((7, near[4]) in kept)
 
 
+def test_chains_are_verified_run_by_run(spark):
+    """Each text is like the next alone, so a component of 500 texts has few links; all against all would move more texts."""
+    rows = [(i, " ".join(f"w{k}" for k in range(4 * i, 4 * i + 60))) for i in range(500)]
+    table = docs(spark, rows)
+    found = ngram_join.near_duplicates(table, block_texts=10).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == near_of(rows)
+    members = spark.createDataFrame([(i, 0, 50) for i in range(500)], "id long, root long, n long")
+    runs = spark.createDataFrame([(i, t, i - i % 2) for i in range(500) for t in range(6) if i % 2], "id long, tree int, head long")
+    places = ngram_join.assigned(members, runs, 10_000, 10).collect()
+    assert len(places) == 500 and all(len(r.places) == 6 and {p.tree for p in r.places} == set(range(6)) for r in places)
+    places = ngram_join.assigned(members, runs, 10_000, 200).collect()
+    assert all([p.tree for p in r.places] == [-1] for r in places)
+
+
+@pytest.mark.parametrize("partitions", [2, 40])
+def test_runs_as_brute_force(spark, partitions):
+    """Signatures of few values: runs of every depth that span many partitions, and partitions that hold many runs."""
+    draw = np.random.default_rng(8)
+    sigs = draw.integers(0, 2, (300, ngram_join.TREES * ngram_join.DEPTH)).astype("<u2")
+    sigs[::3] = sigs[0]
+    texts = spark.createDataFrame([(int(i) * 7 - 900, bytearray(x.tobytes())) for i, x in enumerate(sigs)], "id long, sig binary").repartition(3)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = ngram_join.matched(texts, 5).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for depth in range(5, ngram_join.DEPTH + 1):
+        shortest = {}
+        for r in rows:
+            if r.depth >= depth:
+                shortest[r.id, r.tree] = min(shortest.get((r.id, r.tree), (99, 0)), (r.depth, r.head))
+        found, want = defaultdict(set), defaultdict(set)
+        for (i, t), (_, head) in shortest.items():
+            found[t, head] |= {i, head}
+        for i, x in enumerate(sigs):
+            for t in range(ngram_join.TREES):
+                want[t, x[t * ngram_join.DEPTH :][:depth].tobytes()].add(i * 7 - 900)
+        assert sorted((t, sorted(m)) for (t, _), m in found.items()) == sorted((t, sorted(m)) for (t, _), m in want.items() if len(m) > 1)
+
+
 def test_prefixes_shorten_until_the_recall():
     depth = ngram_join.prefix_depth(0.8, 0.999)
     assert ngram_join.recall(0.8, depth) >= 0.999 > ngram_join.recall(0.8, depth + 1)
     assert ngram_join.prefix_depth(0.3, 0.999) == 1
+    full = ngram_join.DEPTH
+    assert ngram_join.shortened([], 0.8, 0.999)[0] == depth  # nothing found: what the threshold asks for
+    assert ngram_join.shortened([(full, 0.97, 50)], 0.8, 0.999)[0] == depth  # too few to go by
+    close, estimates = ngram_join.shortened([(full, 0.97, 1_000_000)], 0.8, 0.999)
+    assert close == full and estimates[full] > 0.999
+    mixed, estimates = ngram_join.shortened([(full, 0.97, 1_000_000), (full, 0.81, 500_000)], 0.8, 0.999)
+    assert depth <= mixed < full and estimates[full] < 0.999 <= estimates[mixed]
 
 
 # Decontamination (6)
