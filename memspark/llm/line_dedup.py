@@ -79,8 +79,13 @@ def kept_text(text: str | None, bitmap: bytes | None) -> tuple[int, int, str]:
     return len(lines), int((~keep).sum()), "\n".join(line for line, k in zip(lines, keep, strict=True) if k)
 
 
-def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """docs with all columns, their texts without the lines that earlier documents hold."""
+def deduplicated(docs: DataFrame, min_chars: int = 10, least_words: int = 0) -> DataFrame:
+    """docs with all columns, their texts without the lines that earlier documents hold.
+
+    Which lines go is said in keep_bitmaps. A document that loses lines and is left with fewer than least_words words
+    goes too; one that loses none stays whatever its length. Null texts stay null, repeated rows are treated alike, and
+    an empty table gives an empty table.
+    """
     source, names = numbered(docs)
     text = names["text"]
 
@@ -90,7 +95,11 @@ def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             rows = zip(b.column(text).to_pylist(), b.column("bitmap").to_pylist(), strict=True)
             texts = [t if m is None else kept_text(t, m)[2] for t, m in rows]
             columns = [pa.array(texts, b.schema.field(i).type) if k == i else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            out = pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            if least_words:
+                lost = b.column("bitmap").is_valid().to_pylist()
+                out = out.filter(pa.array([not x or len(t.encode("utf-8", "surrogatepass").split()) >= least_words for t, x in zip(texts, lost, strict=True)]))
+            yield out
 
     joined = with_bitmaps(source, keep_bitmaps(docs, min_chars), names["doc_id"], text)
     return joined.mapInArrow(apply, source.schema).toDF(*docs.columns)
