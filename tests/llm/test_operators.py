@@ -545,18 +545,55 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_null_ids_and_settings(spark):
+    before = spark.conf.get(warc.PUSHDOWN, None)
+    rows = [(None, None, "p" * 2000), (None, "u", "p" * 2000), (4, "u", "p" * 2000), (4, "u", "p" * 2000), (None, "u", "q" * 2000), (None, "u", "q" * 2000), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect())
+    assert found == Counter({(None, 2000, "revisit", 4): 2, (4, 2000, "response", None): 2, (None, 2000, "response", None): 2, (None, 0, "response", None): 1})
+    assert spark.conf.get(warc.PUSHDOWN, None) == before
+
+
 def test_warc_predicates_skip_payloads(spark, tmp_path):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", "p" * 2000 if i < 3 else f"{i}") for i in range(6)], "page_id long, url string, html string")
+    noise = [random.Random(i).randbytes(40_000).hex() for i in range(30)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", noise[i] if i < 30 else noise[0]) for i in range(40)], "page_id long, url string, html string")
     path = f"file://{tmp_path}/a"
-    warc.write_archive(pages, path)
-    rows = warc.read_archive(spark, path).where("record_type = 'revisit' and target_uri in ('http://h/0', 'http://h/2')").collect()
-    assert [(r.target_uri, r.refers_to, r.payload) for r in rows] == [("http://h/0", "<urn:page:2>", bytearray())]
+    warc.write_archive(pages.coalesce(1), path)
+    with warc.pushing_filters(spark):
+        found = warc.read_archive(spark, path).where("record_type = 'revisit' and target_uri in ('http://h/0', 'http://h/2')")
+        assert [(r.target_uri, r.refers_to, r.payload) for r in found.collect()] == [("http://h/0", "<urn:page:39>", bytearray())]
     assert all(r.payload is None for r in warc.read_archive(spark, path, payload=False).collect())
-    reader = warc.WarcReader({"path": path})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
-    left = list(reader.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("payload_bytes",), 3)]))
-    assert reader.wanted == {"record_type": {"response"}} and len(left) == 1
+    reader = warc.FilteredReader({"path": path})
+    left = list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("payload_bytes",), 3)]))
+    assert reader.wanted == {"record_type": {"revisit"}} and len(left) == 1
+    rows = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    assert rows == 10 and reader.inflated < 40 * 5000 < 30 * 80_000  # some of each member, not the refused payloads
+    whole = warc.WarcReader({"path": path})
+    assert sum(b.num_rows for p in whole.partitions() for b in whole.read(p)) == 40 and whole.inflated > 30 * 80_000
+
+
+def test_warc_files_split_and_uncommitted_ones_are_not_read(spark, tmp_path):
+    import gzip
+
+    writer = warc.WarcWriter({"path": str(tmp_path / "b"), "split": "3000", "largest": "20000"})
+    rows = [("response", f"<urn:page:{i}>", None, None, None, None, random.Random(i).randbytes(700 * (i % 3))) for i in range(60)]
+    lost = writer.write([warc.batch(rows[:5])])
+    writer.commit([writer.write([warc.batch(rows[:30]), warc.batch(rows[30:])]), writer.write([]), None])
+    reader = warc.WarcReader({"path": str(tmp_path / "b")})
+    parts = reader.partitions()
+    found = [tuple(r) for p in parts for b in reader.read(p) for r in zip(*(b.column(c).to_pylist() for c in ("record_id", "payload")), strict=True)]
+    assert len(parts) > 5 and Counter(found) == Counter((r[1], r[6]) for r in rows)
+    writer.abort([lost])
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "b").glob("*.gz"))
+    for name, data in (("plain.warc", raw), ("whole.warc.gz", gzip.compress(raw))):  # archives of others
+        (tmp_path / name).write_bytes(data)
+        reader = warc.WarcReader({"path": str(tmp_path / name)})
+        found = [r for p in reader.partitions() for b in reader.read(p) for r in b.column("payload").to_pylist()]
+        assert Counter(found) == Counter(r[6] for r in rows)
+        reader = warc.WarcReader({"path": str(tmp_path / name), "payload": "false"})
+        assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 60
 
 
 # Classifiers (1, 10)
