@@ -63,36 +63,47 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def search(text: np.ndarray, tests: TestSet) -> Iterator[tuple[int, int, np.ndarray, int]]:
-    """(item, window length, places, length of the match) for each test suffix that a window of the shard begins with.
-
-    Each suffix narrows its interval of the suffix array word by word. Places whose match ends at a length are
-    returned with it, so every place comes once, with its longest match.
-    """
-    deepest = max((len(x) for _, x in tests.items), default=0)
-    order = suffix_array(text, deepest)
-    padded = np.concatenate([text, np.full(deepest + 1, -1, dtype=np.int64)])
+def narrowed(text: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, wanted: np.ndarray, after: bool) -> np.ndarray:
+    """By binary search, all intervals of the suffix array at once: the first place in each where the word at `depth` is
+    not below the wanted one, or with `after` where it is above."""
+    low, high = low.copy(), high.copy()
+    while (live := np.flatnonzero(low < high)).size:
+        mid = (low[live] + high[live]) // 2
+        found = text[order[mid] + depth]
+        below = found <= wanted[live] if after else found < wanted[live]
+        low[live] = np.where(below, mid + 1, low[live])
+        high[live] = np.where(below, high[live], mid)
+    return low
+
+
+def search(text: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, place in the item, place in the text) of every occurrence of every window: each test suffix narrows its
+    interval of the suffix array word by word, all suffixes side by side, to the length of its item's window."""
+    sizes = np.array([len(x) for _, x in tests.items], dtype=np.int64)
+    windows = np.minimum(sizes, tests.window)
+    words = np.concatenate([x for _, x in tests.items])
+    item = np.repeat(np.arange(len(sizes)), sizes - windows + 1)  # of each suffix that a window begins
+    start = np.concatenate([np.arange(n - w + 1) for n, w in zip(sizes, windows, strict=True)])
+    at = start + np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes - windows + 1)
+    order = suffix_array(text, tests.window)
+    padded = np.concatenate([text, np.full(tests.window + 1, -1, dtype=np.int64)])
     heads = padded[order]
-    for number, (_, item) in enumerate(tests.items):
-        window = min(tests.window, len(item))
-        starts = len(item) - window + 1
-        lows = np.searchsorted(heads, item[:starts], "left")
-        highs = np.searchsorted(heads, item[:starts], "right")
-        for p in range(starts):
-            low, high, depth = int(lows[p]), int(highs[p]), 1
-            while low < high:
-                if p + depth == len(item):
-                    yield number, window, order[low:high], depth
-                    break
-                column = padded[order[low:high] + depth]
-                a = low + int(np.searchsorted(column, item[p + depth], "left"))
-                b = low + int(np.searchsorted(column, item[p + depth], "right"))
-                if depth >= window:
-                    if a > low:
-                        yield number, window, order[low:a], depth
-                    if high > b:
-                        yield number, window, order[b:high], depth
-                low, high, depth = a, b, depth + 1
+    low, high = np.searchsorted(heads, words[at], "left"), np.searchsorted(heads, words[at], "right")
+    done = []
+    for depth in range(1, tests.window + 1):
+        live = low < high
+        item, start, at, low, high = item[live], start[live], at[live], low[live], high[live]
+        whole = windows[item] == depth
+        counts = (high - low)[whole]
+        first = np.cumsum(counts) - counts
+        spread = np.arange(counts.sum()) - np.repeat(first, counts) + np.repeat(low[whole], counts)
+        done.append((np.repeat(item[whole], counts), np.repeat(start[whole], counts), order[spread]))
+        item, start, at, low, high = item[~whole], start[~whole], at[~whole], low[~whole], high[~whole]
+        if not len(item):
+            break
+        wanted = words[at + depth]
+        low, high = (narrowed(padded, order, low, high, depth, wanted, after) for after in (False, True))
+    return tuple(map(np.concatenate, zip(*done, strict=True)))
 
 
 def match_shard(texts: list[str | None], tests: TestSet) -> list[tuple]:
@@ -124,13 +135,22 @@ def match_shard(texts: list[str | None], tests: TestSet) -> list[tuple]:
     if kept:
         text, place = np.concatenate(kept), np.concatenate(origin)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        for number, _, found, depth in search(text, tests):
-            words = place[found]
-            for doc, word in zip(np.searchsorted(offsets, words, "right") - 1, words, strict=True):
-                begin = int(word - offsets[doc])
-                spans.setdefault(doc, []).append((begin, begin + depth))
-                items.setdefault(doc, set()).add(number)
-                longest[doc] = max(longest.get(doc, (0, 0)), (depth, -begin))
+        item, start, found = search(text, tests)
+        words = place[found]
+        doc = np.searchsorted(offsets, words, "right") - 1
+        begin = words - offsets[doc]
+        by = np.lexsort((begin, begin - start, item, doc))  # windows that follow each other in item and text are one match
+        doc, item, start, begin = doc[by], item[by], start[by], begin[by]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) != 1) | (np.diff(begin) != 1)
+        firsts = np.flatnonzero(new)
+        lasts = np.append(firsts[1:], len(by)) - 1
+        for k, last in zip(firsts.tolist(), lasts.tolist(), strict=True):
+            i, a = int(doc[k]), int(begin[k])
+            b = int(begin[last]) + min(tests.window, len(tests.items[item[k]][1]))
+            spans.setdefault(i, []).append((a, b))
+            items.setdefault(i, set()).add(int(item[k]))
+            longest[i] = max(longest.get(i, (0, 0)), (b - a, -a))
     out = []
     for i in range(len(texts)):
         best = longest.get(i)
@@ -200,11 +220,14 @@ def matches(
 def joined(x: tuple, y: tuple) -> tuple:
     spans = merged([*zip(x[1][::2], x[1][1::2], strict=True), *zip(y[1][::2], y[1][1::2], strict=True)])
     best = max((x[3], -(x[4] or 0), x[4]), (y[3], -(y[4] or 0), y[4]), key=lambda t: t[:2])
-    return x[0], spans, sorted({*x[2], *y[2]}), best[0], best[2]
+    return x[0], spans, sorted({*x[2], *y[2]}, key=lambda i: (i is None, i or "")), best[0], best[2]
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest and longest_at of each document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest and longest_at of each document.
+
+    A row out for each row in, null ids and repeated rows too; what `matches` says of null texts, items without words and
+    empty tables holds. A null item_id counts as an item and adds nothing to the hash."""
     found = matches(docs, items, window)
     edges = F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
     ids = F.array_sort(F.array_distinct("items"))
@@ -221,7 +244,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """docs, all columns, without those that hold a window of an item."""
+    """docs, all columns, without the rows that hold a window of an item; rows are judged one by one, so null ids and
+    repeated rows stay if they are clean, and null texts are."""
     source, names = numbered(docs)
     found = matches(source, items, window, tuple(names.values()), names["text"])
     return found.where(F.size("spans") == 0).select(*names.values()).toDF(*docs.columns)

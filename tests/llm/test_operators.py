@@ -312,7 +312,7 @@ def hits_of(rows, items, window=10):
         ws = cut(t)
         n = min(window, len(ws))
         for i in range(len(ws) - n + 1 if ws else 0):
-            held[tuple(ws[i : i + n])].add(str(name))
+            held[tuple(ws[i : i + n])].add(name if name is None else str(name))
             sizes.add(n)
     out = []
     for i, t in rows:
@@ -322,11 +322,11 @@ def hits_of(rows, items, window=10):
                 if names := held.get(tuple(ws[k : k + n])):
                     hit |= set(range(k, k + n))
                     ids |= names
-        out.append((i, len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+        out.append((i, len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest(), bool(hit)))
     return Counter(out)
 
 
-ITEMS = [(1, SAME), (2, "word3 of word4 of word5 of word6 of word7 of word8"), (3, None), (4, "..."), (20, "Negative-ID"), (3, "word3 OF word4")]
+ITEMS = [(1, SAME), (2, "word3 of word4 of word5 of word6 of word7 of word8"), (3, None), (4, "..."), (20, "Negative-ID"), (3, "word3 OF word4"), (None, SAME), (None, "word9 of")]
 
 
 @pytest.mark.parametrize("block", [64 << 20, 40])
@@ -350,6 +350,39 @@ def test_longest_matches():
     assert (n, spans, items, longest, at) == (12, [1, 4, 5, 10], [0], 5, 5)
 
 
+def test_matches_as_brute_force():
+    draw = random.Random(6)
+    for seed in range(30):
+        word = lambda: f"w{draw.randrange(4)}"
+        items = [(str(k), " ".join(word() for _ in range(draw.randint(1, 9)))) for k in range(6)]
+        texts = [" ".join(word() for _ in range(draw.randint(0, 60))) for _ in range(5)]
+        found = decontam.match_shard(texts, decontam.TestSet.of(items, 4))
+        for text, (n, spans, ids, longest, at) in zip(texts, found, strict=True):
+            _, words, hits, n_items, _, _ = next(iter(hits_of([(0, text)], items, 4)))
+            assert (n, sum(spans[1::2]) - sum(spans[::2]), len(ids)) == (words, hits, n_items)
+            ws, best = text.split(), (0, 0)
+            for _, item in items:
+                x = item.split()
+                for i in range(len(ws)):
+                    for j in range(len(x)):
+                        k = 0
+                        while i + k < len(ws) and j + k < len(x) and ws[i + k] == x[j + k]:
+                            k += 1
+                        if k >= min(4, len(x)):
+                            best = max(best, (k, -i))
+            assert (longest, at) == (best[0], -best[1] if best[0] else None)
+
+
+def test_long_copied_item_takes_linear_work():
+    import time
+
+    text = " ".join(f"w{i % 1009}" for i in range(60_000))
+    start = time.perf_counter()
+    found = decontam.match_shard([text, "none"], decontam.TestSet.of([("x", text)], 10))
+    assert found[0][1] == [0, 60_000] and found[0][3:] == (60_000, 0)
+    assert time.perf_counter() - start < 60
+
+
 def test_suffix_array_sorts_suffixes():
     text = np.array([3, 1, 2, 3, 1, 2, 0, 3, 1])
     order = decontam.suffix_array(text, 9)
