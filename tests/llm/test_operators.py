@@ -550,6 +550,56 @@ def test_templates_take_a_share_of_the_host(spark):
         assert found[31] == "day 1 first half of it, second half of it"
 
 
+def test_articles_keep_what_names_might_mean():
+    for inner, text in {
+        '<pre>x = 1 <span class="comment"># note</span></pre>': "x = 1 # note",
+        '<p>a <span class="skip">b</span></p>': "a b",
+        '<div class="related-work"><p>a</p></div>': "a",
+        '<section class="search-algorithms"><p>a</p></section>': "a",
+        '<div class="social-history">a</div>': "a",
+        "<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>": "so x = 1",
+        '<pre><div class="comments">a</div></pre>': "a",
+    }.items():
+        found = html_main.parse(page(f"<article>{inner}</article>"))
+        assert html_main.gather(found) == html_main.gather(found, frozenset({html_main.LEARNED})) == text, inner
+
+
+def test_templates_of_shape_carry_the_result(spark):
+    """Names that no list holds, and words that change from page to page: shapes beside the articles tell."""
+    draw = random.Random(5)
+    words = lambda n: " ".join("".join(draw.choices("aeioulnrst", k=5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(30):
+        own = [words(30) for _ in range(draw.randint(2, 5))]
+        links = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(draw.randint(2, 6)))
+        said = "".join(f"<div class='zz'><p>{words(6)}</p></div>" for _ in range(draw.randint(0, 3)))
+        body = f"<div class='qx'><ul>{links}</ul></div><div id='w{i}'>{words(5)}</div><article>{''.join(f'<p>{x}</p>' for x in own[1:])}<div class='zz'><p>{own[0]}</p></div></article>"
+        rows.append((i, "http://h.com/", page(f"{body}<div class='yy'>{said}</div><div>{words(3)} once</div>")))
+        want[i] = " ".join([*own[1:], own[0]])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (200_000, 0):
+        found = {r.page_id: r.text for r in html_main.main_text(pages, broadcast_rows=limit).collect()}
+        assert all(found[i].startswith(want[i]) and found[i].endswith("once") and len(found[i].split()) == len(want[i].split()) + 4 for i in want)
+    off = html_main.gather(html_main.parse(rows[0][2]), frozenset({html_main.LEARNED}))
+    assert len(off.split()) > len(found[0].split()) + 5
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    n = 80_000
+    for broken in ("<b>" * n + "</i>" * n, "<b>" * n + "<p>x</p>" * n, "<ul><li><ul>" + "<b>" * n + "<li>x" * n, "<div>x" * n, "<article>x" * n,
+                   "<div class=comment><article>" * n + "x", "<table>" + "<tr><td>" * n, "<b>x" * n + "<main>" * 100):
+        start = time.perf_counter()
+        found = html_main.parse(broken)
+        html_main.subtree_rows("h", found)
+        html_main.gather(found, frozenset({html_main.LEARNED, found.hashes[-1]}))
+        assert time.perf_counter() - start < 20, broken[:30]
+    start = time.perf_counter()
+    html_main.parse("<b>" * 8000 + "</i>" * n)
+    assert time.perf_counter() - start < 1
+
+
 def test_html_on_the_tables(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
