@@ -387,16 +387,29 @@ def classes(docs: DataFrame, threshold: float, width: int, target: float, block_
     links = materialize(links_of(docs, members, groups, texts, threshold, width, depth), "links")
     found = components(links.where("b is not null").select("a", "b"), "classes")
     counts = links.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
+    linked = found.toDF("id", "root").join(texts.select("id", "rep"), "id")
+    salt = F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")  # a class may hold a third of all texts
+    least = linked.groupBy("root").agg(F.min("rep").alias("class")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    classed = linked.withColumn("salt", salt).join(least, ["root", "salt"]).select("id", "class")
+    total = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("total")
     nodes = (
         texts.select("id", "f1", "f2", "rep", "copies")
-        .join(found.toDF("id", "root"), "id", "left")
+        .join(classed, "id", "left")
         .join(counts.toDF("id", "links"), "id", "left")
-        .withColumn("root", F.coalesce("root", "id"))
+        .select("f1", "f2", "copies", "rep", F.coalesce("class", "rep").alias("class"), total)
     )
-    least = nodes.groupBy("root").agg(F.min("rep").alias("class"))
-    total = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("total")
-    nodes = nodes.join(least, "root").select("f1", "f2", "rep", "class", total)
-    return profiled.select(*KEY, "f1", "f2").join(nodes, ["f1", "f2"], "left").drop("f1", "f2")
+    return of_each(profiled.select(*KEY, "f1", "f2"), materialize(nodes, "nodes")).drop("f1", "f2", "copies")
+
+
+def of_each(rows: DataFrame, nodes: DataFrame, hot: int = 1_000, broadcast_rows: int = 100_000) -> DataFrame:
+    """rows with what nodes say of their text, null if nothing. The texts of which there are `hot` copies or more are
+    broadcast, while they are at most broadcast_rows, so that a text that a third of the rows hold is no one task's."""
+    often = nodes.where(F.col("copies") >= hot)
+    if often.limit(broadcast_rows + 1).count() > broadcast_rows:
+        return rows.join(nodes, ["f1", "f2"], "left")
+    own = rows.join(F.broadcast(often), ["f1", "f2"])
+    others = rows.join(F.broadcast(often.select("f1", "f2")), ["f1", "f2"], "left_anti")
+    return own.unionByName(others.join(nodes.where(F.col("copies") < hot), ["f1", "f2"], "left"))
 
 
 def blocks_of(texts: Column, shingles: Column, block_texts: int, block_shingles: int) -> Column:
@@ -408,21 +421,22 @@ def assigned(members: DataFrame, runs: DataFrame, block_shingles: int, block_tex
     is one group, with tree -1, or its runs are, whichever moves fewer texts: n of them over k blocks make n * k."""
     n_all, n_shingles = F.count(F.lit(1)), F.sum("n")
     whole = members.groupBy("root").agg(n_all.alias("texts"), blocks_of(n_all, n_shingles, block_texts, block_shingles).alias("blocks"))
-    big = whole.where("blocks > 1")
+    big = materialize(whole.where("blocks > 1"), "big")
+    small = lambda df: F.broadcast(df) if big.limit(100_001).count() <= 100_000 else df  # noqa: E731  (at most one a block of texts)
     own = runs.unionByName(runs.select(F.col("head").alias("id"), "tree", "head")).distinct()
-    own = own.join(members.select("id", "n", "root"), "id").join(big.select("root"), "root")  # texts of big components alone
+    own = own.join(members.join(small(big.select("root")), "root").select("id", "n", "root"), "id")  # texts of big components alone
     sizes = own.groupBy("root", "tree", "head").agg(n_all.alias("texts"), blocks_of(n_all, n_shingles, block_texts, block_shingles).alias("blocks"))
     cost = sizes.groupBy("root").agg(F.sum(F.col("texts") * F.col("blocks")).alias("cost"))
-    loose = big.join(cost, "root").where("cost < texts * blocks").select("root")
-    by_run = own.join(loose, "root").join(sizes, ["root", "tree", "head"]).select("id", "tree", F.col("head").alias("node"), "blocks")
-    at_once = members.join(whole, "root").join(loose, "root", "left_anti")
-    at_once = at_once.select("id", F.lit(-1).alias("tree"), F.col("root").alias("node"), "blocks")
+    loose = materialize(big.join(cost, "root").where("cost < texts * blocks").select("root"), "loose")
+    by_run = own.join(small(loose), "root").join(sizes.drop("root", "texts"), ["tree", "head"]).select("id", "tree", F.col("head").alias("node"), "blocks")
+    at_once = members.join(small(big.select("root", "blocks")), "root", "left").join(small(loose), "root", "left_anti")
+    at_once = at_once.select("id", F.lit(-1).alias("tree"), F.col("root").alias("node"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
     places = by_run.unionByName(at_once).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     return places.groupBy("id").agg(F.collect_list(F.struct("tree", "node", "block", "blocks")).alias("places"))  # one a tree at most
 
 
 def links_of(
-    docs: DataFrame, members: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float, width: int, depth: int, broadcast_rows: int = 1_000_000
+    docs: DataFrame, members: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float, width: int, depth: int, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """What `verified` returns for every pair of blocks of the groups. Only members' texts are moved: while these are at
     most broadcast_rows, the others are left out before the shuffle."""
