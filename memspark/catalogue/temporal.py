@@ -42,20 +42,43 @@ def temporal_presence(spark, d):
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(tm.presence(F.col("t0"))), 6).alias("presence"))
 
 
+#: Questions, and how far from the anchor what they speak of is.
+QUESTIONS = {
+    "what happened 2 weeks ago": -14, "two weeks ago?": -14, "Last month, who called": -30, "yesterday": -1, "what comes tomorrow": 1,
+    "the sale 3 days before": -3, "and TEN days after": 10, "one year later": 365, "this week": 0, "eleven  months ago": -330,
+    "today or 5 days ago": 0, "in 3 days": None, "fortnight ago": None, "13 days": None, "seen on 2024-01-03, a week ago": -17,
+}
+
+
 @query("""
-select phrase, days, count(*) as n from events, (values ('2 weeks ago', -14), ('last month', -30), ('yesterday', -1), ('in 3 days', 3)) p(phrase, days)
-where ts >= timestamp '2024-01-20 12:00:00' + to_days(cast(least(days, 0) as integer)) and ts <= timestamp '2024-01-20 12:00:00' + to_days(cast(greatest(days, 0) as integer))
-group by phrase, days""")
+select question, cast(days as double) as days, (select count(*) from events
+    where ts between least(there, anchor) and greatest(there, anchor)) as n
+from (select question, days, anchor, anchor + to_hours(cast(24 * days as integer)) as there from (
+  select question, days, timestamp '2024-01-20 12:00:00' as anchor from (values
+  ('what happened 2 weeks ago', -14.0), ('two weeks ago?', -14.0), ('Last month, who called', -30.0), ('yesterday', -1.0), ('what comes tomorrow', 1.0),
+  ('the sale 3 days before', -3.0), ('and TEN days after', 10.0), ('one year later', 365.0), ('this week', 0.0), ('eleven  months ago', -330.0),
+  ('today or 5 days ago', 0.0), ('seen on 2024-01-03, a week ago', -17.5)) q(question, days)))""")
 def relative_offset_days(spark, d):
-    """Events between the anchor and what a phrase refers to; months have 30 days."""
-    events, out = tables.event_records(spark, d).select("t0"), None
-    for phrase in ("2 weeks ago", "last month", "yesterday", "in 3 days"):
-        there = tm.reference_instant(phrase, ANCHOR)
-        low, high = min(there, ANCHOR), max(there, ANCHOR)
-        one = events.where(F.col("t0").between(low, high)).agg(F.count(F.lit(1)).alias("n"))
-        one = one.select(F.lit(phrase).alias("phrase"), F.lit(tm.relative_days(phrase)).alias("days"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out.where("n > 0")
+    """Events between the anchor and what a question speaks of; months have 30 days. One pass over the events."""
+    events = tables.event_records(spark, d).select("t0")
+    anchor = F.lit(ANCHOR)
+    there = [tm.reference_instant(F.lit(q), anchor) for q in QUESTIONS]
+    counts = [F.count_if(F.col("t0").between(F.least(t, anchor), F.greatest(t, anchor))) for t in there]
+    days = [(F.unix_micros(t) - F.unix_micros(anchor)) / F.lit(tm.DAY_MICROS) for t in there]
+    one = events.agg(F.array(*[F.struct(F.lit(q).alias("question"), x.alias("days"), c.alias("n")) for q, x, c in zip(QUESTIONS, days, counts, strict=True)]).alias("rows"))
+    return one.select(F.inline("rows")).where("days is not null")
+
+
+@query("""
+select event_id, array_to_string(regexp_extract_all(text, '(?:\\d{4}-\\d{2}-\\d{2}|next week|\\d+ days ago|May 2023)'), '|') as tokens,
+       case when ts < timestamp '2024-01-20 12:00:00' then -1 when ts > timestamp '2024-01-20 12:00:00' then 1 else 0 end as side
+from (select event_id, ts, event_type || ' on ' || strftime(ts, '%Y-%m-%d') || case event_id % 3 when 0 then ', due next week' when 1 then ', said ' || (event_id % 17) || ' days ago, not two days ago' else ' since May 2023' end as text from events)""")
+def temporal_tokens(spark, d):
+    """The dates and phrases in a text about each event, and the side of the anchor that the event is on."""
+    events = tables.table(spark, d, "events")
+    tail = F.when(F.col("event_id") % 3 == 0, ", due next week").when(F.col("event_id") % 3 == 1, F.concat(F.lit(", said "), (F.col("event_id") % 17).cast("string"), F.lit(" days ago, not two days ago")))
+    text = F.concat("event_type", F.lit(" on "), F.date_format("ts", "yyyy-MM-dd"), F.coalesce(tail, F.lit(" since May 2023")))
+    return events.select("event_id", F.array_join(tm.tokens(text), "|").alias("tokens"), tm.compare(F.col("ts"), F.lit(ANCHOR)).alias("side"))
 
 
 @query("""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.scratch import materialize
+
 K = 60
 #: Weights of the four channels.
 CHANNELS = {"lexical": 0.40, "semantic": 0.35, "graph": 0.15, "temporal": 0.10}
@@ -50,11 +52,12 @@ def split(candidates: DataFrame, budget: int, trace_limit: int) -> DataFrame:
 def splice(primary: DataFrame, secondary: DataFrame, limit: int, reserve: int) -> DataFrame:
     """Fill the last `reserve` of `limit` places with rows of secondary that primary doesn't have.
 
-    Both are (id, score). Novel rows follow the head with scores just below its least; unused places go to primary.
+    Both are (id, score); their heads, which are all that matters, are written once. Novel rows follow the head with scores just below its least; unused places go to primary.
     """
     order = Window.orderBy(F.desc("score"), "id")
-    p = primary.orderBy(F.desc("score"), "id").limit(limit).withColumn("rn", F.row_number().over(order))
-    novel = secondary.join(p.where(F.col("rn") <= limit - reserve), "id", "left_anti").orderBy(F.desc("score"), "id").limit(reserve)
+    cut = lambda df, n, name: materialize(df.select("id", "score").orderBy(F.desc("score"), "id").limit(n), name)
+    p = cut(primary, limit, "primary").withColumn("rn", F.row_number().over(order))
+    novel = cut(secondary, limit + reserve, "secondary").join(p.where(F.col("rn") <= limit - reserve), "id", "left_anti").orderBy(F.desc("score"), "id").limit(reserve)
     novel = novel.withColumn("i", F.row_number().over(order))
     used = novel.agg(F.count(F.lit(1)).alias("used"))
     head = p.join(F.broadcast(used)).where(F.col("rn") <= limit - F.col("used"))

@@ -25,7 +25,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
     """(id, hop): the fewest edges from a seed(id) to each node within `hops`."""
     steps = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")) if directed else both_ways(edges.select("src", "dst"))
-    steps = steps.distinct()
+    steps = materialize(steps.distinct(), "steps")  # read once a hop
     seen = seeds.select("id", F.lit(0).alias("hop")).distinct()
     frontier = seen
     for hop in range(1, hops + 1):
@@ -37,7 +37,7 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False)
 
 def budgeted_hops(edges: DataFrame, seeds: DataFrame, hops: int, edge_budget: int) -> DataFrame:
     """Like k_hop, but each hop takes only its best edges by confidence, ties by the edge's ends; with each node's parent."""
-    steps = both_ways(edges)
+    steps = materialize(both_ways(edges), "steps")  # read once a hop
     seen = seeds.select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent")).distinct()
     frontier = seen
     for hop in range(1, hops + 1):
@@ -53,7 +53,7 @@ def activation(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float =
     """(id, activation, hop): the largest product of decay and confidence over paths of at most `hops` edges from
     seeds(id, score), and the fewest edges that reach it."""
     steps = both_ways(edges.select("src", "dst", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")).alias("c")))
-    steps = steps.groupBy("u", "v").agg(F.max("c").alias("c"))
+    steps = materialize(steps.groupBy("u", "v").agg(F.max("c").alias("c")), "steps")  # read once a hop
     best = seeds.select("id", F.col("score").alias("a"), F.lit(0).alias("hop"))
     frontier = best
     for hop in range(1, hops + 1):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Statuses that are not current.
 NOT_CURRENT = ("contradicted", "superseded", "deprecated", "deleted_soft")
-FILTER = re.compile(r"(?:(?<=\s)|^)(id|kind|ns|scope|predicate|subject|object):(\S+)")
+FILTER = re.compile(r"\b(id|kind|ns|scope|predicate|subject|object):(\S+)")
 MAX_IDS, MAX_KINDS = 64, 32
 #: Legs of each mode.
 MODES = {"vector": ("vector",), "graph": ("graph",), "hybrid": ("sql", "vector"), "mix": ("sql", "vector", "graph")}

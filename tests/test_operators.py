@@ -215,10 +215,35 @@ def test_product_versions_reuse_equal_fingerprints(spark):
     assert rows(graph.new_versions(made, stored)) == [("p", "f2", 2, False), ("q", "f9", 1, True)]
 
 
+def test_temporal_phrases(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from memspark.catalogue.temporal import QUESTIONS
+    from memspark.functions import temporal as tm
+
+    anchor = datetime(2024, 1, 20, 12)
+    frame = spark.createDataFrame([(q,) for q in [*QUESTIONS, None]], "q string")
+    found = {r.q: r.at for r in frame.select("q", tm.reference_instant(F.col("q"), F.lit(anchor)).alias("at")).collect()}
+    for q, days in QUESTIONS.items():
+        if q.startswith("seen on"):
+            assert found[q] == datetime(2024, 1, 3)
+        else:
+            assert (None if found[q] is None else (found[q] - anchor).total_seconds() / 86400) == days, q
+    assert found[None] is None
+    text = "On 3 May 2023, June 2022, 1/2/24 or 2024-02-30; yesterday, Last Week, 4 days later"
+    got = spark.createDataFrame([(text,)], "t string").select(tm.tokens(F.col("t"))).first()[0]
+    assert got == ["3 May 2023", "June 2022", "1/2/24", "2024-02-30", "yesterday", "Last Week", "4 days later"]
+    bad = spark.createDataFrame([("on 2024-02-30, or 2023-05-06",)], "t string").select(tm.reference_instant(F.col("t"), F.lit(anchor))).first()[0]
+    assert bad == datetime(2023, 5, 6)
+
+
 def test_plans():
     p = pq.plan("kind:clm,ent ns:a scope:user find  me", mode="mix", budget=7)
     assert p.filters.kinds == ("CLM", "ENT") and p.residual == "find me" and p.legs == ("sql", "vector", "graph") and p.limits["sql"] == 14 and p.explicit_boundary
     assert pq.plan("id:x", mode="graph").legs == ("sql", "graph") and pq.plan("id:x").intent == "structured"
+    assert pq.plan("(ns:x, see kind:ent").filters.ns == "x," and pq.residual("(ns:x y") == "( y" and pq.plan("xns:a b").filters.ns is None
     for bad in ("graph=1,graph=2", "graph", "graph=-1", ""):
         with pytest.raises(ValueError):
             pq.leg_weights(bad)
@@ -230,9 +255,42 @@ def test_plans():
 
 
 def test_record_lines_and_blocks(spark, tmp_path):
-    source = 'entity ent:a "Ann" person\nclaim clm:1:\n  subject: ent:a\n  predicate = likes\n  object: "green tea"\n  conf: 0.5\nstate sta:1\n  target: ent:a\n  fields: [1, true, x]\n'
+    source = """# a source
+entity person "Ada" as ent:ada
+claim clm:1:
+  subject ent:ada
+  predicate likes
+  object "green tea"
+  confidence 0.5
+  evidence [span:1, span:2]
+  status Observed
+state sta:1:
+  target ent:ada
+  field mood true
+  field level -3
+pack pk:1:
+  mode exact
+  include clm:1
+  include sta:1
+retrieve q:1:
+  query who likes tea
+  namespace team.a
+raw raw:1:
+  text it is 2.50
+"""
+    parsed = {r["id"]: r for r in rs.parse_blocks(source)}
+    assert parsed["ent:ada"]["attrs"] == {"entity_type": "person", "label": "Ada"}
+    assert parsed["clm:1"]["attrs"] == {"subject": "ent:ada", "predicate": "likes", "object": "green tea"}
+    assert parsed["clm:1"]["status"] == "observed" and parsed["clm:1"]["evidence"] == ["span:1", "span:2"]
+    assert parsed["sta:1"]["attrs"] == {"target": "ent:ada", "fields": {"mood": "true", "level": -3}}
+    assert parsed["pk:1"]["attrs"]["refs"] == ["clm:1", "sta:1"] and parsed["pk:1"]["attrs"]["reversible"] and parsed["pk:1"]["attrs"]["budget"] == 512
+    assert parsed["q:1"]["kind"] == "FLOW" and parsed["q:1"]["ns"] == "team.a" and parsed["q:1"]["attrs"]["query"] == "who likes tea"
+    assert parsed["raw:1"]["attrs"] == {"content": "it is 2.50", "source_ref": "dsl://raw:1"}
+    for bad in ("subject x", "claim c:\nsubject x", "claim c:\n  subject", "state s:\n  field x", "claim c:\n  status odd"):
+        with pytest.raises(ValueError):
+            rs.parse_blocks(bad)
     made = rs.from_blocks(spark, source)
-    assert rows(made, "id", "kind", "conf") == [("clm:1", "CLM", 0.5), ("ent:a", "ENT", 1.0), ("sta:1", "STA", 1.0)]
+    assert rows(made, "id", "kind", "conf")[:2] == [("clm:1", "CLM", 0.5), ("ent:ada", "ENT", 1.0)]
     rs.write_lines(made, f"{tmp_path}/lines")
     back = rs.read_lines(spark, f"{tmp_path}/lines")
     assert rows(back, "id", "kind", "conf", "attrs") == rows(made, "id", "kind", "conf", "attrs")
