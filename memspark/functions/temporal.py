@@ -85,7 +85,9 @@ def relative_days(text: Column) -> Column:
 
 
 def reference_instant(text: Column, anchor: Column) -> Column:
-    """The first valid ISO date in a text, else what it speaks of counted from the anchor; null if neither is there."""
+    """The instant that a text is, else the first valid ISO date in it, else what it speaks of counted from the anchor; null
+    if nothing is there."""
+    whole = F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}[T ]"), instant(text))
     dates = F.transform(F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0)), instant)
     stated = F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
-    return F.coalesce(stated, F.timestamp_micros(F.unix_micros(anchor) + relative_days(text) * DAY_MICROS))
+    return F.coalesce(whole, stated, F.timestamp_micros(F.unix_micros(anchor) + relative_days(text) * DAY_MICROS))

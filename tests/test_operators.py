@@ -90,11 +90,12 @@ def test_validity_includes_its_start_excludes_its_end_and_fails_closed(spark):
     assert found == [x for *_, x in cases]
 
 
-def test_months_have_thirty_days():
-    anchor = datetime(2024, 3, 31)
-    assert tm.reference_instant("2 months ago", anchor) == datetime(2024, 1, 31)
-    assert tm.relative_days("next year") == 365 and tm.relative_days("some day") is None
-    assert tm.reference_instant("2024-01-02T00:00:00+02:00", anchor) == datetime(2024, 1, 1, 22)
+def test_months_have_thirty_days(spark):
+    anchor, text = F.lit(datetime(2024, 3, 31)), F.col("value")
+    of = lambda value, what: spark.createDataFrame([(value,)], "value string").select(what).first()[0]
+    assert of("2 months ago", tm.reference_instant(text, anchor)) == datetime(2024, 1, 31)
+    assert of("next year", tm.relative_days(text)) == 365 and of("some day", tm.relative_days(text)) is None
+    assert of("2024-01-02T00:00:00+02:00", tm.reference_instant(text, anchor)) == datetime(2024, 1, 1, 22)
 
 
 def test_vectors(spark):
