@@ -160,15 +160,16 @@ def ledger_chain(spark, d):
 
 
 @query("""
-with r as (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents)
-select source, sha256(string_agg(rank || chr(9) || doc_id, chr(10) order by rank)) as fingerprint from r where rank <= 20 group by source""")
+with r as (select source, doc_id, n_chars / 7.0::double as score, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents)
+select source, sha256(string_agg(rank || chr(9) || doc_id || chr(9) || printf('%.17g', score) || chr(9) || 'graph=0.5,lexical=' || printf('%.17g', score), chr(10) order by rank)) as fingerprint from r where rank <= 20 group by source""")
 def candidate_fingerprint(spark, d):
     docs = tables.table(spark, d, "documents")
     key = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").alias("id"))
     part = docs.groupBy("source", F.pmod("doc_id", F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list(key)), 1, 20).alias("top"))
     best = part.groupBy("source").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 20).alias("top"))
-    ranked = best.select("source", F.posexplode("top").alias("pos", "s")).select("source", (F.col("pos") + 1).alias("rank"), F.col("s.id").cast("string").alias("id"))
-    return ranked.groupBy("source").agg(ev.fingerprint(ranked).alias("fingerprint"))
+    ranked = best.select("source", F.posexplode("top").alias("pos", "s")).select("source", (F.col("pos") + 1).alias("rank"), F.col("s.id").cast("string").alias("id"), (-F.col("s.c") / 7).alias("score"))
+    lined = ev.with_lines(ranked.withColumns({"lexical": F.col("score"), "graph": F.lit(0.5)}), ("lexical", "graph"))
+    return lined.groupBy("source").agg(ev.fingerprint().alias("fingerprint"))
 
 
 @query("select item_id, sha256(text) as sha256, true as intact from benchmark")

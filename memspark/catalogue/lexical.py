@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from memspark.functions import temporal as tm
 from memspark.functions import text as tx
-from memspark.operators import fusion, lexical
+from memspark.functions import vectors as vx
+from memspark.operators import fusion, grounding, lexical
 from memspark.plans import query as pq
 from memspark.sources import tables
 
 from .registry import Registry
+from .vectors import COSINE, PROBE
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -211,10 +215,7 @@ n as (select *, row_number() over (partition by day order by rank) as nth from e
 select id, day, rank from n order by (nth > 1), rank limit 40""")
 def date_diverse(spark, d):
     events = tables.event_records(spark, d).select("id", "event_id", F.date_format("t0", "yyyy-MM-dd").alias("day"), "value")
-    from pyspark.sql import Window
-
-    # Ranked lists are a retriever's cut; here the whole log is ranked once.
-    rows = events.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), "event_id")).cast("long"))
+    rows = fusion.placed(events, F.desc("value"), "event_id")
     return fusion.date_diverse(rows, 40).select("id", "day", "rank")
 
 
@@ -231,8 +232,10 @@ def candidate_split(spark, d):
 x as (select max(score) as most from r),
 o as (select doc_id, list_distinct(ts) as us from d),
 c as (select o.doc_id, greatest((list_contains(us, 'the')::int + list_contains(us, 'ha')::int + list_contains(us, 'of')::int + list_contains(us, 'onthe')::int + list_contains(us, 'thing')::int) / 5.0::double,
-             coalesce(score, 0) / greatest(most, 1)) as lexical from o left join r using (doc_id), x)
-select 'raw:' || doc_id as id, round(0.40 * lexical + 0.10 * 0.2, 6)::double as score from c order by score desc, id limit 20""")
+             coalesce(score, 0) / greatest(most, 1)) as lexical, case when source = 'src1' then 0.5 else 0.0 end as graph,
+             exp(-abs(doc_id % 60 - 29) / 30.0::double) as temporal, """ + COSINE + """ as semantic
+      from o left join r using (doc_id) join documents using (doc_id) left join embeddings on vec_id = doc_id, x)
+select 'raw:' || doc_id as id, round(0.40 * lexical + 0.35 * coalesce(semantic, 0) + 0.15 * graph + 0.10 * temporal, 6)::double as score from c order by score desc, id limit 20""")
 def channel_scores(spark, d):
     """The four-channel score: the lexical channel is the better of overlap and BM25 over the largest BM25 (1 at least)."""
     records = tables.raw_records(spark, d)
@@ -240,5 +243,10 @@ def channel_scores(spark, d):
     most = scored.agg(F.greatest(F.max("bm25"), F.lit(1.0)).alias("most"))
     rows = records.join(scored, "id", "left").join(F.broadcast(most))  # one row
     lex = F.greatest(tx.overlap(PHRASE, F.col("content")), F.coalesce("bm25", F.lit(0.0)) / F.col("most"))
-    channels = rows.select("id", lex.alias("lexical"), F.lit(0.0).alias("semantic"), F.lit(0.0).alias("graph"), tm.presence(F.lit(None)).alias("temporal"))
+    vector = tables.table(spark, d, "embeddings").select(tables.tagged("raw", "vec_id").alias("id"), vx.cosine(F.col("embedding"), vx.literal(PROBE)).alias("semantic"))
+    said = F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") % 60 * tm.DAY_MICROS)
+    near = records.select(F.col("id").alias("src"), F.explode(F.array("source_ref", F.concat(F.lit("lang:"), "ns"))).alias("dst"))
+    graph = grounding.neighbour_name_score(near, ["src1"], exact=True).withColumnRenamed("score", "graph")
+    joined = rows.join(vector, "id", "left").join(graph, "id", "left")
+    channels = joined.select("id", lex.alias("lexical"), "semantic", "graph", tm.decay(said, F.lit(datetime(2024, 1, 30))).alias("temporal"))
     return lexical.top(fusion.weighted(channels), 20, digits=6).select("id", "score")

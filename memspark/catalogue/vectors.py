@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as tx
 from memspark.functions import vectors as vx
 from memspark.operators import lexical, vectors
+from memspark.scratch import folder
 from memspark.sources import tables
 
 from .registry import Registry
@@ -38,9 +39,32 @@ def vector_cosine_scoped(spark, d):
     return vectors.nearest(_index(spark, d), PROBE, 10, where=F.col("scope") == "3", bonus=F.lit(0.05)).select("id", "score")
 
 
+def _bucket_index(spark, d):
+    path = folder(spark, "buckets")
+    vectors.write_index(_index(spark, d).select("id", "embedding"), path, 64)
+    return spark.read.parquet(path)
+
+
 @query()
 def vector_approximate_topk(spark, d):
-    return vectors.approximate(_index(spark, d), PROBE, 10).select("id", "score")
+    return vectors.approximate(_bucket_index(spark, d), PROBE, 10).select("id", "score")
+
+
+@query("""
+with s as (select q.vec_id as query_id, e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) as score
+           from embeddings q, embeddings e where q.vec_id % 50 = 0),
+t as (select query_id from s where score > 0 qualify row_number() over (partition by query_id order by score desc, id) <= 10)
+select query_id, count(*) as exact, true as enough from t group by query_id having count(*) > 0""")
+def vector_bucket_recall(spark, d):
+    """For every fiftieth vector, whether the index finds nine of ten of the nearest ten over all such queries."""
+    index = _bucket_index(spark, d)
+    rows = _index(spark, d).select("id", "embedding")
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    found = vectors.approximate_join(asked, index, 64, 10)
+    exact = vectors.exact_join(asked, rows, 10)
+    both = exact.join(found.select("query_id", "id", F.lit(1).alias("met")), ["query_id", "id"], "left")
+    share = both.agg((F.count("met") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+    return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("exact")).join(F.broadcast(share))  # one row
 
 
 @query("""

@@ -7,9 +7,13 @@ import hashlib
 import lzma
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from . import fusion
 
 
 def track(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
@@ -44,10 +48,10 @@ def summary(tracked: DataFrame, *by: str) -> DataFrame:
 
 def percentile_of(values: DataFrame, value: str, p: float, *by: str) -> DataFrame:
     """Nearest-rank percentile: the value at index round((n - 1) p), halves to even."""
-    window = Window.partitionBy(*by).orderBy(value)
-    counted = values.withColumn("__i", F.row_number().over(window) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    chosen = counted.where(F.col("__i") == F.bround((F.col("__n") - 1) * F.lit(p)).cast("int"))
-    return chosen.select(*by, F.col(value).alias("value"))
+    placed = fusion.placed(values.select(*by, value), *by, value, column="__at")
+    sizes = placed.groupBy(*by).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    wanted = sizes.select(*by, (F.col("__first") + F.bround((F.col("__n") - 1) * F.lit(p)).cast("long")).alias("__at"))
+    return placed.join(wanted, [*by, "__at"]).select(*by, F.col(value).alias("value"))
 
 
 def run_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -127,9 +131,21 @@ def chained(events: DataFrame) -> DataFrame:
     return events.withColumn("ok", ok)
 
 
-def fingerprint(candidates: DataFrame) -> Column:
-    """SHA-256 of the lines `rank, id` of candidates, in order of rank: an aggregate over a bounded list."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: F.concat_ws("\t", s["rank"].cast("string"), s["id"]))
+@pandas_udf("string")
+def shown_double(values: pd.Series) -> pd.Series:
+    """A double with 17 significant digits and no trailing zeros."""
+    return values.map(lambda x: f"{x:.17g}")
+
+
+def with_lines(candidates: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    """candidates(rank, id, score, and a column a channel) with the line each adds to a fingerprint; a null channel is none."""
+    sources = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), shown_double(F.col(c).cast("double"))) for c in sorted(channels)])
+    return candidates.withColumn("line", F.concat_ws("\t", F.col("rank").cast("string"), "id", shown_double(F.col("score").cast("double")), sources))
+
+
+def fingerprint() -> Column:
+    """SHA-256 of the lines (`with_lines`) of candidates, in order of rank: an aggregate over a bounded list."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"])
     return F.sha2(F.array_join(lines, "\n"), 256)
 
 
@@ -171,3 +187,16 @@ def bundles(cases: DataFrame) -> DataFrame:
     """(run, cases, bundle) of cases(run, case): SHA-256 over the sorted hashes of a run's canonical cases."""
     hashes = cases.select("run", F.sha2("case", 256).alias("h"))
     return hashes.groupBy("run").agg(F.count(F.lit(1)).alias("cases"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("bundle"))
+
+
+def narratives(packs: DataFrame, states: DataFrame, claims: DataFrame, limit: int, lens: str = "general") -> DataFrame:
+    """(pack, text) of packs(pack): the fields of its first state(pack, pos, fields), else its first `limit` claims(pack, pos,
+    subject, predicate, object), else that there is nothing. Claims are cut by rank before they are gathered."""
+    first = states.groupBy("pack").agg(F.min_by("fields", "pos").alias("f"))
+    shown = F.array_join(F.transform(F.map_entries("f"), lambda e: F.concat_ws("=", e["key"], e["value"])), "; ")
+    rank = F.row_number().over(Window.partitionBy("pack").orderBy("pos"))
+    cut = claims.withColumn("rank", rank).where(F.col("rank") <= limit)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "subject", "predicate", "object").alias("said")))), lambda s: s["said"])
+    told = cut.groupBy("pack").agg(F.array_join(lines, "; ").alias("told"))
+    j = packs.join(first.select("pack", shown.alias("state")), "pack", "left").join(told, "pack", "left")
+    return j.select("pack", F.concat(F.lit(f"[{lens}] "), F.coalesce("state", "told", F.lit("No narrative context available."))).alias("text"))

@@ -67,7 +67,18 @@ def splice(primary: DataFrame, secondary: DataFrame, limit: int, reserve: int) -
     return kept.unionByName(tail)
 
 
+def placed(rows: DataFrame, *order, column: str = "rank") -> DataFrame:
+    """rows with their place, from 1, in a total order. Rows are dealt out by range and numbered in each part; only the
+    counts of the parts, a row a part, are summed up, so no task holds them all."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    parts = materialize(parts, "placed")  # ranges are sampled, so they must be drawn once
+    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__nth", nth).join(F.broadcast(before), "__part").withColumn(column, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
+
+
 def date_diverse(rows: DataFrame, limit: int) -> DataFrame:
     """(id, day, rank): the first row of each day in rank order, then the others."""
-    nth = F.row_number().over(Window.partitionBy("day").orderBy("rank"))
-    return rows.withColumn("nth", nth).orderBy((F.col("nth") > 1).cast("int"), "rank").limit(limit)
+    heads = rows.groupBy("day").agg(F.min("rank").alias("first"))
+    return rows.join(heads, "day").orderBy((F.col("rank") > F.col("first")).cast("int"), "rank").limit(limit).drop("first")

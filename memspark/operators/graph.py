@@ -86,18 +86,17 @@ def visible(rows: DataFrame, moment: Column, start: str = "t0", end: str = "t1")
     return rows.where((F.col(start) <= moment) & (F.col(end).isNull() | (F.col(end) > moment)))
 
 
-def eligible(records: DataFrame, references: DataFrame, rounds: int = 20) -> DataFrame:
+def eligible(records: DataFrame, references: DataFrame) -> DataFrame:
     """Ids of current records whose references, and those' references, are current too: records(id, current),
-    references(id, ref)."""
+    references(id, ref). Each round adds ids, so the rounds end, however deep references are nested."""
     bad = materialize(records.where(~F.col("current")).select("id"), "ineligible")
     frontier = bad
-    for _ in range(rounds):
+    while True:
         reached = references.join(frontier.select(F.col("id").alias("ref")), "ref").select("id").distinct()
         frontier = materialize(reached.join(bad, "id", "left_anti"), "ineligible")
         if frontier.isEmpty():
             return records.select("id").join(bad, "id", "left_anti")
         bad = bad.unionByName(frontier)
-    raise RuntimeError("references are nested deeper than the bound")
 
 
 def leg_scores(reached: DataFrame, edges: DataFrame, lexical: DataFrame) -> DataFrame:

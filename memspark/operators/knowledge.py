@@ -100,8 +100,8 @@ def merge_candidates(mentions: DataFrame) -> DataFrame:
     return joined.select("boundary", "term", "node", "into", F.when(F.col("votes") > 0, 0.6).otherwise(0.4).alias("confidence"))
 
 
-def canonical(merges: DataFrame, rounds: int = 7) -> DataFrame:
-    """(node, root) of accepted merges(node, into), one a node: where following them ends, within 2 ** rounds - 1 steps.
+def canonical(merges: DataFrame, rounds: int = 6) -> DataFrame:
+    """(node, root) of accepted merges(node, into), one a node: where following them ends, within 2 ** rounds steps.
     Pointers are doubled each round; a cycle is cut off where the bound is."""
     at = materialize(merges.select("node", F.col("into").alias("root")), "canonical")
     for _ in range(rounds):

@@ -121,3 +121,25 @@ def gate(structured: Column, boundary: Column, hits: Column, has_query: bool, ex
         return F.lit(True)
     passes = (hits > 0) | (structured >= 1.0)
     return passes | (boundary >= 0.8) if explicit_boundary else passes
+
+
+def leg_text(records: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, search_text) of records(id, payload): the greatest of its vectors' texts(id, source_text), else its payload,
+    lower-cased."""
+    own = texts.groupBy("id").agg(F.max("source_text").alias("t"))
+    return records.join(own, "id", "left").select("id", F.lower(F.coalesce("t", "payload")).alias("search_text"))
+
+
+def current_page(scored: DataFrame, limit: int, history: bool = False) -> DataFrame:
+    """The best rows of scored(id, status, score) that are current: the page is full if enough are, since what is not
+    current goes before the cut. With `history` all count."""
+    from memspark.plans.query import current
+
+    return top(scored if history else scored.where(current(F.col("status"))), limit)
+
+
+def hydrated(hits: DataFrame, evidence: DataFrame) -> DataFrame:
+    """hits(id, score), which a limit has cut, with the ids of their evidence(id, evidence), joined by commas. Evidence of
+    other records is left in its scan, and a hit's is what one record names."""
+    own = evidence.join(F.broadcast(hits.select("id")), "id").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("evidence")), ",").alias("evidence"))
+    return hits.join(own, "id", "left").select("id", "score", F.coalesce("evidence", F.lit("")).alias("evidence"))

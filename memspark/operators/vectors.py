@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from memspark.functions import vectors as vx
 
@@ -22,20 +24,66 @@ def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None
     return top(scored, k)
 
 
-def approximate(vectors: DataFrame, query: list[float], k: int, tables: int = 20, bits: int = 4, seed: int = 11) -> DataFrame:
-    """Like `nearest`, over the vectors that share a random-hyperplane bucket with the query in some table.
+def planes(dimension: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(tables, bits, dimension))
 
-    A vector at cosine c of the query shares a table with it with probability (1 - acos(c) / pi) ** bits; the defaults
-    find those at 0.35 with a recall of 0.95. Buckets are column expressions: the scan is filtered, nothing is shuffled but the k best of each task.
+
+def bucketed(vectors: DataFrame, dimension: int, tables: int = 20, bits: int = 4, seed: int = 11) -> DataFrame:
+    """vectors(id, embedding, ...) once a table, with the (table, bucket) that its signs against random hyperplanes give.
+    Vectors of another length are in no bucket; their cosine is 0.
+
+    A vector at cosine c of a query shares a table with it with probability (1 - acos(c) / pi) ** bits; the defaults find
+    those at 0.35 with a recall of 0.95. More bits make smaller buckets and need more tables.
     """
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(query)))
-    hit = F.lit(False)
-    for table in planes:
-        same = F.lit(True)
-        for plane in table:
-            same = same & ((vx.dot(F.col("embedding"), vx.literal(plane.tolist())) >= 0) == bool(np.dot(plane, query) >= 0))
-        hit = hit | same
-    return nearest(vectors, query, k, where=hit)
+    matrix = planes(dimension, tables, bits, seed).reshape(tables * bits, dimension).T
+
+    @pandas_udf("array<int>")
+    def places(vectors: pd.Series) -> pd.Series:
+        if vectors.empty:
+            return pd.Series([], dtype=object)
+        signs = (np.stack(vectors.to_numpy()).astype(float) @ matrix >= 0).reshape(-1, tables, bits)
+        return pd.Series(list((signs << np.arange(bits)).sum(axis=2).astype(np.int32)))
+
+    whole = vectors.where((F.size("embedding") == dimension) & ~F.exists("embedding", lambda x: x.isNull()))
+    return whole.select("*", F.posexplode(places(F.col("embedding"))).alias("table", "bucket"))
+
+
+def write_index(vectors: DataFrame, path: str, dimension: int, tables: int = 20, bits: int = 4, seed: int = 11) -> None:
+    """Write the index in a folder a table, in order of bucket: of a file only the row groups of a bucket are read, and big
+    buckets are many files. The range goes on to the id, so no bucket is one task's."""
+    rows = bucketed(vectors, dimension, tables, bits, seed)
+    rows.repartitionByRange("table", "bucket", "id").sortWithinPartitions("table", "bucket").write.partitionBy("table").parquet(path)
+
+
+def approximate(index: DataFrame, query: list[float], k: int, tables: int = 20, bits: int = 4, seed: int = 11) -> DataFrame:
+    """Like `nearest`, over the vectors of an index (as written, same parameters) that share a bucket with the query."""
+    signs = np.einsum("tbd,d->tb", planes(len(query), tables, bits, seed), np.asarray(query, float)) >= 0
+    own = F.lit(False)
+    for t, row in enumerate(signs):
+        own = own | ((F.col("table") == t) & (F.col("bucket") == int((row << np.arange(bits)).sum())))
+    return nearest(index.where(own).drop("table", "bucket").dropDuplicates(["id"]), query, k)
+
+
+def approximate_join(queries: DataFrame, index: DataFrame, dimension: int, k: int, tables: int = 20, bits: int = 4, seed: int = 11) -> DataFrame:
+    """(query_id, id, score): for each of queries(query_id, embedding) the k nearest of the vectors that share a bucket."""
+    asked = bucketed(queries, dimension, tables, bits, seed).withColumnRenamed("embedding", "asked")
+    met = asked.join(index, ["table", "bucket"]).dropDuplicates(["query_id", "id"])
+    scored = met.select("query_id", "id", F.round(vx.cosine(F.col("embedding"), F.col("asked")), 9).alias("score")).where("score > 0")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def exact_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Like `approximate_join` against all vectors: a stated set of at most 10 000 queries, which is checked and sent to all
+    tasks; each salt keeps its k best before they meet."""
+    if queries.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10 000 queries: ask in blocks")
+    pairs = vectors.join(F.broadcast(queries.withColumnRenamed("embedding", "asked")))
+    scored = pairs.select("query_id", "id", F.round(vx.cosine(F.col("embedding"), F.col("asked")), 9).alias("score")).where("score > 0")
+    for keys in (["query_id", F.pmod(F.xxhash64("id"), F.lit(64))], ["query_id"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id"))
+        scored = scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return scored
 
 
 def hash_embedding(tokens: DataFrame, size: int = 64) -> DataFrame:
