@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memspark.functions import language as lg
+from memspark.functions import text as tx
 from memspark.operators import evaluation as ev
+from memspark.operators import fidelity as fi
 from memspark.operators import ingest as ig
 from memspark.sources import compact, tables
 
@@ -210,3 +212,32 @@ def narrative_pack(spark, d):
     o = tables.table(spark, d, "orders")
     claims = o.select(F.col("o_custkey").alias("pack"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("cust:"), "o_custkey").alias("subject"), F.lower("o_orderpriority").alias("predicate"), F.col("o_orderstatus").alias("object"))
     return ev.narratives(cust.select("pack"), states, claims, limit=6)
+
+
+@query("""
+with f(fact, a, b) as (values ('one', '1-urgent', 'f'), ('two', '5-low', 'o'), ('none', null, null)),
+x as (select c_custkey, fact, a is not null and (c_custkey % 10 = 0 or exists (select 1 from orders where o_custkey = c_custkey and lower(o_orderpriority) = a and lower(o_orderstatus) = b)) as kept
+      from customer, f where c_custkey % 7 <> 0 and (fact <> 'none' or c_custkey % 2 = 0))
+select c_custkey as case_id, round(coalesce(avg(kept::int), 1.0), 6) as retention from customer left join x using (c_custkey) group by c_custkey""")
+def temporal_retention(spark, d):
+    """Two or three facts a customer, recovered by the tokens of an order, or by a time that every tenth has."""
+    k = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"))
+    empty = F.array().cast("array<string>")
+    made = [F.struct(F.lit("one").alias("fact"), F.array(F.lit("1-urgent"), F.lit("f")).alias("tokens")), F.struct(F.lit("two"), F.array(F.lit("5-low"), F.lit("o"))), F.struct(F.lit("none"), empty)]
+    facts = k.where("case_id % 7 != 0").select("case_id", F.inline(F.array(*made))).where("fact != 'none' or case_id % 2 = 0")
+    claims = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), tx.tokens(F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).alias("tokens"))
+    return fi.temporal_retention(k, facts, claims, k.where("case_id % 10 = 0")).withColumn("retention", F.round("retention", 6))
+
+
+@query("""
+with s as (select distinct o_custkey, o_orderkey, l_suppkey % 3 = 0 as sound from orders left join lineitem on l_orderkey = o_orderkey and l_linenumber < 3),
+c as (select o_custkey, o_orderkey, coalesce(bool_or(sound), false) as sound from s group by all)
+select c_custkey as case_id, round(coalesce(avg(sound::int), 1.0), 6) as retention from customer left join c on o_custkey = c_custkey group by c_custkey""")
+def provenance_retention(spark, d):
+    """Orders as claims, their first two lines as spans, every third supplier as a raw record that is there."""
+    k = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"))
+    line = tables.table(spark, d, "lineitem").where("l_linenumber < 3").select("l_orderkey", F.xxhash64("l_orderkey", "l_linenumber", "l_suppkey").alias("span"), F.col("l_suppkey").alias("raw_id"))
+    o = tables.table(spark, d, "orders")
+    claims = o.join(line, o["o_orderkey"] == line["l_orderkey"], "left").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("claim"), "span")
+    raws = tables.table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("raw_id"))
+    return fi.provenance_retention(k, claims, line.select("span", "raw_id"), raws).withColumn("retention", F.round("retention", 6))

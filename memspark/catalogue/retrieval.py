@@ -116,6 +116,6 @@ def streamed_run_status(spark, d):
     # The table is one file of the folder, or a folder of its own.
     alone = log.inputFiles()[0].endswith("/events.parquet")
     stream = st.read_log(spark, d if alone else f"{d}/events.parquet", "events.parquet" if alone else "*.parquet", log.schema)
-    folded = st.run_status(stream.select(F.col("user_id").alias("run"), "event_id", F.col("event_type").alias("kind")))
+    folded = st.run_status(stream.select(F.col("user_id").alias("run"), "event_id", F.col("event_type").alias("kind")), ("purchase",), ("error",))
     st.drain(folded, st.upserting(f"{name}/state", "run"), f"{name}/checkpoint-{uuid.uuid4().hex}", mode="update")
     return st.latest(spark, f"{name}/state", "run")

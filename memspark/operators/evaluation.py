@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from . import fusion
 
@@ -131,7 +132,7 @@ def chained(events: DataFrame) -> DataFrame:
     return events.withColumn("ok", ok)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def shown_double(values: pd.Series) -> pd.Series:
     """A double with 17 significant digits and no trailing zeros."""
     return values.map(lambda x: f"{x:.17g}")

@@ -83,3 +83,26 @@ def shared_words(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(tx.tokens(a)), F.array_distinct(tx.tokens(b))
     union = F.size(F.array_union(x, y))
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
+
+
+def temporal_retention(cases: DataFrame, facts: DataFrame, claims: DataFrame, timed: DataFrame) -> DataFrame:
+    """(case_id, retention) of cases(case_id): the share of its facts(case_id, fact, tokens) that are recovered, by a record
+    with a time in timed(case_id), or by a claim of claims(case_id, tokens) that has all tokens. A fact without tokens is
+    never recovered; a case without facts has lost nothing."""
+    said = claims.select("case_id", F.col("tokens").alias("has"))
+    j = facts.join(said, "case_id", "left").groupBy("case_id", "fact").agg(
+        F.bool_or(F.coalesce(F.size(F.array_except("tokens", "has")) == 0, F.lit(False))).alias("said"), (F.max(F.size("tokens")) > 0).alias("any")
+    )
+    known = timed.select("case_id", F.lit(True).alias("timed")).distinct()
+    kept = F.col("any") & (F.col("said") | F.coalesce("timed", F.lit(False)))
+    shares = j.join(known, "case_id", "left").groupBy("case_id").agg(F.avg(kept.cast("double")).alias("share"))
+    return cases.join(shares, "case_id", "left").select("case_id", F.coalesce("share", F.lit(1.0)).alias("retention"))
+
+
+def provenance_retention(cases: DataFrame, claims: DataFrame, spans: DataFrame, raws: DataFrame) -> DataFrame:
+    """(case_id, retention) of cases(case_id): the share of its claims(case_id, claim, span), a row a span named, of which
+    some span(span, raw_id) is of a raw record that is there; 1 without claims."""
+    sound = spans.join(raws.select("raw_id"), "raw_id", "left_semi").select("span", F.lit(True).alias("sound")).distinct()
+    per = claims.join(sound, "span", "left").groupBy("case_id", "claim").agg(F.bool_or(F.coalesce("sound", F.lit(False))).alias("sound"))
+    shares = per.groupBy("case_id").agg(F.avg(F.col("sound").cast("double")).alias("share"))
+    return cases.join(shares, "case_id", "left").select("case_id", F.coalesce("share", F.lit(1.0)).alias("retention"))

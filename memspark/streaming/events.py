@@ -14,9 +14,10 @@ def read_log(spark: SparkSession, folder: str, pattern: str, schema: StructType
     return reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(folder)
 
 
-def run_status(events: DataFrame) -> DataFrame:
-    """Last completion or failure of each run(run, event_id, kind), in batch and in streaming alike."""
-    status = F.when(F.col("kind") == "purchase", "completed").when(F.col("kind") == "error", "failed")
+def run_status(events: DataFrame, completed: tuple[str, ...], failed: tuple[str, ...]) -> DataFrame:
+    """Last completion or failure of each run(run, event_id, kind) by the kinds that mean either, in batch and in streaming
+    alike."""
+    status = F.when(F.col("kind").isin(*completed), "completed").when(F.col("kind").isin(*failed), "failed")
     return events.groupBy("run").agg(
         F.max(F.when(status.isNotNull(), F.struct("event_id", status.alias("s"))))["s"].alias("status"), F.max("event_id").alias("last_event"), F.count(F.lit(1)).alias("events")
     )

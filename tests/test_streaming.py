@@ -19,9 +19,9 @@ def test_status_over_several_drains(spark, tmp_path):
     log, state = f"{tmp_path}/log", f"{tmp_path}/state"
     for first, last in ((0, 10), (10, 17), (17, 40)):
         spark.createDataFrame(rows(first, last), SCHEMA).coalesce(1).write.mode("append").parquet(log)
-        stream = st.run_status(st.read_log(spark, log, "*.parquet", SCHEMA, files_per_batch=1))
+        stream = st.run_status(st.read_log(spark, log, "*.parquet", SCHEMA, files_per_batch=1), ("purchase",), ("error",))
         st.drain(stream, st.upserting(state, "run"), f"{tmp_path}/checkpoint", mode="update")
-        whole = st.run_status(spark.createDataFrame(rows(0, last), SCHEMA))
+        whole = st.run_status(spark.createDataFrame(rows(0, last), SCHEMA), ("purchase",), ("error",))
         assert sorted(map(tuple, st.latest(spark, state, "run").select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
 
 
