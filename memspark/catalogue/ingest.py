@@ -223,7 +223,8 @@ def temporal_retention(spark, d):
     """Two or three facts a customer, recovered by the tokens of an order, or by a time that every tenth has."""
     k = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"))
     empty = F.array().cast("array<string>")
-    made = [F.struct(F.lit("one").alias("fact"), F.array(F.lit("1-urgent"), F.lit("f")).alias("tokens")), F.struct(F.lit("two"), F.array(F.lit("5-low"), F.lit("o"))), F.struct(F.lit("none"), empty)]
+    said = {"one": F.array(F.lit("1-urgent"), F.lit("f")), "two": F.array(F.lit("5-low"), F.lit("o")), "none": empty}
+    made = [F.struct(F.lit(k).alias("fact"), v.alias("tokens")) for k, v in said.items()]
     facts = k.where("case_id % 7 != 0").select("case_id", F.inline(F.array(*made))).where("fact != 'none' or case_id % 2 = 0")
     claims = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), tx.tokens(F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).alias("tokens"))
     return fi.temporal_retention(k, facts, claims, k.where("case_id % 10 = 0")).withColumn("retention", F.round("retention", 6))
