@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_main, line_dedup, ngram_join, packing, quality_bt, toxic_cnn, url_cascade, warc, weak_rules
+from . import decontam, filter_audit, html_main, line_dedup, merkle, ngram_join, packing, quality_bt, toxic_cnn, url_cascade, warc, weak_rules
 from .common import table, tokenizer_path
 
 URL_RULES = [
@@ -59,6 +59,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_cnn.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_url_cascade": op2_url_cascade,
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -153,3 +163,84 @@ select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_ite
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (doc_id) left join x using (doc_id)
 """
+
+
+def merkle_sql(high: int = 6, wide: int = 3) -> str:
+    """The manifest by recomputed ancestors: runs of eight as strings a level, a leaf's place in each from its rank alone.
+    Enough for 8^high documents a language and 8^wide languages."""
+    enc = lambda c, v: f"case when {c} is null then '-' else octet_length(encode({v}::varchar)) || ':' || {v}::varchar end"
+    head = " || ".join(enc(c, c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "flatten([[(ord(x) >> k) & 1 for k in range(8)] for x in string_split(doc_id::varchar, '')])"
+    crc = f"xor(list_reduce([4294967295::bigint] || {bits}, lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+    def tree(x: str, t: str, levels: int) -> str:
+        return ", ".join(
+            f"""{t}{k} as (select g, i // 8 as p, string_agg(h, '' order by i) as run, any_value(n) as n from {x}{k} where n > 1 group by all),
+            {x}{k + 1} as (select g, p as i, (n + 7) // 8 as n, sha256(run) as h from {t}{k})"""
+            for k in range(levels)
+        )
+
+    def last(x: str, levels: int) -> str:
+        return " union all ".join(f"select g, h from {x}{k} where n = 1" for k in range(levels + 1))
+
+    ctes = [
+        f"""a as (select doc_id, lang is not null as known, lang, sha256({head} || {enc('text', 'text')}) as leaf,
+                 case when {crc} % 3 = 0 then sha256({head} || {enc('text', low)}) end as tampered from documents)""",
+        """b as (select *, dense_rank() over (order by known, encode(lang)) - 1 as g from a)""",
+        """x0 as (select g, row_number() over (partition by g order by doc_id) - 1 as i, count(*) over (partition by g) as n, leaf as h, doc_id, tampered from b)""",
+        tree("x", "t", high),
+        f"s as ({last('x', high)})",
+        "y0 as (select 0 as g, s.g as i, count(*) over () as n, h from s)",
+        tree("y", "u", wide),
+        f"root as ({last('y', wide)})",
+        "f0 as (select x0.g, i, doc_id, x0.h as leaf, coalesce(tampered, x0.h) as acc, '' as sib from x0)",
+    ]
+    steps = [(f"t{k}", "f.g", f"i // {8**k}") for k in range(high)] + [(f"u{k}", "0", f"f.g // {8**k}") for k in range(wide)]
+    for k, (t, g, at) in enumerate(steps):
+        cut = f"substr(run, 1, (({at}) % 8) * 64)", f"substr(run, (({at}) % 8) * 64 + 65)"
+        ctes.append(f"""f{k + 1} as (select f.g, i, doc_id, leaf, case when run is null then acc else sha256({cut[0]} || acc || {cut[1]}) end as acc,
+            sib || coalesce({cut[0]} || {cut[1]}, '') as sib from f{k} f left join {t} t on t.g = {g} and t.p = ({at}) // 8)""")
+    return f"""with {", ".join(ctes)}
+        select doc_id, leaf, s.h as subroot, root.h as root, sha256(sib) as proof_sha256, acc as folded_root, acc = root.h as verified,
+               (select count(*) from (select unnest([{", ".join(f"(select count(*) from t{k} where t{k}.g = f.g)" for k in range(high))}]) as c) where c > 0)
+               + (select count(*) from (select unnest([{", ".join(f"(select count(*) from u{k})" for k in range(wide))}]) as c) where c > 0) as n_levels
+        from f{len(steps)} f join s on s.g = f.g, root"""
+
+
+ORACLE_SQL["op12_merkle_manifest"] = merkle_sql()
+
+ORACLE_SQL["op13_filter_audit"] = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
+f as (
+  select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+         {'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws),
+          'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'), 'E': min(w.doc_id) over (partition by text) < w.doc_id} as x
+  from w left join labels on w.doc_id = labels.doc_id),
+g as (
+  select part, [k for k in ['A', 'B', 'C', 'D', 'E'] if case k when 'A' then x.A when 'B' then x.B when 'C' then x.C when 'D' then x.D else x.E end] as fails,
+         count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+  from f group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+o as (
+  select a.c || b.c || c.c || d.c || e.c as filter_order from l a, l b, l c, l d, l e
+  where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s as (
+  select g.part, filter_order, step, filter_order[step] as filter, n, good, toxic, fails,
+         list_contains(fails, filter_order[step]) as failed,
+         len([k for k in fails if strpos(filter_order, k) < step]) > 0 as gone
+  from g, o, (select unnest(range(1, 6)) as step)),
+r as (
+  select part, filter_order, step::int as step, filter,
+         sum(n) filter (not failed and not gone) as kept, sum(n) filter (failed and not gone) as removed,
+         sum(n) filter (failed and gone) as redundant, sum(n) filter (failed and len(fails) = 1) as unique_fails,
+         sum(good) filter (failed and not gone) as good_lost, sum(toxic) filter (failed and not gone) as toxic_lost
+  from s group by all)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+       coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+       coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+       coalesce(sum(removed) over (partition by part, filter), 0)::bigint as shapley
+from r
+"""
