@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, filter_audit, html_main, line_dedup, merkle, ngram_join, packing, quality_bt, toxic_cnn, url_cascade, warc, weak_rules
+from . import decontam, filter_audit, html_main, line_dedup, merkle, ngram_join, oph_dedup, packing, quality_bt, toxic_cnn, url_cascade, warc, weak_rules
 from .common import table, tokenizer_path
 
 URL_RULES = [
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_cnn.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oph_dedup.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_near_dedup": op11_near_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -164,6 +169,21 @@ select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_ite
 from d left join h using (doc_id) left join x using (doc_id)
 """
 
+ORACLE_SQL["op11_near_dedup"] = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as shingle
+      from (select doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * shared >= 80 * (x.n + y.n - shared)),
+w(id, other) as (select a, b from l union select w.id, l.b from w join l on w.other = l.a),
+c as (select id, least(id, min(other)) as component_id from w group by id)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept
+from d left join n on d.doc_id = n.doc_id left join c on d.doc_id = c.id
+"""
+
 
 def merkle_sql(high: int = 6, wide: int = 3) -> str:
     """The manifest by recomputed ancestors: runs of eight as strings a level, a leaf's place in each from its rank alone.
