@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from memspark.llm import decontam, html_main, line_dedup, ngram_join, packing, quality_bt, toxic_cnn, url_cascade, warc, weak_rules
+from memspark.llm import decontam, filter_audit, html_main, line_dedup, merkle, ngram_join, oph_dedup, packing, quality_bt, toxic_cnn, url_cascade, warc, weak_rules
 from memspark.llm.common import tokenizer_path
 from memspark.llm.queries import URL_RULES
 
@@ -760,3 +760,204 @@ def test_held_out_rows_teach_nothing(spark):
     rows = labelled_sample(table, labels, "quality", 40, 1000).collect()
     assert Counter(r.label for r in rows) == {0: 40, 1: 40}
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+
+
+# MinHash near-dedup (11)
+
+
+def copies_of(rows, percent=80, width=4):
+    """(doc_id, shingles, component, kept) by comparing all pairs of rows."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        k = min(width, len(ws))
+        sets.append({tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if ws else set())
+    top = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * (len(a) + len(sets[j]) - both) and top[i] != top[j]:
+                old, new = top[i], top[j]
+                top = [new if x == old else x for x in top]
+    key = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    least = {t: min(key(i) for i in range(len(rows)) if top[i] == t) for t in set(top)}
+    return Counter((r[0], len(s), None if least[t][0] else least[t][1], least[t] == key(i)) for i, (r, s, t) in enumerate(zip(rows, sets, top, strict=True)))
+
+
+@pytest.mark.parametrize(("stars", "block"), [(3, 500), (0, 7), (1, 5)])
+def test_near_copies_as_brute_force(spark, stars, block):
+    """Groups of copies of copies, so that buckets hold texts that their heads are not linked with."""
+    draw = random.Random(6)
+    rows = []
+    for k in range(5):
+        text = [f"t{k}x{i * (k + 3) % 91}" for i in range(60 + 25 * k)]
+        for _ in range(25):
+            other = draw.choice([r[1].split() for r in rows[-20:] if f"t{k}x1" in r[1]] or [text])[:]
+            for _ in range(draw.randint(0, 3)):
+                other[draw.randrange(len(other))] = f"w{draw.random()}"
+            rows.append((draw.randint(0, 10**6), " ".join(other)))
+    rows += [(1, "few words"), (2, "FEW\nwords"), (3, ""), (4, None), (None, rows[0][1]), (rows[5][0], rows[30][1])]
+    found = oph_dedup.near_copies(docs(spark, rows), stars=stars, block_texts=block).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == copies_of(rows)
+
+
+def test_near_copies_edges(spark, edges, nothing):
+    found = oph_dedup.near_copies(edges).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == copies_of(EDGES)
+    assert oph_dedup.near_copies(nothing).collect() == []
+    kept = oph_dedup.kept(edges)
+    assert kept.columns == edges.columns
+    want = {i for i, _, _, k in copies_of(EDGES) if k}
+    assert {r.doc_id for r in kept.collect()} == want and 4 in want and 5 not in want
+
+
+def test_bins_borrow_from_their_donors():
+    for n in (1, 2, 40, 4000):
+        found = np.unique(ngram_join.mixed(np.arange(1, n + 1, dtype=np.uint64)))
+        sig = oph_dedup.signature(found)
+        least = {}
+        for h in found.tolist():
+            least.setdefault(h * oph_dedup.BINS >> 64, h)
+        for b in range(oph_dedup.BINS):
+            donor = b if b in least else next(d for d in oph_dedup.DONORS[b].tolist() if d in least)
+            assert sig[b] == least[donor]
+
+
+def test_stars_bound_what_is_compared(spark):
+    """A bucket of 3 000 texts that all hang on their head costs a comparison a text, not a pair of texts each."""
+    base = [f"x{i}" for i in range(400)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(3000)]
+    table = docs(spark, rows)
+    texts = oph_dedup.profiles(table.select("doc_id", "text"), 4).where("n > 0").withColumn("id", oph_dedup.F.monotonically_increasing_id())
+    texts = oph_dedup.materialize(texts.withColumn("rep", oph_dedup.F.struct(*oph_dedup.KEY)), "t")
+    runs = oph_dedup.later_in_run(oph_dedup.banded(texts), ["key"], "id", ["band"], "b").withColumnRenamed("least", "head")
+    edges = oph_dedup.unjoined(runs, None)
+    placed = oph_dedup.starred(edges, texts, 250_000, 500)
+    places = sum(len(r.places) for r in placed.select("places").collect())
+    assert edges.count() < 3000 * 4 and places < 3000 * 6
+    found = oph_dedup.near_copies(table).collect()
+    assert len(found) == 3000 and {r.component_id for r in found} == {0}
+
+
+# Merkle manifest (12)
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def manifest_of(rows):
+    """rows: (doc_id, source, lang, n_chars, text). Trees as nested lists, proofs by walking them."""
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def tree(nodes):
+        found = [nodes]
+        while len(found[-1]) > 1:
+            found.append([sha(*found[-1][i : i + 8]) for i in range(0, len(found[-1]), 8)])
+        return found
+
+    def proof(levels, at):
+        for nodes in levels[:-1]:
+            run = nodes[at // 8 * 8 :][:8]
+            yield run[: at % 8], run[at % 8 + 1 :]
+            at //= 8
+
+    langs = {}
+    for r in rows:
+        langs.setdefault(r[2], []).append((r[0] is None, r[0] or 0, sha(*map(enc, r)), r))
+    order = sorted(langs, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {x: tree([leaf for _, _, leaf, _ in sorted(langs[x], key=lambda y: y[:3])]) for x in order}
+    top = tree([trees[x][-1][0] for x in order])
+    out = Counter()
+    for k, x in enumerate(order):
+        for at, (_, _, leaf, r) in enumerate(sorted(langs[x], key=lambda y: y[:3])):
+            path = [*proof(trees[x], at), *proof(top, k)]
+            altered = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[4] is not None
+            h = sha(*map(enc, (*r[:4], r[4].translate(low)))) if altered else leaf
+            for before, after in path:
+                h = sha(*before, h, *after)
+            out[r[0], leaf, trees[x][-1][0], top[-1][0], sha(*(s for p in path for side in p for s in side)), h, h == top[-1][0], len(path)] += 1
+    return out
+
+
+MANIFEST = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "n_levels"]
+
+
+@pytest.mark.parametrize("sizes", [{"en": 1}, {"en": 8}, {"en": 9, None: 1}, {"": 2, None: 65, "é": 74, "z": 1, "a": 513}, {f"l{k}": 1 + k % 3 for k in range(70)}])
+def test_manifest_as_brute_force(spark, sizes):
+    draw = random.Random(4)
+    ids = draw.sample(range(-500, 5000), sum(sizes.values()))
+    rows = []
+    for lang, n in sizes.items():
+        rows += [(ids.pop(), draw.choice(["web", None, ""]), lang, draw.choice([None, 7]), draw.choice([None, "", "Some TEXT ünï", "no capitals"])) for _ in range(n)]
+    draw.shuffle(rows)
+    table = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, grp int, h int, path int").repartition(3)
+    assert Counter(tuple(r[c] for c in MANIFEST) for r in merkle.manifest(table).collect()) == manifest_of(rows)
+
+
+def test_manifest_edges(edges, nothing):
+    rows = [(i, None, None, None, t) for i, t in EDGES]
+    found = merkle.manifest(edges).collect()
+    assert Counter(tuple(r[c] for c in MANIFEST) for r in found) == manifest_of(rows)
+    assert any(not r.verified for r in found) and any(r.verified for r in found)
+    assert merkle.manifest(nothing).collect() == []
+
+
+# Filter audit (13)
+
+
+def audit_of(rows, labels):
+    """rows: (doc_id, lang, text); every order is run on every document."""
+    from itertools import permutations
+
+    good, toxic = ({i for i, *x in labels if i is not None and x[k] == 1} for k in (0, 1))
+    least = {}
+    for i, _, t in rows:
+        if i is not None:
+            least[t or ""] = min(least.get(t or "", i), i)
+    failed = []
+    for i, lang, t in rows:
+        t = t or ""
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        of = {"A": len(ws) < 100, "B": 100 * len(set(ws)) < 80 * len(ws), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t), "D": bool(re.search(r"[#$%&*|]", t))}
+        of["E"] = t in least and (i is None or least[t] < i)
+        failed.append((lang or "", of, i in good, i in toxic))
+    out = {}
+    for part in {f[0] for f in failed}:
+        shares = Counter()
+        for order in permutations("ABCDE"):
+            left = [f for f in failed if f[0] == part]
+            for step, k in enumerate(order, 1):
+                gone = [f for f in left if f[1][k]]
+                left = [f for f in left if not f[1][k]]
+                every = [f for f in failed if f[0] == part and f[1][k]]
+                alone = [f for f in every if sum(f[1].values()) == 1]
+                out[part, "".join(order), step] = [len(left), len(gone), len(every) - len(gone), len(alone), sum(f[2] for f in gone), sum(f[3] for f in gone)]
+                shares[k] += len(gone)
+        for (p, order, step), x in out.items():
+            if p == part:
+                x.append(shares[order[step - 1]])
+    return {(*k, *v) for k, v in out.items()}
+
+
+def test_audit_as_brute_force(spark, data):
+    draw = random.Random(2)
+    many = " ".join(f"w{i}" for i in range(120))
+    texts = [many, many + " #", " ".join(["same"] * 130), many.upper(), "SHORT", "", None, "a | b", "few words", *(f"{many} {k}" for k in range(20))]
+    rows = [(draw.choice([None, *range(40)]), draw.choice(["en", "de", None, ""]), draw.choice(texts)) for _ in range(300)]
+    labels = [(draw.choice([None, *range(40)]), draw.choice([0, 1, None]), draw.choice([0, 1, None])) for _ in range(50)]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, lang string, text string, count int, part int").repartition(3)
+    known = spark.createDataFrame([(*x, 9) for x in labels], "doc_id long, quality int, toxic int, did int")
+    found = filter_audit.audit(table, known).collect()
+    names = ["part", "filter_order", "step", *filter_audit.COUNTS]
+    assert len(found) == 120 * 5 * 3 and {tuple(r[c] for c in names) for r in found} == audit_of(rows, labels)
+
+
+def test_audit_edges(spark, edges, nothing):
+    known = spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    names = ["part", "filter_order", "step", *filter_audit.COUNTS]
+    found = {tuple(r[c] for c in names) for r in filter_audit.audit(edges, known.limit(0)).collect()}
+    assert found == audit_of([(i, None, t) for i, t in EDGES], [])
+    assert filter_audit.audit(nothing, known).collect() == []
