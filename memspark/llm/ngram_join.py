@@ -8,8 +8,6 @@ with the target recall.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,9 +30,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, width: int = 5, words: Callable[[str | None], list[bytes]] = words_of) -> np.ndarray:
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's runs of `width` words; a shorter text's words are one shingle."""
-    ws = words(text)
+    ws = words_of(text)
     if not ws:
         return np.empty(0, dtype=np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), dtype=np.uint64, count=len(ws))

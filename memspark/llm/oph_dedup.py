@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_key, materialize
-from .ngram_join import KEY, assigned, blocks_of, components, fingerprint, mixed, of_each, overlaps, row_key, shingles, spanning
+from .ngram_join import KEY, PLACES, assigned, blocks_of, components, fingerprint, mixed, of_each, overlaps, row_key, spanning
 from .runs import later_in_run
 
 #: 32 bands of 5 values: of pairs at the threshold 0.8 a share of 1 - (1 - 0.8^5)^32, all but 3 in a million, meet in one.
@@ -33,6 +34,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's runs of `width` words; a shorter text's words are one shingle."""
+    ws = words_of(text)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), dtype=np.uint64, count=len(ws))
+    k = min(width, len(ws))
+    runs = [hashes[j : len(ws) - k + 1 + j] * PLACES[j % len(PLACES)] + np.uint64(j) for j in range(k)]
+    return np.unique(mixed(sum(map(mixed, runs), np.uint64(k)))) if ws else hashes
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """The least of the sorted hashes in each bin of their range, bins without one densified."""
     at = np.concatenate([[0], np.searchsorted(found, EDGES), [len(found)]])
@@ -63,7 +73,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         for b in batches:
             prints, sizes, keys = [], [], []
             for text in b.column(3).to_pylist():
-                found = shingles(text, width, words_of)
+                found = shingles(text, width)
                 prints.append(fingerprint(found) if len(found) else (0, 0))
                 sizes.append(len(found))
                 keys.append(bands(signature(found)[None])[0].tobytes() if len(found) else b"")
@@ -119,7 +129,7 @@ def compared(docs: DataFrame, placed: DataFrame, width: int, percent: int, broad
             out: list[tuple] = []
             held = 0
             for text, i, f1, f2, places in zip(*(b.column(c).to_pylist() for c in ("text", "id", "f1", "f2", "places")), strict=True):
-                codes = shingles(text, width, words_of)
+                codes = shingles(text, width)
                 if fingerprint(codes) != (f1, f2):
                     continue  # another text with this key's hashes
                 own = codes.tobytes()
