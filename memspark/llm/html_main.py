@@ -46,14 +46,14 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 SLOTS = frozenset("nav aside footer header form section menu dialog".split())
 # Whole classes, ids and roles, without a number at their end, that mark what is not the article. The first
-# mark adverts and comments inside an article as well; the others are for hosts with too few pages to learn from.
+# mark adverts and comments inside an article as well, the others beside it alone.
 ASIDE = frozenset(
     "ad ads advert adverts advertisement advertisements adsense ad-banner ad-container ad-slot sponsor sponsored "
-    "comment comments comment-list comment-body comment-form comments-area comments-section disqus disqus_thread respond reply "
+    "comment comments comment-list comment-body comment-form comments-area comments-section disqus disqus_thread "
     "share sharing share-buttons social-share sharedaddy".split()
 )
 NOT_ARTICLE = ASIDE | frozenset(
-    "banner promo promotion cookie cookies cookie-notice cookie-banner cookie-consent cookie-bar consent gdpr notice notices "
+    "respond reply banner promo promotion cookie cookies cookie-notice cookie-banner cookie-consent cookie-bar consent gdpr notice notices "
     "alert popup modal overlay newsletter newsletter-signup subscribe subscription signup login sidebar widget widgets "
     "widget-area nav navbar navigation nav-menu menu main-menu breadcrumb breadcrumbs header page-header site-header footer "
     "page-footer site-footer social social-links related related-posts related-articles recommended pagination pager toolbar "
@@ -125,37 +125,28 @@ def unwanted(tag: str, attributes: str, in_main: bool, in_pre: bool) -> tuple[in
     return why, " ".join(sorted(names))
 
 
-def by_names(page: Page) -> tuple[list[bool], bool]:
-    """Which elements are dropped on a host with too few pages to learn from, and whether all articles lie in elements that
-    their names would drop.
+def by_names(page: Page) -> list[bool]:
+    """Which elements their tags and names drop, on every host alike.
 
     A name drops nothing that holds the page's main or article: its main elements, else, if no article is outside of named
-    elements, its articles. One that holds outside alone drops nothing in an article, or in a main without articles."""
+    elements, its articles. Of what it holds, only these stay. One that holds outside alone drops nothing in an article, or
+    in a main without articles."""
     tags, why, n = page.tags, page.why, len(page.tags)
     if not any(w > 1 for w in why):
-        return [w == 1 for w in why], False
+        return [w == 1 for w in why]
     hard = page.below({i for i in range(n) if why[i] == 1})
     filled = page.around({i for i, raw in page.pieces if not hard[i] and raw.strip()})
     named = page.below({i for i in range(n) if why[i] > 1})
     live = [filled[i] and not hard[i] for i in range(n)]
     articles = {i for i in range(n) if tags[i] == "article" and live[i] and not why[i]}
     mains = {i for i in range(n) if tags[i] == "main" and live[i]} | {i for i in page.main_roles if live[i]}
-    rescued = not mains and bool(articles) and all(named[i] for i in articles)
-    held = page.around(articles if rescued else mains)
+    core = articles if not mains and articles and all(named[i] for i in articles) else mains
+    held, kept = page.around(core), page.below(core)
     busy = page.around(articles)
     inner = page.below({i for i in range(n) if tags[i] == "article" and not why[i]} | {i for i in mains if not busy[i]})
     inside = [page.parents[i] >= 0 and inner[page.parents[i]] for i in range(n)]
-    return [w == 1 or w > 1 and not held[i] and not (w == 3 and inside[i]) for i, w in enumerate(why)], rescued
-
-
-def by_tags(page: Page) -> list[bool]:
-    """Which elements are dropped whatever the host's templates: for their tags, as hidden, and adverts and comments that
-    lie in an article without holding one."""
-    inside = [above >= 0 and page.mains[above] for above in page.parents]
-    if not any(w == 2 for w in page.why):
-        return [w == 1 for w in page.why]
-    held = page.around({i for i, t in enumerate(page.tags) if t in ("article", "main") and not page.why[i]})
-    return [w == 1 or w == 2 and not held[i] and (inside[i] or page.tags[i] == "article") for i, w in enumerate(page.why)]
+    beside = page.below({i for i in range(n) if why[i] > 1 and held[i] and not kept[i]})
+    return [w == 1 or w > 1 and not held[i] and not (w == 3 and inside[i]) or beside[i] and not held[i] and not kept[i] for i, w in enumerate(why)]
 
 
 def parse(html: str) -> Page:
@@ -268,37 +259,13 @@ def parse(html: str) -> Page:
     return page
 
 
-def roots(page: Page, dropped: list[bool], rescued: bool) -> set[int]:
-    """The elements to take text from: outermost main elements that are kept and hold text, else outermost articles,
-    else the whole page. Articles that all lie in named elements must hold half of the text."""
-    n = len(page.tags)
-    gone = page.below({i for i in range(n) if dropped[i]})
-    kept = [(i, raw) for i, raw in page.pieces if not gone[i]]
-    sizes = page.sizes(kept)
-    for name in ("main", "article"):
-        found = {i for i in range(n) if page.tags[i] == name and sizes[i] and not gone[i]}
-        inner = page.below(found)
-        found = {i for i in found if not inner[page.parents[i]]}
-        if found and not (rescued and 2 * sum(sizes[i] for i in found) < sizes[0]):
-            return found
-    return {0}
-
-
-LEARNED = 0  # stands among a host's templates if they were counted on enough pages with an article
-
-
 def gather(page: Page, templates: frozenset[int] = frozenset()) -> str:
-    """The page's text without dropped elements and templates. A template that holds half of the text or more stays, with
-    all below it, unless it lies beside an article. On a host without enough pages to learn from, names say what is dropped, and text is that of the
-    page's roots."""
+    """The page's text without what tags and names drop and without templates. A template that holds half of the text or
+    more stays, with all below it, unless it lies beside an article."""
     n = len(page.tags)
-    if LEARNED in templates:
-        dropped, inside = by_tags(page), [True] * n
-    else:
-        dropped, rescued = by_names(page)
-        inside = page.below(roots(page, dropped, rescued))
+    dropped = by_names(page)
     gone = page.below({i for i in range(n) if dropped[i]})
-    kept = [(i, raw) for i, raw in page.pieces if inside[i] and not gone[i]]
+    kept = [(i, raw) for i, raw in page.pieces if not gone[i]]
     if templates:
         hits = {i for i in range(n) if page.hashes[i] in templates and countable(page, i)}
         shaped = {i for i in slots_of(page) if page.shapes[i] in templates}
@@ -351,10 +318,9 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def templates_of(pages: DataFrame, least: int, share: float, slot_share: float, enough: int) -> DataFrame:
+def templates_of(pages: DataFrame, least: int, share: float, slot_share: float) -> DataFrame:
     """(host, hash) of the subtrees that recur: on the share of a host's pages of different text, and on `least` of them
-    at least, or 5 if they are prose outside of any article; shapes on slot_share of its pages with an article. A host
-    with `enough` pages with an article has a row LEARNED."""
+    at least, or 5 if they are prose outside of any article; shapes on slot_share of its pages with an article."""
 
     def run(batches):
         for b in batches:
@@ -379,16 +345,15 @@ def templates_of(pages: DataFrame, least: int, share: float, slot_share: float,
         .when(F.col("kind") == PROSE_BLOCK, F.greatest(F.lit(5), share * F.col("total")))
         .otherwise(F.greatest(F.lit(least), share * F.col("total")))
     )
-    learned = totals.where(F.col("framed") >= enough).select("host", F.lit(LEARNED).cast("long").alias("hash"))
-    return held.where(F.col("pages") >= floor).select("host", "hash").unionByName(learned)
+    return held.where(F.col("pages") >= floor).select("host", "hash")
 
 
-def main_text(pages: DataFrame, least: int = 3, share: float = 0.3, slot_share: float = 0.05, enough: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
+def main_text(pages: DataFrame, least: int = 3, share: float = 0.3, slot_share: float = 0.05, broadcast_rows: int = 200_000) -> DataFrame:
     """Extract the main text of every page from its whole html.
 
-    Returns page_id, url, text, n_chars. On a host with `enough` pages with an article, the text is what the host's
-    templates and the tags of menus, forms, scripts and the like leave of the page. On others it is that of the page's
-    main element or articles, else of its body, without elements whose class, id or role says that they are no article.
+    Returns page_id, url, text, n_chars. The text is what the host's templates, the tags of menus, forms, scripts and the
+    like, and elements whose class, id or role says that they are no article leave of the page. Tags and names are judged
+    alike on a host of any size, so other pages change a page's text by what recurs on them alone.
     References are decoded, white space in a block becomes one space, blocks are joined by one space. Null and empty html
     give an empty text; a null url is a page of host "". Repeated rows are handled alike and count as one page; an empty
     table gives an empty table. Broken and deeply nested html takes time in proportion to its length.
@@ -397,7 +362,7 @@ def main_text(pages: DataFrame, least: int = 3, share: float = 0.3, slot_share:
     The templates are broadcast if there are at most broadcast_rows; beyond, each page's own are joined to it.
     """
     slim = pages.select("page_id", "url", "html")
-    templates = materialize(templates_of(slim, least, share, slot_share, enough), "templates")
+    templates = materialize(templates_of(slim, least, share, slot_share), "templates")
     schema = T.StructType([slim.schema["page_id"], slim.schema["url"], *T._parse_datatype_string("text string, n_chars long").fields])
 
     def result(b, texts):
@@ -422,7 +387,7 @@ def main_text(pages: DataFrame, least: int = 3, share: float = 0.3, slot_share:
             rows = set()
             for key, url, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 host = parts(url)[0]
-                rows |= {(key, host, LEARNED), *((key, host, h) for _, h, _, _ in subtree_rows(host, parse(html or "")))}
+                rows |= {(key, host, h) for _, h, _, _ in subtree_rows(host, parse(html or ""))}
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["key", "host", "hash"])
 
     keyed = slim.withColumn("__ms_key", F.xxhash64("url", "html"))

@@ -560,8 +560,44 @@ def test_articles_keep_what_names_might_mean():
         "<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>": "so x = 1",
         '<pre><div class="comments">a</div></pre>': "a",
     }.items():
-        found = html_main.parse(page(f"<article>{inner}</article>"))
-        assert html_main.gather(found) == html_main.gather(found, frozenset({html_main.LEARNED})) == text, inner
+        assert html_main.gather(html_main.parse(page(f"<article>{inner}</article>"))) == text, inner
+
+
+ONE_OFF = ['<div class="notice">n</div>', '<div class="comments"><p>c</p></div>', '<section id="comments"><p>s</p></section>',
+           '<div class="sidebar">b</div>', '<div class="ad">a</div>', '<div class="cookie-notice">k</div>']
+
+
+@pytest.mark.parametrize("size", [1, 4, 6, 40])
+def test_one_rule_on_hosts_of_every_size(spark, size):
+    """What one page alone has beside its article goes by its name, and stays without one, however many pages the host has."""
+    article = lambda i: f"<article><h1>Head {i}</h1><p>text {i}, all of its own</p><div class='respond'>He will respond {i}.</div></article>"
+    lead = lambda i: f"<section><p>lead {i} of the page</p></section>"
+    menu = "<div><a href='/'>start</a> <a href='/x'>other</a></div>"
+    rows, want = [], {}
+    for k, block in enumerate([*ONE_OFF, lead(0), ""]):
+        for i in range(size):
+            own = block if i == 0 else ""
+            rows.append((100 * k + i, f"http://h{k}.com/{i}", page(f"{menu}{own}{article(i)}")))
+            kept = f"lead {i} of the page " if own.startswith("<section><p>") else ""
+            want[100 * k + i] = f"{'' if size >= 4 else 'start other '}{kept}Head {i} text {i}, all of its own He will respond {i}."
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (200_000, 0):
+        assert {r.page_id: r.text for r in html_main.main_text(pages, broadcast_rows=limit).collect()} == want
+
+
+def test_templates_carry_pages_without_articles(spark):
+    """Pages of plain divs: what recurs goes, and without templates it stays."""
+    draw = random.Random(12)
+    words = lambda n: " ".join("".join(draw.choices("aeioulnrst", k=5)) for _ in range(n))
+    menu, foot = f"<div class='qq'><a>{words(3)}</a></div>", f"<div>{words(6)}</div>"
+    rows, want = [], {}
+    for i in range(12):
+        want[i] = f"{words(5)} {words(40)}"
+        head, body = want[i].split()[:5], want[i].split()[5:]
+        rows.append((i, "http://p.com/", page(f"{menu}<div><div>{' '.join(head)}</div><div>{' '.join(body)}</div></div><div class='ad'>{words(4)}</div>{foot}")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_main.main_text(pages).collect()} == want
+    assert all(html_main.gather(html_main.parse(h)) != want[i] for i, _, h in rows)
 
 
 def test_templates_of_shape_carry_the_result(spark):
@@ -580,7 +616,7 @@ def test_templates_of_shape_carry_the_result(spark):
     for limit in (200_000, 0):
         found = {r.page_id: r.text for r in html_main.main_text(pages, broadcast_rows=limit).collect()}
         assert all(found[i].startswith(want[i]) and found[i].endswith("once") and len(found[i].split()) == len(want[i].split()) + 4 for i in want)
-    off = html_main.gather(html_main.parse(rows[0][2]), frozenset({html_main.LEARNED}))
+    off = html_main.gather(html_main.parse(rows[0][2]))
     assert len(off.split()) > len(found[0].split()) + 5
 
 
@@ -593,7 +629,7 @@ def test_html_takes_time_in_proportion():
         start = time.perf_counter()
         found = html_main.parse(broken)
         html_main.subtree_rows("h", found)
-        html_main.gather(found, frozenset({html_main.LEARNED, found.hashes[-1]}))
+        html_main.gather(found, frozenset({found.hashes[-1]}))
         assert time.perf_counter() - start < 20, broken[:30]
     start = time.perf_counter()
     html_main.parse("<b>" * 8000 + "</i>" * n)
