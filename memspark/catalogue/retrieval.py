@@ -50,20 +50,34 @@ def hybrid_retrieval(spark, d):
     return rt.retrieve(_stores(spark, d), plan, embedding=PROBE).select("id", F.round("score", 9).alias("score"), "legs")
 
 
-@query()
+@query(SQL_LEG.replace("order by score desc, id limit 20),\nv as", "order by score desc, id limit 50),\nv as") + """,
+hub as (select source, max(doc_id) as hub from documents group by source),
+e as (select 'raw:' || doc_id as src, 'raw:' || hub as dst from documents join hub using (source) where doc_id <> hub),
+b as (select src as u, dst as v from e union all select dst, src from e), n as (select u, count(*) as n from b group by u),
+near as (select id, 0 as hop from a union all select distinct v, 1 from b where u in (select id from a) and v not in (select id from a)),
+g as (select id, round((case when hop = 0 then 0.72 else 0 end + least(0.6, coalesce(n, 0) * 0.1))::double, 9) as score from near left join n on id = u order by score desc, id limit 20),
+r as (select id, row_number() over (order by score desc, id) as rank, 'sql' as leg, 1.0 as w from (select * from a order by score desc, id limit 20)
+  union all select id, row_number() over (order by score desc, id), 'vector', 1.0 from v union all select id, row_number() over (order by score desc, id), 'graph', 0.5 from g)
+select id, round(sum(w::double / (60 + rank)), 9) as score, string_agg(leg, ',' order by leg) as legs from r group by id order by sum(w::double / (60 + rank)) desc, id limit 10""")
 def mixed_retrieval(spark, d):
     """All legs: the text, the vectors, and the graph around the text's best hits."""
     plan = pq.plan("ns:en onthe thing", mode="mix", budget=10)
-    return rt.retrieve(_stores(spark, d), plan, embedding=PROBE, weights={"sql": 1.0, "vector": 1.0, "graph": 0.5})
+    return rt.retrieve(_stores(spark, d), plan, embedding=PROBE, weights={"sql": 1.0, "vector": 1.0, "graph": 0.5}).select("id", F.round("score", 9).alias("score"), "legs")
 
 
-@query()
+@query("""
+with p as (select 'evt:' || event_id as id, round(exp(-abs(epoch_us(ts) - epoch_us(timestamp '2024-01-20 12:00:00')) / 8.64e10 / 30), 9) as near, event_type || ' ' || props as content
+  from events where event_type <> 'error'),
+a as (select id, 0.55 + 0.22 + 0.8 + 0.1 + 0.15 as score from p where contains(lower(content), 'purchase') order by id limit 20),
+r as (select id, row_number() over (order by score desc, id) as rank, 'sql' as leg from a
+  union all select id, row_number() over (order by near desc, id), 'temporal' from (select * from p order by near desc, id limit 20))
+select id, round(sum(1.0::double / (60 + rank)), 9) as score, string_agg(leg, ',' order by leg) as legs from r group by id order by sum(1.0::double / (60 + rank)) desc, id limit 10""")
 def temporal_retrieval(spark, d):
     """Events near a moment."""
     e = tables.event_records(spark, d).withColumn("content", F.concat_ws(" ", "action", "props"))
     plan = pq.plan("kind:EVT purchase", mode="hybrid", budget=10, temporal=True)
     plan = pq.Plan(**{**plan.__dict__, "legs": ("sql", "temporal"), "limits": {"sql": 20, "temporal": 20}})
-    return rt.retrieve(rt.Stores(e), plan, reference=datetime(2024, 1, 20, 12))
+    return rt.retrieve(rt.Stores(e), plan, reference=datetime(2024, 1, 20, 12)).withColumn("score", F.round("score", 9))
 
 
 @query(SQL_LEG + """,

@@ -108,10 +108,7 @@ def embedding_margin(spark, d):
     index = _index(spark, d)
     means = index.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
     asked = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("v"))
-    # Labels are a closed set of ten queries, broadcast against all vectors: a stated query set.
-    pairs = index.crossJoin(F.broadcast(asked.select(F.col("label").alias("query_id"), "v")))
-    scored = pairs.select("query_id", "id", (F.col("label") == F.col("query_id")).alias("gold"), F.round(vx.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
-    return vectors.margins(scored).withColumn("margin", F.round("margin", 6))
+    return vectors.label_margins(index, asked.select(F.col("label").alias("query_id"), "v")).withColumn("margin", F.round("margin", 6))
 
 
 @query("""
@@ -140,8 +137,7 @@ from s join q using (i) join z using (doc_id), zq where z.n > 0 group by doc_id,
 order by score desc, id limit 10""")
 def hash_embedding_topk(spark, d):
     """Documents nearest to a phrase by hash embedding."""
-    words = tables.raw_records(spark, d).select("id", F.explode(tx.tokens(F.col("content"))).alias("token"))
+    texts = tables.raw_records(spark, d).select("id", vectors.hashed(tx.tokens(F.col("content"))).alias("v"))
     asked = vx.literal(vectors.hash_embed(["the", "onthe", "thing", "of", "ha"]))
-    parts = vectors.hash_embedding(words)
-    scored = parts.groupBy("id").agg(F.sum(F.col("x") * F.get(asked, F.col("i").cast("int"))).alias("score"))
+    scored = texts.select("id", F.round(vx.dot(F.col("v"), asked), 9).alias("score"))
     return lexical.top(scored.where(F.round("score", 9) > 0), 10).select("id", "score")

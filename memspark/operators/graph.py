@@ -3,7 +3,7 @@ DataFrame, and every traversal is bounded by a number of hops."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.scratch import materialize
@@ -107,6 +107,14 @@ def leg_scores(reached: DataFrame, edges: DataFrame, lexical: DataFrame) -> Data
     return joined.select("id", "hop", score.alias("score"))
 
 
+def best_of_each(rows: DataFrame, key: str, order: list[Column], n: int, salts: int = 64) -> DataFrame:
+    """Rows of which the first n by key and order are among: the first n of each salt of a key, so a key that a third of the
+    rows share is cut in many tasks before its rows meet."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
+    nth = F.row_number().over(Window.partitionBy(key, "__salt").orderBy(*order))
+    return rows.withColumn("__salt", salt).withColumn("__nth", nth).where(F.col("__nth") <= n).drop("__salt", "__nth")
+
+
 def recurring(facts: DataFrame, least: int) -> DataFrame:
     """Observations: (subject, predicate) that `least` or more episodes support; facts(subject, predicate, episode)."""
     return facts.groupBy("subject", "predicate").agg(F.countDistinct("episode").alias("episodes")).where(F.col("episodes") >= least)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from memspark.functions import vectors as vx
+from memspark.scratch import materialize
 
 from .lexical import top
 
@@ -94,6 +95,21 @@ def hash_embedding(tokens: DataFrame, size: int = 64) -> DataFrame:
     return summed.select("id", "i", (F.col("v") / norms).alias("x"))
 
 
+@pandas_udf("array<double>")
+def hashed(tokens: pd.Series) -> pd.Series:
+    """The unit hash embedding, 64 wide, of each array of tokens, repeats counting; all zeros without tokens. A batch hashes
+    each of its tokens once, and no token leaves its text's task."""
+    rows = [() if t is None else t for t in tokens]
+    kinds, back = np.unique(np.concatenate([np.asarray(r, dtype=object) for r in rows] or [np.empty(0, dtype=object)]).astype(str), return_inverse=True)
+    digests = [hashlib.sha256(t.encode()).digest() for t in kinds.tolist()]
+    place = np.array([int.from_bytes(d[:4], "big") % 64 for d in digests], dtype=np.int64)
+    sign = np.array([1.0 if d[4] % 2 == 0 else -1.0 for d in digests])
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    raw = np.bincount(owner * 64 + place[back], weights=sign[back], minlength=64 * len(rows)).reshape(-1, 64) if len(back) else np.zeros((len(rows), 64))
+    length = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+    return pd.Series(list(np.divide(raw, length, out=np.zeros_like(raw), where=length > 0)))
+
+
 def hash_embed(tokens: list[str], size: int = 64) -> list[float]:
     """The hash embedding of a query."""
     raw = np.zeros(size)
@@ -133,3 +149,16 @@ def margins(scored: DataFrame) -> DataFrame:
         F.max_by("gold", F.struct(F.col("score"), (-F.col("id")).alias("i"))).alias("top_is_gold"),
     )
     return best.select("query_id", "top_is_gold", F.coalesce(F.col("g") - F.col("d"), F.lit(0.0)).alias("margin"))
+
+
+def label_margins(index: DataFrame, asked: DataFrame, block: int = 1_000) -> DataFrame:
+    """`margins` of queries asked(query_id, v), a label each, against index(id, label, embedding): all are gold or not to all,
+    so queries go out in blocks of at most `block`, a scan of the index each."""
+    numbered = materialize(asked.withColumn("__block", F.row_number().over(Window.orderBy("query_id")) - 1), "labels")  # a row a label
+    out = None
+    for b in range(-(-numbered.count() // block)):
+        own = F.broadcast(numbered.where(F.floor(F.col("__block") / block) == b).select("query_id", "v"))
+        pairs = index.join(own, F.lit(True))
+        scored = pairs.select("query_id", "id", (F.col("label") == F.col("query_id")).alias("gold"), F.round(vx.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
+        out = margins(scored) if out is None else out.unionByName(margins(scored))
+    return out if out is not None else margins(index.select(F.col("label").alias("query_id"), "id", F.lit(True).alias("gold"), F.lit(0.0).alias("score")).limit(0))
