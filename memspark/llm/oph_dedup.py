@@ -175,8 +175,7 @@ def starred(edges: DataFrame, texts: DataFrame, block_shingles: int, block_texts
     sized = edges.join(texts.select("id", "n"), "id")
     blocks = blocks_of(F.count(F.lit(1)), F.sum("n"), block_texts, block_shingles).alias("blocks")
     stars = materialize(sized.groupBy("head").agg(blocks), "stars")
-    many = stars.where("blocks > 1")  # at most one for every block_texts edges or block_shingles shingles
-    many = F.broadcast(many) if many.limit(100_001).count() <= 100_000 else many
+    many = small(stars.where("blocks > 1"))  # at most one for every block_texts edges or block_shingles shingles
     members = sized.select("id", "head").join(many, "head", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.select("id", place(-1, "head", F.pmod(F.xxhash64("id"), F.col("blocks")), F.col("blocks"), 2).alias("p"))
     heads = stars.select(F.col("head").alias("id"), "head", "blocks").select("id", place(-1, "head", 0, F.col("blocks"), 1).alias("p"))
@@ -208,11 +207,17 @@ def still_open(runs: DataFrame, linked: DataFrame, roots: DataFrame) -> DataFram
 
     runs: id, band, head. Where the head's own links have joined all of a bucket, it needs no look at components."""
     apart = runs.join(linked.select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"], "left_anti")
-    wide = apart.select("band", "head").distinct()
+    wide = small(materialize(apart.select("band", "head").distinct(), "wide"))
     rest = runs.join(wide, ["band", "head"], "left_semi")
-    rest = rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = materialize(rest.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rest")
     mixed_ones = rest.groupBy("band", "head").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
-    return rest.join(mixed_ones.select("band", "head"), ["band", "head"], "left_semi").select("band", F.col("head").alias("bucket"), "id")
+    mixed_ones = small(materialize(mixed_ones.select("band", "head"), "mixed"))
+    return rest.join(mixed_ones, ["band", "head"], "left_semi").select("band", F.col("head").alias("bucket"), "id")
+
+
+def small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """rows to be broadcast while they are at most `most`, so that a bucket that many texts share stays where it is read."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def classes(docs: DataFrame, percent: int, width: int, stars: int, block_shingles: int, block_texts: int) -> DataFrame:
