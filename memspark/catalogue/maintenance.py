@@ -18,6 +18,7 @@ from .registry import Registry
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
+BUCKETS = 8  # of these small tables; a store of many files a change has more
 NOW, LATER = "2024-01-01T00:00:00Z", "2024-06-01T00:00:00Z"
 
 
@@ -58,7 +59,7 @@ l as (select distinct source, unnest([src, dst]) as node from e)"""
 def _changed_graph(spark, d):
     """A graph of customers and claims after a change: claims of status P are gone, those of status O say something else, and
     customers in debt are no longer there, so claims of theirs hang on unresolved names."""
-    store = Generations(spark, folder(spark, "graph"))
+    store = Generations(spark, folder(spark, "graph"), BUCKETS)
     orders, customers = tables.table(spark, d, "orders"), tables.table(spark, d, "customer")
     gs.reproject(store, _entities(customers).unionByName(_claims(orders, F.col("o_orderstatus"))))
     gone = orders.where("o_orderstatus = 'P'").select(tables.tagged("clm", "o_orderkey").alias("id"))
@@ -110,7 +111,7 @@ def atomic_ingest(spark, d):
     """Each conversation is a document of its turns and of an entity; those of more than four turns come again, with their
     user's turns alone, which name the entity. Then the index follows."""
     at = folder(spark, "ingest")
-    store, index = Generations(spark, f"{at}/records"), Generations(spark, f"{at}/index")
+    store, index = Generations(spark, f"{at}/records", BUCKETS), Generations(spark, f"{at}/index", BUCKETS)
     turns = tables.table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     many = turns.groupBy("conv_id").count().where("count > 4").select("conv_id")
 

@@ -116,23 +116,23 @@ def gist(records: DataFrame) -> DataFrame:
     return records.select(F.col("id").alias("ref"), F.col("kind").alias("ref_kind"), projections.label().alias("ref_label"), raw.alias("raw"))
 
 
-def wanted(records: DataFrame, known: DataFrame) -> DataFrame:
-    """(ref, source): the records that a projection of records looks at, there or not, sources of what is quoted included."""
-    direct = references(records).select(F.col("value").alias("ref"), "source")
+def wanted(named: DataFrame, known: DataFrame) -> DataFrame:
+    """(ref, source): the records that a projection of references looks at, there or not, sources of what is quoted included."""
+    direct = named.select(F.col("value").alias("ref"), "source")
     quoted = direct.join(known.where("raw is not null").select("ref", "raw"), "ref").select(F.col("raw").alias("ref"), "source")
     return direct.unionByName(quoted).distinct()
 
 
-def project(records: DataFrame, known: DataFrame) -> Projection:
-    """The projection of records, given the gist of all records that they look at (their own too, if they name each other).
+def project(records: DataFrame, named: DataFrame, known: DataFrame) -> Projection:
+    """The projection of records, given their references and the gist of all records that they look at (their own too, if
+    they name each other); all three are read several times.
 
     A name that is a record's id is that record. Otherwise a required one is an unresolved reference, and any other a value,
     the same node for the same text but for case and white space in one boundary. Edges without two different ends are left out.
     """
-    records = materialize(records, "records")
     squashed = F.regexp_replace("value", r"\s+", " ")
     kinds = F.create_map(*[F.lit(x) for pair in NODE_KINDS.items() for x in pair])
-    refs = references(records).join(known.withColumnRenamed("ref", "value"), "value", "left")
+    refs = named.join(known.withColumnRenamed("ref", "value"), "value", "left")
     found = F.col("ref_kind").isNotNull()
     refs = refs.withColumns({
         "node": F.when(found | F.col("required"), F.col("value")).otherwise(value_node(F.col("ns"), F.col("scope"), squashed)),
@@ -157,7 +157,7 @@ def project(records: DataFrame, known: DataFrame) -> Projection:
     joined = edges.select("source", F.explode(F.array("src", "dst")).alias("node")).unionByName(links.select("source", "node")).distinct()
     synthetic = told.join(joined, ["source", "node"], "left_semi").select("node", "kind", "label", F.lit(True).alias("synthetic"), "source")
     real = records.select(F.col("id").alias("node"), kinds[F.col("kind")].alias("kind"), projections.label().alias("label"), F.lit(False).alias("synthetic"), F.col("id").alias("source"))
-    return Projection(edges, links, terms_of(records, refs, agents), real.unionByName(synthetic), wanted(records, known))
+    return Projection(edges, links, terms_of(records, refs, agents), real.unionByName(synthetic), wanted(named, known))
 
 
 def ends_of(records: DataFrame, refs: DataFrame, agents: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ class Generations:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._read: dict[int, bytes] = {}
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(self._conf)
 
@@ -39,20 +40,22 @@ class Generations:
 
     def manifest(self, generation: int | None = None) -> dict:
         n = self.latest() if generation is None else generation
-        if not n:
-            return {}
-        text = self.spark.read.text(f"{self.root}/generations/{n:012d}", wholetext=True).first()[0]
-        return json.loads(text)
+        if n and n not in self._read:
+            stream = self._fs.open(self._path(f"{self.root}/generations/{n:012d}"))
+            self._read[n] = bytes(stream.readAllBytes())  # a generation never changes
+            stream.close()
+        return json.loads(self._read[n]) if n else {}
 
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     def touched(self, *keys: DataFrame) -> list[int]:
         """The buckets that the keys (one column each) lie in: at most `buckets` numbers."""
-        found: set[int] = set()
+        found = None
         for k in keys:
-            found |= {r[0] for r in k.select(self.bucket(F.col(k.columns[0])).alias("b")).distinct().collect()}
-        return sorted(found)
+            own = k.select(self.bucket(F.col(k.columns[0])).alias("b"))
+            found = own if found is None else found.unionByName(own)
+        return sorted(r[0] for r in found.distinct().collect())
 
     def read(self, name: str, buckets: list[int] | None = None, schema: StructType | str | None = None, generation: int | None = None) -> DataFrame:
         """A table, or some of its buckets; empty, with the schema given, if there is none of it."""

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspark.operators import projection as pj
 from memspark.scratch import materialize
@@ -37,14 +38,18 @@ def read(store: Generations, name: str, buckets: list[int] | None = None) -> Dat
     return store.read(name, buckets, SCHEMAS[name])
 
 
+def columns(name: str) -> list[str]:
+    return T.StructType.fromDDL(SCHEMAS[name]).names
+
+
 def nodes(store: Generations) -> DataFrame:
     return pj.nodes(read(store, "tallies"))
 
 
 def of(store: Generations, name: str, ids: DataFrame, key: str) -> DataFrame:
     """A table's rows with one of ids (one column), from the buckets that these lie in alone."""
-    wanted = ids.toDF("__id").distinct()
-    return read(store, name, store.touched(wanted)).join(wanted.withColumnRenamed("__id", key), key, "left_semi").select(*read(store, name, []).columns)
+    rows = read(store, name, store.touched(ids))
+    return rows.join(ids.toDF(key).distinct(), key, "left_semi").select(*columns(name))
 
 
 def staged(store: Generations, changed: DataFrame, removed: DataFrame | None = None) -> tuple[dict, dict]:
@@ -52,15 +57,14 @@ def staged(store: Generations, changed: DataFrame, removed: DataFrame | None = N
     current: tables of which some buckets are replaced, and tables that grow.
 
     Read and written are the buckets of the records that changed or named what changed; tallies and wants only grow."""
-    changed = materialize(changed.select(*read(store, "records", []).columns), "changed")
+    changed = materialize(changed.select(*columns("records")), "changed")
     gone = changed.select("id") if removed is None else changed.select("id").unionByName(removed.select("id")).distinct()
-    gone = materialize(gone, "gone")
     old = materialize(of(store, "records", gone, "id"), "old")
     before, after = (pj.gist(x).withColumn("g", F.struct("ref_kind", "ref_label", "raw")).select("ref", "g") for x in (old, changed))
     altered = before.join(after.withColumnRenamed("g", "h"), "ref", "full_outer").where(~F.col("g").eqNullSafe(F.col("h"))).select("ref")
     followers = of(store, "wants", materialize(altered, "altered"), "ref").select(F.col("source").alias("id")).distinct().join(gone, "id", "left_anti")
     followers = materialize(of(store, "records", materialize(followers, "followers"), "id"), "following")
-    todo = changed.unionByName(followers)
+    todo = changed.unionByName(followers)  # both written
     sources = materialize(gone.unionByName(followers.select("id")), "sources")
 
     def gist_of(refs: DataFrame) -> DataFrame:
@@ -68,12 +72,13 @@ def staged(store: Generations, changed: DataFrame, removed: DataFrame | None = N
         new = changed.join(refs.toDF("id").distinct(), "id", "left_semi")
         return pj.gist(there.unionByName(new))
 
-    named = materialize(pj.references(todo).select("value").distinct(), "named")
-    known = materialize(gist_of(named), "known")
-    further = materialize(known.where("raw is not null").select("raw").join(named.toDF("raw"), "raw", "left_anti").distinct(), "further")
-    known = materialize(known.unionByName(gist_of(further)), "known")
+    named = materialize(pj.references(todo), "named")
+    values = named.select("value").distinct()
+    direct = materialize(gist_of(values), "known")
+    further = direct.where("raw is not null").select("raw").join(values.toDF("raw"), "raw", "left_anti").distinct()
+    known = materialize(direct.unionByName(gist_of(further)), "known")
 
-    new = pj.project(todo, known)
+    new = pj.project(todo, named, known)
     buckets, own = store.touched(sources), sources.toDF("source")
     replaced, was = {}, None
     for name, key in OWNED.items():
@@ -99,8 +104,8 @@ def rebuild(store: Generations) -> int:
     """Project all records from nothing: what any row of changes must come to."""
     base = store.latest()
     records = read(store, "records")
-    new = pj.project(records, materialize(pj.gist(records), "known"))
-    tables = {name: (store.stage(name, getattr(new, name).select(*read(store, name, []).columns), key), None) for name, key in OWNED.items()}
+    new = pj.project(records, materialize(pj.references(records), "named"), materialize(pj.gist(records), "known"))
+    tables = {name: (store.stage(name, getattr(new, name).select(*columns(name)), key), None) for name, key in OWNED.items()}
     tables["tallies"] = (store.stage("tallies", pj.tally(new.mentions), "node"), None)
     tables["wants"] = (store.stage("wants", new.wants, "ref"), None)
     return store.commit(base, tables)
@@ -135,7 +140,7 @@ def ingest(store: Generations, documents: DataFrame, records: DataFrame, now: st
     touched = store.touched(documents.select("place"))
     rows = documents.join(held.select("document", F.col("created_at").alias("was")), "document", "left")
     rows = rows.withColumns({"deleted_at": F.lit(None).cast("string"), "created_at": F.coalesce("was", F.lit(now)), "updated_at": F.lit(now)})
-    names = read(store, "documents", []).columns
+    names = columns("documents")
     kept = read(store, "documents", touched).join(documents.select("document"), "document", "left_anti")
     kept = kept.join(old.select("document", F.lit(now).alias("__end")), "document", "left")
     kept = kept.withColumns({"deleted_at": F.coalesce("deleted_at", "__end"), "updated_at": F.coalesce("__end", "updated_at")})
