@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from memspark import scratch
+from memspark.functions import language as lg
+from memspark.functions.language import NO_NAMES
 from memspark.plans import query as pq
 from memspark.plans import retrieve as rt
 from memspark.sources import free_text, tables
@@ -101,11 +103,45 @@ def stable_document_ids(spark, d):
     return keyed.groupBy("document").agg(F.count(F.lit(1)).alias("copies"), F.md5(F.min("content")).alias("text_md5"))
 
 
-@query()
+PROPOSITIONS = r"""
+with s as (select doc_id, md5(concat_ws(chr(10), lang, source, text)) as document, coalesce(text, '') as text, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?]+)(\s|$)', '\1' || chr(1) || '\2', 'g'), chr(1))) as p from documents),
+p as (select doc_id, document, text, trim(p, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) as p from s where regexp_matches(p, '[\p{L}\p{N}_]')),
+w as (select doc_id, document, text, p, regexp_extract_all(p, '[A-Za-z0-9][A-Za-z0-9''-]*') as ws from p),
+i as (select *, case when lower(ws[1]) in ('the', 'a', 'an', 'my', 'our', 'your', 'his', 'her', 'its', 'their', 'this', 'that', 'these', 'those') and len(ws) > 1 then 2 else 1 end as i from w where len(ws) > 0),
+q as (select doc_id, document, p, coalesce(nullif(regexp_extract(text, '^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*:', 1), ''),
+        list_aggregate(ws[i:i + coalesce(nullif(list_position([regexp_matches(x, '^[A-Z]') for x in ws[i + 1:]], false), 0), len(ws) - i + 1) - 1], 'string_agg', ' ')) as subject,
+        regexp_extract_all(p, '[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*)*') as runs from i)"""
+
+
+@query(PROPOSITIONS + f""",
+n as (select doc_id, list_aggregate([x for x in regexp_split_to_array(run, '\\s+') if x not in ({", ".join(f"'{w}'" for w in NO_NAMES)})], 'string_agg', ' ') as name from (select doc_id, unnest(runs) as run from q)),
+e as (select distinct doc_id, lower(name) as name from n where name <> '' union select doc_id, lower(subject) from q)
+select 'RAW' as kind, count(*) as n, null::bigint as covered, 0::bigint as subjects from documents union all select 'PROV', count(*), null, 0 from documents
+union all select 'SPAN', count(*), sum(length(p))::bigint, 0 from q union all select 'CLM', count(*), sum(length(p))::bigint, count(distinct (document, lower(subject))) from q
+union all select 'ENT', count(*), null, 0 from e""")
 def compile_free_text(spark, d):
     """Records that the documents compile to, by kind, with the length of the text that they cover."""
     made = free_text.compiled(tables.raw_records(spark, d))
-    return made.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+    return made.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("covered"), F.countDistinct("subject").alias("subjects"))
+
+
+@query(PROPOSITIONS + r""",
+t as (select doc_id, p, regexp_extract_all(p, '[^\s]+') as t from q),
+c as (select doc_id, p, t[1] as a, t[2] as b, t[3] as c from t where len(t) >= 3),
+j as (select *, not contains(p, '?') and not regexp_matches(lower(a), '^(hypothetical(ly)?|rumou?r|allegedly|reportedly|supposedly|perhaps|maybe)($|[^\p{L}\p{N}_])') and list_bool_and([
+        not regexp_matches(x, '[\]:,.!?;]|[“”‘«»‹›「」『』"`]|^[''’]|[''’]$|[^\p{L}\p{N}][''’]|[''’][^\p{L}\p{N}]')
+        and not regexp_matches(lower(x), '(^|[^\p{L}\p{N}_])(and|but|or|yet|so|while|whereas|because|although|though|if|unless|when|whenever|after|before|since|once|until|where|wherever|who|whom|whose|which|that)($|[^\p{L}\p{N}_])')
+        for x in [a, b, c]]) and not regexp_matches(p, '^\S+\s*[\r\n]') and not regexp_matches(p, '^\S+\s+\S+\s*[\r\n]') as ok from c)
+select doc_id, count(*) as n, count_if(ok) as grounded, count_if(ok and lower(a) = lower(b)) as turned from j group by doc_id""")
+def grounded_claims(spark, d):
+    """The first three words of each proposition, taken for a claim, and the first two turned round, which it does not say."""
+    docs = tables.table(spark, d, "documents").select("doc_id", F.explode(free_text.parsed(F.col("text"))["text"]).alias("p"))
+    words = F.filter(F.split("p", r"\s+"), lambda w: w != "")
+    rows = docs.withColumn("w", words).where(F.size("w") >= 3).select("doc_id", "p", *[F.col("w")[i].alias(n) for i, n in enumerate("abc")])
+    there, turned = lg.grounded_claim(F.col("a"), F.col("b"), F.col("c"), F.col("p")), lg.grounded_claim(F.col("b"), F.col("a"), F.col("c"), F.col("p"))
+    sliced = F.col("f.object.text") == F.substring("p", F.col("f.object.start") + 1, F.col("f.object.end") - F.col("f.object.start"))
+    rows = rows.select("doc_id", "p", there.alias("f"), turned.alias("t"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(sliced).alias("grounded"), F.count_if(F.col("t.object").isNotNull()).alias("turned"))
 
 
 @query("""

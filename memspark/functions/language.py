@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 # The patterns of questions for whole sets and for inferences, and capitalised words that begin no name.
 SET_NOUNS = "activities|books|emotions|events|exercises|facts|games|hobbies|items|names|people|places|reasons|sports|things|types|ways"
@@ -47,3 +52,40 @@ def grounded(value: Column, source: Column) -> Column:
     pattern = F.concat(F.lit(r"(?iu)(?<!\w)"), F.array_join(quoted, r"\s+"), F.lit(r"(?!\w)"))
     found = F.regexp_substr(source, pattern)
     return F.when(F.size(words) > 0, found)
+
+
+# What parts clauses, quotation marks, and openings of a subject that is only said to be so.
+CLAUSE = re.compile(
+    r"[\r\n\]:,.!?;]|\b(?:and|but|or|yet|so|while|whereas|because|although|though|if|unless|when|whenever|after|before|since|once|until|"
+    r"where|wherever|who|whom|whose|which|that)\b",
+    re.I,
+)
+QUOTE = re.compile("[\u201c\u201d\u2018\u00ab\u00bb\u2039\u203a\u300c\u300d\u300e\u300f\"]|(?<![^\\W_])['\u2019]|['\u2019](?![^\\W_])|(?<![^\\W_])(?<!`)`+|`+(?![^\\W_]|`)")
+HEARSAY = re.compile(r"\s*(?:hypothetical(?:ly)?|rumou?r|allegedly|reportedly|supposedly|perhaps|maybe|according\s+to|in\s+a\s+dream)\b", re.I)
+
+SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
+
+
+def claim_spans(subject: str | None, relation: str | None, obj: str | None, source: str | None) -> list[tuple[int, int, str]] | None:
+    """Where a proposition says subject, relation and object one after the other, or None; see `grounded_claim`."""
+    parts = [(x or "").split() for x in (subject, relation, obj)]
+    if not all(parts) or not source or "?" in source:
+        return None
+    whole = [rf"(?<!\w)({r'\s+'.join(map(re.escape, p))})(?!\w)" for p in parts]
+    m = re.match(r"\s*" + r"\s*".join(whole), source, re.I)
+    if m is None or HEARSAY.match(m[1]) or any(CLAUSE.search(x) or QUOTE.search(x) for x in m.groups()) or re.search(r"[\r\n]", source[m.end(1) : m.start(3)]):
+        return None
+    return [(*m.span(i), m[i]) for i in (1, 2, 3)]
+
+
+@pandas_udf(T.StructType([T.StructField(n, SPAN) for n in ("subject", "relation", "object")]))
+def grounded_claim(subject: pd.Series, relation: pd.Series, obj: pd.Series, source: pd.Series) -> pd.DataFrame:
+    """struct(subject, relation, object), each struct(start, end, text) with offsets in code points from 0, of a claim that a
+    proposition makes; three nulls if it does not.
+
+    The subject opens the proposition, nothing but white space stands between the three, in any case and spacing, and whole
+    words count. A question says nothing, and no part may hold a mark or word that parts clauses, a quotation mark or, in
+    the subject, a word for hearsay. What is reordered, scattered or blank is refused."""
+    found = [claim_spans(*row) or [None] * 3 for row in zip(subject, relation, obj, source, strict=True)]
+    as_span = lambda x: None if x is None else {"start": x[0], "end": x[1], "text": x[2]}
+    return pd.DataFrame({n: [as_span(f[i]) for f in found] for i, n in enumerate(("subject", "relation", "object"))}, dtype=object)

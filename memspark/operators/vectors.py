@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from memspark.functions import vectors as vx
@@ -95,7 +96,7 @@ def hash_embedding(tokens: DataFrame, size: int = 64) -> DataFrame:
     return summed.select("id", "i", (F.col("v") / norms).alias("x"))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def hashed(tokens: pd.Series) -> pd.Series:
     """The unit hash embedding, 64 wide, of each array of tokens, repeats counting; all zeros without tokens. A batch hashes
     each of its tokens once, and no token leaves its text's task."""

@@ -1,33 +1,78 @@
-"""Free text to records: a RAW and a PROV record a document, and for each proposition a SPAN, a claim of its content,
-and the entities that it names. Everything is a pure function of the document table, in columns."""
+"""Free text to records: a RAW and a PROV record a document, and for each proposition a SPAN, a claim of its content whose
+subject stands in the text, and the entities that it names. A pure function of the document table, one pass a text."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
+from memspark.functions.language import NAME_RUN, NO_NAMES
 
-def propositions(content: Column) -> Column:
-    """array of struct(start, end, text): runs that end in `.`, `!` or `?` before white space or the end, with a word
-    in them; offsets count code points from 0. A text without any is one proposition."""
-    parts = F.split(content, r"(?<=[.!?])(?=\s|$)")
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p)).alias("at"),
-            F.when(
-                p.rlike(r"\w"),
-                F.concat(
-                    a["out"],
-                    F.array(F.struct((a["at"] + F.length(p) - F.length(F.regexp_replace(p, r"^\s+", ""))).alias("start"), (a["at"] + F.length(p)).alias("end"), F.regexp_replace(p, r"^\s+", "").alias("text"))),
-                ),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(content).alias("end"), content.alias("text")))
-    return F.when(F.size(placed) > 0, placed).otherwise(whole)
+ENDS = re.compile(r"[.!?]+(?=\s|\Z)")
+WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9'-]*")
+NAMES = re.compile(NAME_RUN)
+SPEAKER = re.compile(r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*:")
+# Words before a subject that are no part of it.
+DETERMINERS = frozenset("the a an my our your his her its their this that these those".split())
+
+
+def segments(text: str) -> list[tuple[int, int]]:
+    """Where propositions begin and end: runs up to `.`, `!` or `?` before white space or the end, trimmed, with a word in
+    them. A text without any is one proposition, if it has a word."""
+    out, at = [], 0
+    for end in [m.end() for m in ENDS.finditer(text)] + [len(text)]:
+        part = text[at:end]
+        if re.search(r"\w", part):
+            start = at + len(part) - len(part.lstrip())
+            out.append((start, start + len(part.strip())))
+        at = end
+    return out
+
+
+def leading_subject(proposition: str) -> str:
+    """The first word that is no determiner, with the capitalised words that follow it; the determiner if it stands alone."""
+    words = WORD.findall(proposition)
+    if not words:
+        return ""
+    first = int(words[0].lower() in DETERMINERS and len(words) > 1)
+    last = first + 1
+    while last < len(words) and words[last][:1].isupper():
+        last += 1
+    return " ".join(words[first:last])
+
+
+def names(proposition: str) -> list[str]:
+    """Runs of capitalised words without function words, in order, each once whatever its case."""
+    found: dict[str, str] = {}
+    for m in NAMES.finditer(proposition):
+        run = " ".join(w for w in m[0].split() if w not in NO_NAMES)
+        if run:
+            found.setdefault(run.lower(), run)
+    return list(found.values())
+
+
+PARSED = T.ArrayType(T.StructType([
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()),
+    T.StructField("subject", T.StringType()), T.StructField("names", T.ArrayType(T.StringType())),
+]))
+
+
+@pandas_udf(PARSED)
+def parsed(content: pd.Series) -> pd.Series:
+    """A text's propositions that have a subject. Who speaks, `Name:` at the beginning, is the subject of all."""
+
+    def of(text: str | None) -> list[dict]:
+        text = text or ""
+        speaker = m[1] if (m := SPEAKER.match(text)) else None
+        cut = [(a, b, text[a:b]) for a, b in segments(text)]
+        return [{"start": a, "end": b, "text": t, "subject": speaker or s, "names": names(t)} for a, b, t in cut if (s := leading_subject(t))]
+
+    return content.map(of)
 
 
 def document_id(ns: Column, scope: Column, source_ref: Column, content: Column) -> Column:
@@ -36,22 +81,28 @@ def document_id(ns: Column, scope: Column, source_ref: Column, content: Column)
 
 
 def compiled(docs: DataFrame) -> DataFrame:
-    """docs(ns, scope, source_ref, content) to (document, id, kind, start, end, text) records."""
+    """docs(ns, scope, source_ref, content) to (document, id, kind, start, end, text, subject) records. A claim's subject is
+    the id of an entity whose label stands in the text; labels that differ in case alone are one entity, labelled by the
+    first of them. A null content is an empty one; without a word there is the RAW and the PROV record alone."""
     keyed = docs.withColumn("document", document_id(F.col("ns"), F.col("scope"), F.col("source_ref"), F.col("content")))
-    made = lambda kind, suffix, text, start=None, end=None: F.struct(
+    entity = lambda label: F.concat(F.lit("ent:"), "document", F.lit("."), F.md5(F.lower(label)))
+    made = lambda kind, suffix, text, start=None, end=None, subject=None: F.struct(
         F.concat(F.lit(f"{kind.lower()}:"), "document", suffix).alias("id"), F.lit(kind).alias("kind"),
         (F.lit(None) if start is None else start).cast("int").alias("start"), (F.lit(None) if end is None else end).cast("int").alias("end"), text.alias("text"),
+        (F.lit(None) if subject is None else subject).cast("string").alias("subject"),
     )
     whole = F.array(made("RAW", F.lit(""), F.col("content")), made("PROV", F.lit(""), F.col("source_ref")))
+    found = keyed.select("document", "content", "source_ref", parsed(F.col("content")).alias("found"))
     spread = F.flatten(
         F.transform(
-            propositions(F.col("content")),
+            "found",
             lambda p, i: F.array(
                 made("SPAN", F.concat(F.lit("."), i.cast("string")), p["text"], p["start"], p["end"]),
-                made("CLM", F.concat(F.lit("."), i.cast("string")), p["text"], p["start"], p["end"]),
+                made("CLM", F.concat(F.lit("."), i.cast("string")), p["text"], p["start"], p["end"], entity(p["subject"])),
             ),
         )
     )
-    names = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[a-z,] ([A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})*)"), F.lit(1)))
-    entities = F.transform(names, lambda n: made("ENT", F.concat(F.lit("."), F.md5(F.lower(n))), n))
-    return keyed.select("document", F.inline(F.concat(whole, spread, entities)))
+    said = F.flatten(F.transform("found", lambda p: F.concat(p["names"], F.array(p["subject"]))))
+    low = F.transform("said", F.lower)
+    entities = F.transform(F.array_distinct(low), lambda x: made("ENT", F.concat(F.lit("."), F.md5(x)), F.get("said", (F.array_position(low, x) - 1).cast("int"))))
+    return found.withColumn("said", said).select("document", F.inline(F.concat(whole, spread, entities)))
