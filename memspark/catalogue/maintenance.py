@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memspark.functions import text as tx
+from memspark.operators import merges
 from memspark.operators import projection as pj
 from memspark.operators import vectors
 from memspark.scratch import folder
@@ -136,3 +137,42 @@ def atomic_ingest(spark, d):
     ended = gs.read(store, "documents").select("document", F.col("deleted_at").isNotNull().alias("document_gone"))
     rows = gs.read(store, "records").select("id", "document", "status")
     return rows.join(held, "id", "left").join(owed, "id", "left").join(ended, "document").select("id", "document", "status", "indexed_hash", F.coalesce("owed", F.lit(False)).alias("owed"), "document_gone")
+
+
+MERGES = """
+with c as (select c_custkey, c_custkey // 64 as block, c_custkey % 64 as k from customer where c_custkey % 64 > 0),
+o as (
+  select 1 as phase, 'propose' as op, *, k // 2 as canonical, k as alias, 'proposed' as status, null as reason from c
+  union all select 2, 'accept', *, k // 2, k, 'accepted', null from c
+  union all select 3, 'propose', *, k, k // 2, 'conflict', 'reverse' from c
+  union all select 4, 'propose', *, k // 3, k, case when k in (1, 3) then 'accepted' else 'conflict' end, case when k not in (1, 3) then 'absorbed' end from c
+  union all select 5, 'propose', *, k, 0, 'conflict', case when k = 1 then 'reverse' else 'cycle' end from c
+  union all select 6, 'split', *, k // 2, k, 'split', null from c where k % 5 = 0
+  union all select 7, 'propose', *, k // 3, k, 'proposed', null from c where k % 5 = 0)"""
+
+
+def _merges(spark, d):
+    """Trees of accepted merges over blocks of customers, and decisions that contradict, undo and repeat them, in seven rounds."""
+    c = tables.table(spark, d, "customer").withColumn("k", F.col("c_custkey") % 64).where("k > 0")
+    half, third, k = F.floor(F.col("k") / 2), F.floor(F.col("k") / 3), F.col("k")
+    rounds = [("propose", half, k, "true"), ("accept", half, k, "true"), ("propose", k, half, "true"), ("propose", third, k, "true"), ("propose", k, F.lit(0), "true"), ("split", half, k, "k % 5 = 0"), ("propose", third, k, "k % 5 = 0")]
+    out = None
+    for n, (op, canonical, alias, where) in enumerate(rounds, 1):
+        name = lambda x: x.cast("long").cast("string")
+        one = c.where(where).select(
+            (F.lit(n * 10**9) + F.col("c_custkey")).alias("seq"), F.lit(op).alias("op"), F.floor(F.col("c_custkey") / 64).cast("long").cast("string").alias("ns"), F.lit("project").alias("scope"),
+            name(canonical).alias("canonical"), name(alias).alias("alias"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return merges.replayed(out, spark.createDataFrame([], merges.MERGE))
+
+
+@query(MERGES + " select phase * 1000000000::bigint + c_custkey as seq, op, canonical::varchar as canonical, alias::varchar as alias, status, reason from o")
+def merge_replay(spark, d):
+    return _merges(spark, d)[0].select("seq", "op", "canonical", "alias", "status", "reason")
+
+
+@query(MERGES + """
+select block::varchar as ns, canonical::varchar as canonical, alias::varchar as alias, arg_max(status, phase) as status, arg_max({'r': reason}, phase).r as reason from o group by all""")
+def merge_ledger(spark, d):
+    return _merges(spark, d)[1].select("ns", "canonical", "alias", "status", "reason")
