@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import text as tx
 from memspark.operators import evaluation as ev
+from memspark.operators import graph
 from memspark.sources import tables
 
 from .registry import Registry
@@ -24,14 +25,16 @@ x as (select z.case_id, found > 0 as hit, first_rank, coalesce(1.0::double / fir
              dcg / list_sum(list_transform(range(1, least(gold, shown) + 1), lambda i: 1 / log2(i + 1))) as ndcg from z join m using (case_id))"""
 
 
+def _first(docs, order, n):
+    """The first n of each source with their rank: cut in many tasks before a source's rows meet."""
+    best = graph.best_of_each(docs, "source", order, n)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("rank") <= n)
+
+
 def _tracked(spark, d):
     """Cases are sources: their documents by length are the ranked list, the good ones of the labelled are gold."""
     docs, labels = tables.table(spark, d, "documents"), tables.table(spark, d, "labels")
-    # The twenty longest of each source: a source's list is cut by a bounded aggregate, not sorted whole.
-    key = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").alias("id"))
-    part = docs.groupBy(F.col("source").alias("case_id"), F.pmod("doc_id", F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list(key)), 1, 20).alias("top"))
-    merged = part.groupBy("case_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 20).alias("top"))
-    ranked = merged.select("case_id", F.posexplode("top").alias("pos", "s")).select("case_id", F.col("s.id").alias("id"), (F.col("pos") + 1).alias("rank"))
+    ranked = _first(docs.select("source", "n_chars", "doc_id"), [F.desc("n_chars"), F.asc("doc_id")], 20).select(F.col("source").alias("case_id"), F.col("doc_id").alias("id"), "rank")
     gold = labels.where("quality = 1").join(docs.select("doc_id", "source"), "doc_id").select(F.col("source").alias("case_id"), F.col("doc_id").alias("id"))
     return ev.track(ranked, gold, 20)
 
@@ -123,12 +126,9 @@ def pack_score(spark, d):
 with c as (select doc_id, source, n_chars, (lang = 'en')::int as task, row_number() over (partition by source order by (lang = 'en')::int desc, n_chars desc, doc_id) as rank from documents)
 select source, doc_id, cast(rank as integer) as rank from c where rank <= 5""")
 def context_rank(spark, d):
-    """Candidates of each source by trust, then task, then id; the five best are a bounded aggregate."""
-    docs = tables.table(spark, d, "documents")
-    key = F.struct((-(F.col("lang") == "en").cast("int")).alias("t"), (-F.col("n_chars")).alias("c"), "doc_id")
-    part = docs.groupBy("source", F.pmod("doc_id", F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list(key)), 1, 5).alias("top"))
-    best = part.groupBy("source").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 5).alias("top"))
-    return best.select("source", F.posexplode("top").alias("pos", "s")).select("source", F.col("s.doc_id").alias("doc_id"), (F.col("pos") + 1).alias("rank"))
+    """The five best candidates of each source by trust, then task, then id."""
+    docs = tables.table(spark, d, "documents").select("source", (F.col("lang") == "en").cast("int").alias("task"), "n_chars", "doc_id")
+    return _first(docs, [F.desc("task"), F.desc("n_chars"), F.asc("doc_id")], 5).select("source", "doc_id", "rank")
 
 
 @query("""
@@ -163,11 +163,9 @@ def ledger_chain(spark, d):
 with r as (select source, doc_id, n_chars / 7.0::double as score, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents)
 select source, sha256(string_agg(rank || chr(9) || doc_id || chr(9) || printf('%.17g', score) || chr(9) || 'graph=0.5,lexical=' || printf('%.17g', score), chr(10) order by rank)) as fingerprint from r where rank <= 20 group by source""")
 def candidate_fingerprint(spark, d):
-    docs = tables.table(spark, d, "documents")
-    key = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").alias("id"))
-    part = docs.groupBy("source", F.pmod("doc_id", F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list(key)), 1, 20).alias("top"))
-    best = part.groupBy("source").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, 20).alias("top"))
-    ranked = best.select("source", F.posexplode("top").alias("pos", "s")).select("source", (F.col("pos") + 1).alias("rank"), F.col("s.id").cast("string").alias("id"), (-F.col("s.c") / 7).alias("score"))
+    docs = tables.table(spark, d, "documents").select("source", "n_chars", "doc_id")
+    ranked = _first(docs, [F.desc("n_chars"), F.asc("doc_id")], 20)
+    ranked = ranked.select("source", "rank", F.col("doc_id").cast("string").alias("id"), (F.col("n_chars") / 7).alias("score"))
     lined = ev.with_lines(ranked.withColumns({"lexical": F.col("score"), "graph": F.lit(0.5)}), ("lexical", "graph"))
     return lined.groupBy("source").agg(ev.fingerprint().alias("fingerprint"))
 

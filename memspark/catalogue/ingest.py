@@ -162,9 +162,9 @@ def compact_round_trip(spark, d):
 
 
 @query("""
-select item_id, case when regexp_matches(text, '(?i)\\b(?:all|both|each|every)\\b|\\bhow many\\b|\\b(?:list|enumerate|name)\\b|\\b(?:which|what)\\b.{0,48}\\b(?:things|people|places|names|items|books|events|facts|games|reasons|sports|types|ways|activities|emotions|exercises|hobbies)\\b') then 'set-completion'
+select item_id, case when regexp_matches(text, '(?i)\\b(?:all|both|each|every)\\b|\\bhow many\\b|\\b(?:list|enumerate|name)\\b|\\b(?:which|what)\\b.{0,48}\\b(?:{nouns})\\b') then 'set-completion'
   when regexp_matches(text, '(?i)\\b(?:infer|imply|likely|probably|suggests?)\\b|\\bwhat (?:kind|type) of\\b|\\bbased on (?:this|that|the conversation|what)\\b|\\b(?:might|could) (?:be|have|mean|suggest)\\b') then 'inference' else 'direct' end as intent
-from (select item_id, case item_id % 6 when 0 then 'How many ' when 1 then 'What does this likely mean: ' when 2 then 'Which of the people ' when 3 then 'What could be ' when 4 then 'What kind of ' else '' end || text as text from benchmark)""")
+from (select item_id, case item_id % 6 when 0 then 'How many ' when 1 then 'What does this likely mean: ' when 2 then 'Which of the people ' when 3 then 'What could be ' when 4 then 'What kind of ' else '' end || text as text from benchmark)""".replace("{nouns}", lg.SET_NOUNS))
 def conversation_intent(spark, d):
     b = tables.table(spark, d, "benchmark")
     asked = ["How many ", "What does this likely mean: ", "Which of the people ", "What could be ", "What kind of ", ""]

@@ -193,7 +193,7 @@ select id, round(sum(1.0::double / (60 + rank)), 9) as score from r group by id
 def channel_rrf(spark, d):
     channels = _channels(spark, d)
     rows = channels.select("id", F.inline(F.array(*[F.struct(F.lit(c).alias("leg"), F.round(c, 9).alias("score")) for c in ("lexical", "semantic", "graph", "temporal")])))
-    return lexical.top(fusion.reciprocal(rows, positive=True), 30).select("id", "score")
+    return lexical.top(fusion.reciprocal(rows, positive=True, whole=True), 30).select("id", "score")
 
 
 @query(LEGS_SQL.replace("union all select leg, id, score / 2 from a", "") + """,

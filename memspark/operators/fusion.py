@@ -28,12 +28,20 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("leg").orderBy(F.desc("score"), "id")))
 
 
-def reciprocal(hits: DataFrame, weights: dict[str, float] | None = None, k: int = K, positive: bool = False) -> DataFrame:
+def ranked_whole(hits: DataFrame) -> DataFrame:
+    """`ranked` for legs of any length: places in one range-partitioned order, less where each leg begins."""
+    rows = placed(hits.withColumn("__down", -F.col("score")), "leg", "__down", "id", column="__place")
+    first = rows.groupBy("leg").agg(F.min("__place").alias("__first"))  # a row a leg
+    return rows.join(F.broadcast(first), "leg").withColumn("rank", F.col("__place") - F.col("__first") + 1).drop("__down", "__place", "__first")
+
+
+def reciprocal(hits: DataFrame, weights: dict[str, float] | None = None, k: int = K, positive: bool = False, whole: bool = False) -> DataFrame:
     """Sum over legs of weight / (k + rank); a leg of weight 0 keeps its records with nothing added.
 
-    Legs are lists a retriever returned, cut at its limit, so a leg is a bounded window.
+    Legs are lists a retriever returned, cut at its limit, so a leg is a bounded window; `whole` is for legs that are not.
     """
-    rows = ranked(deduplicated(hits.where("score > 0") if positive else hits))
+    rows = deduplicated(hits.where("score > 0") if positive else hits)
+    rows = ranked_whole(rows) if whole else ranked(rows)
     weight = F.lit(1.0)
     if weights:
         weight = F.coalesce(F.create_map(*[x for leg, w in weights.items() for x in (F.lit(leg), F.lit(float(w)))])[F.col("leg")], F.lit(1.0))
