@@ -87,11 +87,13 @@ class Cascade:
 
 
 MAX_BITS = 1 << 31  # 256 MB a level; a longer list is an error, not a wrong answer
+BLOCK = 1 << 14  # words of 32 bits that come to the driver as one row of 64 KB
 
 
 def build_bloom(keys: DataFrame, n: int, rate: float, seed: int) -> Bloom:
-    """A Bloom filter of the n rows of keys(key). Tasks return the bytes they touch, Spark ORs them by place, and what
-    the driver gathers is the filter itself, at most MAX_BITS however long the corpus is."""
+    """A Bloom filter of the n rows of keys(key). Tasks return the words they touch, Spark ORs them by place and packs them,
+    and what the driver gathers is the filter's own bytes, 64 KB a row: at most MAX_BITS, in 4 096 rows, however long the
+    corpus is. The driver holds a level twice while it is put together."""
     bits, hashes = Bloom.shape(n, rate)
     if bits > MAX_BITS:
         raise ValueError(f"{n} keys need {bits} bits; more than {MAX_BITS} are not broadcast")
@@ -106,10 +108,17 @@ def build_bloom(keys: DataFrame, n: int, rate: float, seed: int) -> Bloom:
             np.bitwise_or.at(values, back, bit)
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(values)], names=["word", "value"])
 
-    found = keys.select("key").mapInArrow(place, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).collect()
+    def pack(table: pa.Table) -> pa.Table:
+        held = np.zeros(BLOCK, dtype="<u4")
+        held[np.asarray(table["word"]) % BLOCK] = np.asarray(table["value"])
+        return pa.table({"block": table["block"][:1], "bytes": pa.array([held.tobytes()], pa.binary())})
+
+    touched = keys.select("key").mapInArrow(place, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
+    blocks = touched.withColumn("block", F.floor(F.col("word") / BLOCK)).groupBy("block").applyInArrow(pack, "block long, bytes binary")
     data = np.zeros((bits + 31) // 32, dtype="<u4")
-    for r in found:
-        data[r[0]] = r[1]
+    for block, held in blocks.collect():
+        own = data[block * BLOCK : (block + 1) * BLOCK]
+        own[:] = np.frombuffer(held, dtype="<u4")[: len(own)]
     return Bloom(bits, hashes, seed, data.view(np.uint8))
 
 

@@ -477,6 +477,18 @@ def test_cascades_are_exact(spark):
     assert [k in cascade for k in keys] == [True] * 700 + [False] * 2300
 
 
+def test_filters_come_in_blocks(spark):
+    """A filter of several blocks holds each key's places and no others; one beyond the limit is refused."""
+    keys = [f"host{i}.com/path{i % 7}/" for i in range(30_000)]
+    bloom = url_cascade.build_bloom(spark.createDataFrame([(k,) for k in keys], "key string").repartition(3), len(keys), 1e-9, 3)
+    want = np.zeros(len(bloom.data), dtype=np.uint8)
+    for p in (p for k in keys for p in bloom.places(k)):
+        want[p >> 3] |= 1 << (p & 7)
+    assert len(bloom.data) > 2 * 4 * url_cascade.BLOCK and (bloom.data == want).all()
+    with pytest.raises(ValueError):
+        url_cascade.build_bloom(spark.createDataFrame([], "key string"), 2**31, 0.5, 1)
+
+
 # HTML (5)
 
 
