@@ -45,8 +45,10 @@ def by_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("did")).agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic")
     )
-    known = rows.where("not no_id").join(known, "did", "left").fillna(False, ["good", "toxic"])
-    rows = known.unionByName(rows.where("no_id").withColumns({"good": F.lit(False), "toxic": F.lit(False)}))  # null ids meet no label
+    apart = F.when(F.col("no_id"), 1 + F.pmod(F.xxhash64("print"), F.lit(4096))).otherwise(0)  # null ids meet no label, and not each other
+    known = known.withColumn("apart", F.pmod("did", F.lit(1)))  # 0; as a literal it would not be dealt by
+    rows = rows.withColumn("apart", apart).join(known, ["did", "apart"], "left")
+    rows = rows.fillna(False, ["good", "toxic"])
     groups = rows.groupBy(*own, "good", "toxic").agg(F.sum("count").alias("count"), F.min(F.struct("did", "count")).alias("least"))
     first = F.min("least.did").over(Window.partitionBy("print"))  # a row a part and pair of labels
     at_first = F.when(F.col("least.did") == first, F.col("least.count")).otherwise(0)
