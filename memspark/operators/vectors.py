@@ -75,17 +75,21 @@ def approximate_join(queries: DataFrame, index: DataFrame, dimension: int, k: in
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def exact_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Like `approximate_join` against all vectors: a stated set of at most 10 000 queries, which is checked and sent to all
-    tasks; each salt keeps its k best before they meet."""
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10 000 queries: ask in blocks")
-    pairs = vectors.join(F.broadcast(queries.withColumnRenamed("embedding", "asked")))
-    scored = pairs.select("query_id", "id", F.round(vx.cosine(F.col("embedding"), F.col("asked")), 9).alias("score")).where("score > 0")
-    for keys in (["query_id", F.pmod(F.xxhash64("id"), F.lit(64))], ["query_id"]):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id"))
-        scored = scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-    return scored
+def exact_join(queries: DataFrame, vectors: DataFrame, k: int, block: int = 10_000) -> DataFrame:
+    """Like `approximate_join` against all vectors. Queries go out to all tasks in blocks of about `block`, dealt by hash, a scan
+    of the vectors each, so their number is not bounded; each salt keeps its k best before they meet."""
+    asked = materialize(queries.withColumnRenamed("embedding", "asked"), "asked")
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = vectors.join(F.broadcast(own), F.lit(True))
+        scored = pairs.select("query_id", "id", F.round(vx.cosine(F.col("embedding"), F.col("asked")), 9).alias("score")).where("score > 0")
+        for keys in (["query_id", F.pmod(F.xxhash64("id"), F.lit(64))], ["query_id"]):
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "id"))
+            scored = scored.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 def hash_embedding(tokens: DataFrame, size: int = 64) -> DataFrame:

@@ -311,3 +311,33 @@ def test_results_do_not_depend_on_partitions(spark, data):
             assert rows(f(spark, data)) == one
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_exact_search_in_blocks(spark):
+    held = spark.createDataFrame([(f"v{i}", [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id string, embedding array<double>")
+    asked = held.select(F.col("id").alias("query_id"), "embedding").limit(23)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(vectors.exact_join(asked, held, 4, block=5)) == rows(vectors.exact_join(asked, held, 4))
+    assert vectors.exact_join(asked.limit(0), held, 4).collect() == []
+
+
+def test_margins_in_blocks_of_labels(spark):
+    held = spark.createDataFrame([(i, i % 9, [float(i % 7), float(i % 5), 1.0]) for i in range(45)], "id int, label int, embedding array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i), 2.0]) for i in range(9)], "query_id int, v array<double>")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(vectors.label_margins(held, asked, block=2)) == rows(vectors.label_margins(held, asked)) and len(rows(vectors.label_margins(held, asked))) == 9
+    assert vectors.label_margins(held, asked.limit(0)).collect() == []
+
+
+def test_hash_embeddings_of_arrays(spark):
+    texts = ["the thing of the thing", "ha", "", None, "a b a"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r.v for r in table.select(vectors.hashed(tx.tokens(F.col("t"))).alias("v")).collect()]
+    for t, v in zip(texts, found, strict=True):
+        assert max(abs(a - b) for a, b in zip(v, vectors.hash_embed(tx.query_tokens(t or "")), strict=True)) < 1e-12
+
+
+def test_whole_legs_rank_as_cut_ones(spark):
+    hits = spark.createDataFrame([(f"l{i % 3}", f"d{i % 17}", float(i * 7 % 11)) for i in range(90)], "leg string, id string, score double").repartition(5)
+    rows = lambda df: sorted((r.id, round(r.score, 12), r.legs) for r in df.collect())
+    assert rows(fusion.reciprocal(hits, {"l1": 0.5}, whole=True)) == rows(fusion.reciprocal(hits, {"l1": 0.5}))
