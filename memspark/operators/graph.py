@@ -22,15 +22,29 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(counted, nodes["id"] == counted["u"], "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
-    """(id, hop): the fewest edges from a seed(id) to each node within `hops`."""
-    steps = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")) if directed else both_ways(edges.select("src", "dst"))
-    steps = materialize(steps.distinct(), "steps")  # read once a hop
+def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False, broadcast_rows: int = 100_000) -> DataFrame:
+    """(id, hop): the fewest edges from a seed(id) to each node within `hops`.
+
+    Edges are written once, as they are. A frontier of at most broadcast_rows nodes is sent to them, so a hop is a scan and
+    what is shuffled is the nodes it finds, each once a task; a larger one is joined with a salt, so a hub's edges are many
+    tasks'."""
+    held = materialize(edges.select("src", "dst"), "steps")  # read once a hop
+    salt = F.pmod(F.xxhash64("src", "dst"), F.lit(16)).cast("int")
     seen = seeds.select("id", F.lit(0).alias("hop")).distinct()
-    frontier = seen
+    frontier = materialize(seen, "hop")
     for hop in range(1, hops + 1):
-        found = frontier.join(steps, frontier["id"] == steps["u"]).select(F.col("v").alias("id")).distinct()
-        frontier = materialize(found.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")), "hop")
+        ids, found = frontier.select("id"), None
+        few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+        for here, there in (("src", "dst"),) if directed else (("src", "dst"), ("dst", "src")):
+            at = ids.withColumnRenamed("id", here)
+            if few:
+                met = held.join(F.broadcast(at), here, "left_semi")
+            else:
+                salted = at.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+                met = held.withColumn("salt", salt).join(salted, [here, "salt"], "left_semi")
+            met = met.select(F.col(there).alias("id"))
+            found = met if found is None else found.unionByName(met)
+        frontier = materialize(found.distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")), "hop")
         seen = seen.unionByName(frontier)
     return seen
 

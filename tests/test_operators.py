@@ -341,3 +341,11 @@ def test_whole_legs_rank_as_cut_ones(spark):
     hits = spark.createDataFrame([(f"l{i % 3}", f"d{i % 17}", float(i * 7 % 11)) for i in range(90)], "leg string, id string, score double").repartition(5)
     rows = lambda df: sorted((r.id, round(r.score, 12), r.legs) for r in df.collect())
     assert rows(fusion.reciprocal(hits, {"l1": 0.5}, whole=True)) == rows(fusion.reciprocal(hits, {"l1": 0.5}))
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_hops_of_large_frontiers(spark, directed):
+    edges = spark.createDataFrame([("hub", f"n{i}") for i in range(30)] + [(f"n{i}", f"m{i % 4}") for i in range(30)] + [("m0", "hub"), ("x", "y"), ("n1", "n1")], "src string, dst string")
+    seeds = spark.createDataFrame([("hub",), ("lone",), ("hub",)], "id string")
+    rows = lambda most: sorted(map(tuple, graph.k_hop(edges, seeds, 3, directed, most).collect()))
+    assert rows(0) == rows(100) and {r[0]: r[1] for r in rows(100)}["m1"] == 2 and len(rows(100)) == 36
