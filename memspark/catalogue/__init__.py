@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lexical", "vectors", "temporal", "state", "graph", "knowledge", "records", "evaluation", "retrieval", "extended", "fidelity", "grounding", "ingest", "maintenance", "traversal", "context", "counts", "probes")
+MODULES = ("lexical", "vectors", "temporal", "state", "graph", "knowledge", "records", "evaluation", "retrieval", "extended", "fidelity", "grounding", "ingest", "maintenance", "traversal", "context", "counts", "probes", "patterns")
 
 
 def collected() -> tuple[dict, dict]:
