@@ -321,6 +321,29 @@ def test_exact_search_in_blocks(spark):
     assert vectors.exact_join(asked.limit(0), held, 4).collect() == []
 
 
+def test_vector_joins_shuffle_no_pairs(spark, tmp_path):
+    import numpy as np
+
+    held = np.random.default_rng(3).normal(size=(300, 8)).round(2)
+    held[100:160] = held[7]  # ties, by id
+    held[5] = 0
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(held)], "id long, embedding array<float>")
+    asked = v.where("id % 10 = 5 or id = 7").select(F.col("id").alias("query_id"), "embedding")
+    unit = [x / (np.sqrt(x @ x) or 1) for x in held.astype(np.float32).astype(float)]
+    want = []
+    for q in [7, *range(5, 300, 10)]:
+        scored = sorted((-round(float(unit[q] @ x), 9), i) for i, x in enumerate(unit))
+        want += [(q, i) for s, i in scored[:10] if s < 0]
+    assert rows(vectors.exact_join(asked, v, 10, block=40), "query_id", "id") == rows(vectors.exact_join(asked, v, 10), "query_id", "id") == sorted(want, key=repr)
+    vectors.write_index(v, str(tmp_path / "index"), 8)
+    index = spark.read.parquet(str(tmp_path / "index"))
+    near = vectors.approximate_join(asked, index, 8, 10, block=16)
+    assert rows(near, "query_id", "id") == rows(vectors.approximate_join(asked, index, 8, 10), "query_id", "id")
+    assert len(set(want) & set(rows(near, "query_id", "id"))) >= 0.9 * len(want)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan  # pairs are made and cut in one task
+
+
 def test_margins_in_blocks_of_labels(spark):
     held = spark.createDataFrame([(i, i % 9, [float(i % 7), float(i % 5), 1.0]) for i in range(45)], "id int, label int, embedding array<double>")
     asked = spark.createDataFrame([(i, [1.0, float(i), 2.0]) for i in range(9)], "query_id int, v array<double>")
