@@ -360,6 +360,26 @@ def test_hash_embeddings_of_arrays(spark):
         assert max(abs(a - b) for a, b in zip(v, vectors.hash_embed(tx.query_tokens(t or "")), strict=True)) < 1e-12
 
 
+def test_hash_embeddings_hold_no_wide_tokens(spark):
+    """A batch of many short tokens and a very long one: as text of one width it would be 8 GB."""
+    import resource
+
+    from pyspark.sql.functions import arrow_udf
+
+    table = spark.range(1).select(F.concat(F.array_repeat(F.lit("ha"), 100_000), F.array(F.repeat(F.lit("x"), 20_000))).alias("t"))
+    made = table.select(vectors.hashed("t").alias("v")).collect()[0].v
+    for a, b in zip(made, vectors.hash_embed(["ha"] * 100_000 + ["x" * 20_000]), strict=True):
+        assert abs(a - b) < 1e-9
+
+    @arrow_udf("long")
+    def peak(x):
+        import pyarrow as pa
+
+        return pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10] * len(x))
+
+    assert table.select(vectors.hashed("t").alias("v"), peak(F.size("t")).alias("mb")).collect()[0].mb < 2_000
+
+
 def test_whole_legs_rank_as_cut_ones(spark):
     hits = spark.createDataFrame([(f"l{i % 3}", f"d{i % 17}", float(i * 7 % 11)) for i in range(90)], "leg string, id string, score double").repartition(5)
     rows = lambda df: sorted((r.id, round(r.score, 12), r.legs) for r in df.collect())
