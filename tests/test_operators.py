@@ -321,6 +321,19 @@ def test_exact_search_in_blocks(spark):
     assert vectors.exact_join(asked.limit(0), held, 4).collect() == []
 
 
+def test_large_frontiers_are_not_broadcast(spark, monkeypatch):
+    """Three hops from a hub's leaf, with frontiers above the bound: no hop's plan broadcasts a frontier or what was seen."""
+    edges = spark.range(60).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst"))
+    edges = edges.unionByName(spark.range(60).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("m"), "id").alias("dst")))
+    seeds = spark.createDataFrame([("n0",)], "id string")
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    want = rows(graph.k_hop(edges, seeds, 3))
+    plans.clear()
+    assert rows(graph.k_hop(edges, seeds, 3, broadcast_rows=10)) == want and len(want) == 121
+    assert "Broadcast" not in plans[-1] and "SortMergeJoin" in plans[-1]
+
+
 def test_vector_joins_shuffle_no_pairs(spark, tmp_path):
     import numpy as np
 
