@@ -189,3 +189,23 @@ def test_ingests_of_one_source(spark, store):
     assert {r.id for r in gs.read(store, "records").collect()} == {"raw:v3:0"}
     take(spark, store, "v4", ["x"], ref="other file")
     assert {r.document for r in gs.read(store, "documents").where("deleted_at is null").collect()} == {"v3", "v4"}
+
+
+def test_common_values_and_buckets_are_many_tasks(spark, tmp_path):
+    """A value that many rows name is looked up where they are, and a bucket is not written by one task alone."""
+    from pyspark.sql import functions as F
+
+    from memspark.operators import projection
+    from memspark.sources.generations import Generations
+
+    named = spark.range(200).select(F.concat(F.lit("s"), "id").alias("source"), F.when(F.col("id") % 2 == 0, "often").otherwise(F.concat(F.lit("v"), "id")).alias("value"))
+    known = spark.createDataFrame([("often", "ENT"), ("v3", "RAW")], "value string, ref_kind string")
+    rows = lambda df: sorted(map(str, df.select("source", "value", "ref_kind").collect()))
+    assert rows(projection.looked_up(named, known, often=50)) == rows(named.join(known, "value", "left"))
+    store = Generations(spark, f"file://{tmp_path}/store", 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        staged = store.stage("links", named, "source")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "store").rglob("part-*.parquet"))) > 1 and list(staged["files"]) == ["0"]
