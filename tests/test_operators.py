@@ -321,6 +321,31 @@ def test_exact_search_in_blocks(spark):
     assert vectors.exact_join(asked.limit(0), held, 4).collect() == []
 
 
+def test_activation_writes_edges_once(spark, monkeypatch):
+    """Repeated edges count by the best of them; what is written is each edge once, and large frontiers give the same."""
+    edges = spark.createDataFrame([("a", "b", 0.5), ("a", "b", 0.9), ("c", "b", 0.8), ("c", "d", 1.5)], "src string, dst string, confidence double")
+    seeds = spark.createDataFrame([("a", 1.0)], "id string, score double")
+    written, write = {}, graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.setdefault(name, write(df, name)) if name == "steps" else write(df, name))
+    few = rows(graph.activation(edges, seeds))
+    assert [(i, round(a, 9), h) for i, a, h in few] == [("a", 1.0, 0), ("b", 0.648, 1), ("c", round(0.648 * 0.72 * 0.8, 9), 2)]
+    assert written["steps"].count() == 4
+    assert rows(graph.activation(edges, seeds, broadcast_rows=0)) == few
+
+
+def test_supply_groups_are_held_by_few_rows_a_task(spark, data, monkeypatch):
+    from memspark.sources import tables
+
+    want = rows(tables.supply_edges(spark, data))
+    monkeypatch.setattr(tables, "LINES", 1_000)
+    edges = tables.supply_edges(spark, data)
+    parts = -(-tables.table(spark, data, "lineitem").count() // 1_000)
+    assert rows(edges) == want and edges.rdd.getNumPartitions() == parts > 4
+    ends = {i for e in tables.supply_edges(spark, data).select("src", "dst").collect() for i in e}
+    assert {r.id for r in tables.supply_ends(spark, data).collect()} == ends
+    assert "l_partkey" not in "".join(x for x in tables.supply_ends(spark, data)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "l_suppkey" in x and "Aggregate" in x)
+
+
 def test_large_frontiers_are_not_broadcast(spark, monkeypatch):
     """Three hops from a hub's leaf, with frontiers above the bound: no hop's plan broadcasts a frontier or what was seen."""
     edges = spark.range(60).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst"))
