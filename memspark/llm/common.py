@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,18 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sliced(batches, column: str | int, size: int = 4 << 20):
+    """Arrow batches in runs of rows of about `size` bytes of a text column (a longer text is a run of its own), so that a
+    worker holds a run's strings and words at a time, not those of thousands of whole texts."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

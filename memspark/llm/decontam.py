@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered
+from .common import numbered, sliced
 
 #: ASCII letters and digits make words, lower-cased, and so does all beyond ASCII; the rest of ASCII parts them.
 WORDS = bytes(
@@ -192,7 +192,7 @@ def matches(
     and nothing else. Rows are independent, so repeated rows each get their result. Empty tables give empty results,
     and an empty test set leaves all documents clean.
 
-    One pass over the texts without a shuffle: an Arrow batch is a shard with its own suffix array. The test set is
+    One pass over the texts without a shuffle: a run of texts of an Arrow batch is a shard with its own suffix array. The test set is
     broadcast in blocks of block_bytes; with more than one block, there is a pass over the texts for each.
     """
     source = docs.select(*columns, *([text] if text not in columns else []))
@@ -204,7 +204,7 @@ def matches(
 
         def run(batches, tests=TestSet.of(block, window), own=source.columns[: len(plain)], again=number > 0):
             labels = [item for item, _ in tests.items]
-            for b in batches:
+            for b in sliced(batches, text):
                 shard = match_shard(b.column(text).to_pylist(), tests)
                 found = [(n, spans, [labels[k] for k in ks], *rest) for n, spans, ks, *rest in shard]
                 if again:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_key, numbered
+from .common import id_key, numbered, sliced
 from .runs import later_in_run
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -90,7 +90,7 @@ def deduplicated(docs: DataFrame, min_chars: int = 10, least_words: int = 0) ->
     text = names["text"]
 
     def apply(batches):
-        for b in batches:
+        for b in sliced(batches, text):
             i = b.schema.get_field_index(text)
             rows = zip(b.column(text).to_pylist(), b.column("bitmap").to_pylist(), strict=True)
             texts = [t if m is None else kept_text(t, m)[2] for t, m in rows]

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_key, materialize, numbered
+from .common import NULL_ID, id_key, materialize, numbered, sliced
 from .decontam import words_of
 
 TREES, DEPTH, BITS = 24, 8, 14
@@ -104,7 +104,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     0 without words."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 3):
             rows = []
             for text in b.column(3).to_pylist():
                 found = shingles(text, width)

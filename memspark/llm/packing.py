@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, sliced
 
 CACHE_WORDS = 400_000
 _encoders: dict[str, Encoder] = {}
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
 
     def run(batches):
         encoder, end = Encoder.of(path), np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches, "text"):
             texts = [t or "" for t in b.column("text").to_pylist()]
             for at, some in chunks(texts, 200_000):
                 rows, found = [], []

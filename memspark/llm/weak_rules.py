@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, numbered
+from .common import materialize, numbered, sliced
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -152,7 +152,7 @@ def measured(source: DataFrame, text: str, names: list[str]) -> DataFrame:
     schema = T.StructType([*[source.schema[c] for c in names], *added])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, text):
             found = [measure(x) for x in batch.column(text).to_pylist()]
             columns = [batch.column(c) for c in names]
             columns += [pa.array([x[0][i] for x in found], pa.int64()) for i in range(len(BASE))]

@@ -1009,3 +1009,15 @@ def test_audit_edges(spark, edges, nothing):
     found = {tuple(r[c] for c in names) for r in filter_audit.audit(edges, known.limit(0)).collect()}
     assert found == audit_of([(i, None, t) for i, t in EDGES], [])
     assert filter_audit.audit(nothing, known).collect() == []
+
+
+def test_batches_are_cut_by_the_bytes_of_their_texts():
+    import pyarrow as pa
+
+    from memspark.llm import common
+
+    texts = ["a" * 30, None, "é" * 20, "b" * 500, "", "c" * 10, "d" * 90, "e"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(8)), "text": texts})
+    found = list(common.sliced([batch, batch.slice(0, 0)], "text", 100))
+    assert [b.column("id").to_pylist() for b in found] == [[0, 1, 2], [3], [4, 5, 6], [7]]
+    assert [t for b in common.sliced([batch.slice(2)], 1, 1) for t in b.column("text").to_pylist()] == texts[2:]
