@@ -144,7 +144,7 @@ def match_shard(texts: list[str | None], tests: TestSet) -> list[tuple]:
         new = np.ones(len(by), dtype=bool)
         new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(start) != 1) | (np.diff(begin) != 1)
         firsts = np.flatnonzero(new)
-        lasts = np.append(firsts[1:], len(by)) - 1
+        lasts = np.append(firsts, len(by))[1:] - 1  # none if nothing is found
         for k, last in zip(firsts.tolist(), lasts.tolist(), strict=True):
             i, a = int(doc[k]), int(begin[k])
             b = int(begin[last]) + min(tests.window, len(tests.items[item[k]][1]))

@@ -1021,3 +1021,12 @@ def test_batches_are_cut_by_the_bytes_of_their_texts():
     found = list(common.sliced([batch, batch.slice(0, 0)], "text", 100))
     assert [b.column("id").to_pylist() for b in found] == [[0, 1, 2], [3], [4, 5, 6], [7]]
     assert [t for b in common.sliced([batch.slice(2)], 1, 1) for t in b.column("text").to_pylist()] == texts[2:]
+
+
+def test_texts_that_only_almost_match():
+    """Runs of test words long enough for a window, and no window among them."""
+    from memspark.llm import decontam
+
+    tests = decontam.TestSet.of([("x", "one two three four")], 3)
+    assert decontam.match_shard(["two one three two", None], tests) == [(4, [], [], 0, None), (0, [], [], 0, None)]
+    assert decontam.match_shard(["a one two three"], tests) == [(4, [1, 4], [0], 3, 1)]
