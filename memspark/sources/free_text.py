@@ -4,12 +4,14 @@ subject stands in the text, and the entities that it names. A pure function of t
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from memspark.functions.language import NAME_RUN, NO_NAMES
 
@@ -36,14 +38,19 @@ def segments(text: str) -> list[tuple[int, int]]:
 
 def leading_subject(proposition: str) -> str:
     """The first word that is no determiner, with the capitalised words that follow it; the determiner if it stands alone."""
-    words = WORD.findall(proposition)
+    found = WORD.finditer(proposition)
+    words = [m[0] for m in islice(found, 2)]
     if not words:
         return ""
-    first = int(words[0].lower() in DETERMINERS and len(words) > 1)
-    last = first + 1
-    while last < len(words) and words[last][:1].isupper():
-        last += 1
-    return " ".join(words[first:last])
+    if words[0].lower() in DETERMINERS and len(words) > 1:
+        words = words[1:]
+    elif len(words) > 1 and not words[1][:1].isupper():
+        return words[0]
+    for m in found:
+        if not m[0][:1].isupper():
+            break
+        words.append(m[0])
+    return " ".join(words)
 
 
 def names(proposition: str) -> list[str]:
@@ -56,23 +63,46 @@ def names(proposition: str) -> list[str]:
     return list(found.values())
 
 
+CHUNK = 1 << 20  # characters whose propositions are Python objects at a time
 PARSED = T.ArrayType(T.StructType([
     T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()),
     T.StructField("subject", T.StringType()), T.StructField("names", T.ArrayType(T.StringType())),
 ]))
+ARROW_PARSED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("subject", pa.string()), ("names", pa.list_(pa.string()))]))
 
 
-@pandas_udf(PARSED)
-def parsed(content: pd.Series) -> pd.Series:
-    """A text's propositions that have a subject. Who speaks, `Name:` at the beginning, is the subject of all."""
+def in_chunks(content: pa.Array, of: Callable[[str], list], kind: pa.DataType) -> pa.Array:
+    """What is made of each text (null: empty), as an array. Objects of a few texts are held at a time, whatever the batch."""
+    done, some, size = [], [], 0
+    for text in content:
+        text = text.as_py() or ""
+        some.append(of(text))
+        size += len(text)
+        if size >= CHUNK:
+            done.append(pa.array(some, kind))
+            some, size = [], 0
+    return pa.concat_arrays([*done, pa.array(some, kind)])
 
-    def of(text: str | None) -> list[dict]:
-        text = text or ""
-        speaker = m[1] if (m := SPEAKER.match(text)) else None
-        cut = [(a, b, text[a:b]) for a, b in segments(text)]
-        return [{"start": a, "end": b, "text": t, "subject": speaker or s, "names": names(t)} for a, b, t in cut if (s := leading_subject(t))]
 
-    return content.map(of)
+def with_subject(text: str) -> list[tuple[int, int, str, str]]:
+    """A text's propositions that have a subject: start, end, text, subject. Who speaks, `Name:` at the beginning, is the
+    subject of all."""
+    speaker = m[1] if (m := SPEAKER.match(text)) else None
+    cut = [(a, b, text[a:b]) for a, b in segments(text)]
+    return [(a, b, t, speaker or s) for a, b, t in cut if (s := leading_subject(t))]
+
+
+@arrow_udf(PARSED)
+def parsed(content: pa.Array) -> pa.Array:
+    """A text's propositions that have a subject, with the names in them."""
+    of = lambda text: [{"start": a, "end": b, "text": t, "subject": s, "names": names(t)} for a, b, t, s in with_subject(text)]
+    return in_chunks(content, of, ARROW_PARSED)
+
+
+@arrow_udf(T.ArrayType(T.StringType()))
+def propositions(content: pa.Array) -> pa.Array:
+    """The texts of `parsed` alone."""
+    return in_chunks(content, lambda text: [t for _, _, t, _ in with_subject(text)], pa.list_(pa.string()))
 
 
 def document_id(ns: Column, scope: Column, source_ref: Column, content: Column) -> Column:
