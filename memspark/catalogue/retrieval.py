@@ -135,7 +135,7 @@ j as (select *, not contains(p, '?') and not regexp_matches(lower(a), '^(hypothe
 select doc_id, count(*) as n, count_if(ok) as grounded, count_if(ok and lower(a) = lower(b)) as turned from j group by doc_id""")
 def grounded_claims(spark, d):
     """The first three words of each proposition, taken for a claim, and the first two turned round, which it does not say."""
-    docs = tables.table(spark, d, "documents").select("doc_id", F.explode(free_text.parsed(F.col("text"))["text"]).alias("p"))
+    docs = tables.table(spark, d, "documents").select("doc_id", F.explode(free_text.propositions(F.col("text"))).alias("p"))
     words = F.filter(F.split("p", r"\s+"), lambda w: w != "")
     rows = docs.withColumn("w", words).where(F.size("w") >= 3).select("doc_id", "p", *[F.col("w")[i].alias(n) for i, n in enumerate("abc")])
     there, turned = lg.grounded_claim(F.col("a"), F.col("b"), F.col("c"), F.col("p")), lg.grounded_claim(F.col("b"), F.col("a"), F.col("c"), F.col("p"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 # The patterns of questions for whole sets and for inferences, and capitalised words that begin no name.
 SET_NOUNS = "activities|books|emotions|events|exercises|facts|games|hobbies|items|names|people|places|reasons|sports|things|types|ways"
@@ -55,37 +56,79 @@ def grounded(value: Column, source: Column) -> Column:
 
 
 # What parts clauses, quotation marks, and openings of a subject that is only said to be so.
-CLAUSE = re.compile(
-    r"[\r\n\]:,.!?;]|\b(?:and|but|or|yet|so|while|whereas|because|although|though|if|unless|when|whenever|after|before|since|once|until|"
-    r"where|wherever|who|whom|whose|which|that)\b",
-    re.I,
+BREAKS = frozenset(
+    "and but or yet so while whereas because although though if unless when whenever after before since once until where wherever who whom whose which that".split()
 )
+CLAUSE = re.compile(rf"[\r\n\]:,.!?;]|\b(?:{'|'.join(BREAKS)})\b", re.I)
 QUOTE = re.compile("[\u201c\u201d\u2018\u00ab\u00bb\u2039\u203a\u300c\u300d\u300e\u300f\"]|(?<![^\\W_])['\u2019]|['\u2019](?![^\\W_])|(?<![^\\W_])(?<!`)`+|`+(?![^\\W_]|`)")
 HEARSAY = re.compile(r"\s*(?:hypothetical(?:ly)?|rumou?r|allegedly|reportedly|supposedly|perhaps|maybe|according\s+to|in\s+a\s+dream)\b", re.I)
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
+@lru_cache(1 << 16)
+def same_letter(a: str, b: str) -> bool:
+    """Whether two characters are alike in any case, as a pattern has it."""
+    return re.fullmatch(re.escape(a), b, re.I) is not None
+
+
+def alike(word: str, there: str) -> bool:
+    """Whether two texts are alike in any case, character by character."""
+    if word == there:
+        return True
+    if word.isascii() and there.isascii():
+        return word.lower() == there.lower()
+    return len(word) == len(there) and all(map(same_letter, word, there))
+
+
+def span_of(words: list[str], source: str, at: int) -> tuple[int, int] | None:
+    """Where words stand in a source after the white space at a place, whole, in any case and with any white space between
+    them. Words hold no white space, so no other place can fit, and no pattern is compiled a row."""
+    start = None
+    for word in words:
+        gap = at
+        while gap < len(source) and source[gap].isspace():
+            gap += 1
+        if (start is not None and gap == at) or not alike(word, source[gap : gap + len(word)]):
+            return None
+        start, at = (gap if start is None else start), gap + len(word)
+    letter = lambda i: 0 <= i < len(source) and (source[i].isalnum() or source[i] == "_")
+    return None if letter(start - 1) or letter(at) else (start, at)
+
+
+def one_clause(part: str) -> bool:
+    """Whether a part holds no mark or word that parts clauses and no quotation mark."""
+    if part.isascii() and part.isalnum():  # one word
+        return part.lower() not in BREAKS
+    return not CLAUSE.search(part) and not QUOTE.search(part)
+
+
 def claim_spans(subject: str | None, relation: str | None, obj: str | None, source: str | None) -> list[tuple[int, int, str]] | None:
     """Where a proposition says subject, relation and object one after the other, or None; see `grounded_claim`."""
     parts = [(x or "").split() for x in (subject, relation, obj)]
     if not all(parts) or not source or "?" in source:
         return None
-    whole = [rf"(?<!\w)({r'\s+'.join(map(re.escape, p))})(?!\w)" for p in parts]
-    m = re.match(r"\s*" + r"\s*".join(whole), source, re.I)
-    if m is None or HEARSAY.match(m[1]) or any(CLAUSE.search(x) or QUOTE.search(x) for x in m.groups()) or re.search(r"[\r\n]", source[m.end(1) : m.start(3)]):
+    spans, at = [], 0
+    for p in parts:
+        if (span := span_of(p, source, at)) is None:
+            return None
+        spans.append((*span, source[slice(*span)]))
+        at = span[1]
+    if HEARSAY.match(spans[0][2]) or not all(one_clause(x) for _, _, x in spans) or re.search(r"[\r\n]", source[spans[0][1] : spans[2][0]]):
         return None
-    return [(*m.span(i), m[i]) for i in (1, 2, 3)]
+    return spans
 
 
-@pandas_udf(T.StructType([T.StructField(n, SPAN) for n in ("subject", "relation", "object")]))
-def grounded_claim(subject: pd.Series, relation: pd.Series, obj: pd.Series, source: pd.Series) -> pd.DataFrame:
+@arrow_udf(T.StructType([T.StructField(n, SPAN) for n in ("subject", "relation", "object")]))
+def grounded_claim(subject: pa.Array, relation: pa.Array, obj: pa.Array, source: pa.Array) -> pa.Array:
     """struct(subject, relation, object), each struct(start, end, text) with offsets in code points from 0, of a claim that a
     proposition makes; three nulls if it does not.
 
     The subject opens the proposition, nothing but white space stands between the three, in any case and spacing, and whole
     words count. A question says nothing, and no part may hold a mark or word that parts clauses, a quotation mark or, in
     the subject, a word for hearsay. What is reordered, scattered or blank is refused."""
-    found = [claim_spans(*row) or [None] * 3 for row in zip(subject, relation, obj, source, strict=True)]
-    as_span = lambda x: None if x is None else {"start": x[0], "end": x[1], "text": x[2]}
-    return pd.DataFrame({n: [as_span(f[i]) for f in found] for i, n in enumerate(("subject", "relation", "object"))}, dtype=object)
+    found = [claim_spans(*row) for row in zip(*(c.to_pylist() for c in (subject, relation, obj, source)), strict=True)]
+    missing = pa.array([f is None for f in found], pa.bool_())
+    column = lambda i, k, kind: pa.array([f and f[i][k] for f in found], kind)
+    span = lambda i: pa.StructArray.from_arrays([column(i, 0, pa.int32()), column(i, 1, pa.int32()), column(i, 2, pa.string())], names=["start", "end", "text"], mask=missing)
+    return pa.StructArray.from_arrays([span(i) for i in range(3)], names=["subject", "relation", "object"])

@@ -67,6 +67,17 @@ def test_claims_that_their_proposition_makes(spark):
         assert all(s is None or r.p[s.start : s.end] == s.text for s in spans)
 
 
+def test_no_pattern_is_made_for_a_claim(monkeypatch):
+    def refused(*_):
+        raise AssertionError("a pattern was compiled")
+
+    monkeypatch.setattr(lg.re, "match", refused)
+    assert [s and [x[2] for x in s] for s in (lg.claim_spans(*parts, said) for parts, said, _ in CLAIMS)] == [want for _, _, want in CLAIMS]
+    same = [("STRA\u00dfE", "stra\u00dfe"), ("K", "\u212a"), ("s", "\u017f"), ("\u03a3", "\u03c2")]
+    assert all(lg.claim_spans(a, "is", "go", f"{b} IS\tgo.") == [(0, len(b), b), (len(b) + 1, len(b) + 3, "IS"), (len(b) + 4, len(b) + 6, "go")] for a, b in same)
+    assert lg.claim_spans("stra\u00dfe", "is", "go", "strasse is go") is None and lg.claim_spans("a b", "is", "go", "ab is go") is None
+
+
 def test_objects_of_a_few_texts_are_held_at_a_time():
     texts = ["Ann met Bob. " * 4_000, None, "The dog. ", ""] * 40
     tracemalloc.start()
