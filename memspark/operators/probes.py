@@ -14,6 +14,7 @@ PROBE = "motif string, query string, expected array<string>, sources array<strin
 FACETS = ("who", "what", "when", "where", "why", "how", "then")
 DISPUTES = ("contradicts", "refutes")
 CONTINUATIONS, SALTS = 3, 8
+PROBES = 200_000  # of a task that looks for those with the same answer
 
 
 def probe(motif: Column | str, query: Column, expected: Column, sources: Column, action: Column | str = "retrieve", episodes: Column | None = None) -> list[Column]:
@@ -77,7 +78,10 @@ def generated(nodes: DataFrame, edges: DataFrame, links: DataFrame, trust: DataF
     out = out.unionByName(bare.select(F.col("id").alias("by"), *probe("unsupported", asserted, F.array("id"), F.array("source"), "abstain_or_qualify")))
 
     rest = [c for c in out.columns if c not in ("by", "motif", "expected")]
-    one = out.where(F.size("expected") > 0).groupBy("motif", "expected").agg(F.min(F.struct("by", *rest)).alias("x")).select("motif", "expected", *[F.col(f"x.{c}") for c in rest])
+    # Answers hardly repeat: probes meet before they are sorted, not after, and few a task, so that none spills.
+    parts = max(1, -(-3 * (nodes.count() + edges.count()) // PROBES))  # of written rows
+    met = out.where(F.size("expected") > 0).repartition(parts, "motif", "expected")
+    one = met.groupBy("motif", "expected").agg(F.min(F.struct("by", *rest)).alias("x")).select("motif", "expected", *[F.col(f"x.{c}") for c in rest])
     material = F.concat_ws("\x1f", "motif", "query", F.array_join("expected", "\x1e"), F.array_join("sources", "\x1e"), F.array_join("episodes", "\x1e"), "action")
     return one.withColumn("case_id", F.concat(F.lit("graph:"), "motif", F.lit(":"), F.left(F.sha2(material, 256), F.lit(16))))
 

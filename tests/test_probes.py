@@ -49,3 +49,9 @@ def test_splits_are_disjoint_and_in_turn(spark):
     assert len({r.case_id for r in found}) == len(found)
     assert sorted(map(tuple, pb.split(table, 6).collect())) == sorted(map(tuple, found)) != sorted(map(tuple, pb.split(table, 6, seed=5).collect()))
     assert Counter(r.side for r in pb.split(table, 1000).collect()) == {"dev": 21, "holdout": 6}
+
+
+def test_probes_meet_before_they_are_sorted(spark):
+    found = made(spark, [("a", "A", "ra", ["who", "then"])], [])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(motif") == 1 and "REPARTITION_BY_NUM" in plan
