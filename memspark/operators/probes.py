@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from memspark.scratch import materialize
 
-from . import fusion, graph
+from . import graph
 
 PROBE = "motif string, query string, expected array<string>, sources array<string>, episodes array<string>, action string"
 # Facets in order, predicates that dispute.
 FACETS = ("who", "what", "when", "where", "why", "how", "then")
 DISPUTES = ("contradicts", "refutes")
 CONTINUATIONS, SALTS = 3, 8
+DIGITS = 4  # of a hash, by which cases are counted
 PROBES = 200_000  # of a task that looks for those with the same answer
 
 
@@ -88,17 +89,23 @@ def generated(nodes: DataFrame, edges: DataFrame, links: DataFrame, trust: DataF
 
 def split(probes: DataFrame, sample: int, seed: int = 1234) -> DataFrame:
     """(case_id, motif, side) of at most `sample` probes each for `dev` and `holdout`, disjoint, in turn from each motif. A
-    fifth of a motif, one at least, is held out, by the hash of seed and case; places in a motif come from a range partition
-    and counts, whatever its size."""
+    fifth of a motif, one at least, is held out, by the hash of seed and case. Cases are counted by motif and the first digits
+    of their hash; the counts say which of these bins hold the places that a side may take, and only those are ordered, so a
+    motif of any size is neither sorted nor shuffled."""
     if sample < 1:
         raise ValueError("a sample of one at least")
+    rows = materialize(probes.select("case_id", "motif"), "probes")
     order = F.sha2(F.concat(F.lit(f"{seed}:"), "case_id"), 256)
-    rows = materialize(probes.select("case_id", "motif", order.alias("order")), "probes")
-    placed = materialize(fusion.placed(rows, "motif", "order", "case_id", column="place"), "placed")
-    motifs = placed.groupBy("motif").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))  # a row a motif
-    held = F.greatest(F.lit(1), F.floor(F.col("n") / 5))
-    rows = placed.join(F.broadcast(motifs), "motif").withColumn("at", F.col("place") - F.col("first"))
-    rows = rows.withColumns({"side": F.when(F.col("at") < held, "holdout").otherwise("dev"), "turn": F.when(F.col("at") < held, F.col("at")).otherwise(F.col("at") - held)})
+    rows = rows.withColumn("order", order).withColumn("bin", F.left("order", F.lit(DIGITS)))
+    bins = rows.groupBy("motif", "bin").agg(F.count(F.lit(1)).alias("n"))  # at most 65 536 a motif
+    motif, so_far = Window.partitionBy("motif"), Window.partitionBy("motif").orderBy("bin")
+    bins = bins.withColumns({"before": F.sum("n").over(so_far) - F.col("n"), "held": F.greatest(F.lit(1), F.floor(F.sum("n").over(motif) / 5))})
+    begun, ended = F.col("before"), F.col("before") + F.col("n")
+    bins = materialize(bins.where((begun < sample) | ((begun < F.col("held") + sample) & (ended > F.col("held")))).select("motif", "bin", "before", "held"), "bins")
+    nth = F.row_number().over(Window.partitionBy("motif", "bin").orderBy("order", "case_id"))
+    rows = rows.join(F.broadcast(bins), ["motif", "bin"]).withColumn("at", F.col("before") + nth - 1)
+    rows = rows.withColumns({"side": F.when(F.col("at") < F.col("held"), "holdout").otherwise("dev"), "turn": F.when(F.col("at") < F.col("held"), F.col("at")).otherwise(F.col("at") - F.col("held"))})
+    rows = materialize(rows.where(F.col("turn") < sample).select("case_id", "motif", "side", "turn"), "turns")
     out = None
     for side in ("dev", "holdout"):
         some = rows.where(F.col("side") == side).orderBy("turn", "motif").limit(sample).select("case_id", "motif", "side")

@@ -51,6 +51,31 @@ def test_splits_are_disjoint_and_in_turn(spark):
     assert Counter(r.side for r in pb.split(table, 1000).collect()) == {"dev": 21, "holdout": 6}
 
 
+def test_a_split_orders_only_what_a_side_may_take(spark, monkeypatch):
+    from hashlib import sha256
+
+    from pyspark.sql import DataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("whole motifs were ordered")
+
+    rows = [(f"c{m}{i}", m) for m, k in (("x", 3000), ("y", 40), ("z", 1)) for i in range(k)]
+    table = spark.createDataFrame(rows, "case_id string, motif string").repartition(3)
+    monkeypatch.setattr(type(table), "repartitionByRange", refused, raising=False)
+    monkeypatch.setattr(DataFrame, "repartitionByRange", refused, raising=False)
+    for sample in (6, 150):
+        want = set()
+        places = {}
+        for m in "xyz":
+            cases = sorted((c for c, of in rows if of == m), key=lambda c: sha256(f"1234:{c}".encode()).hexdigest())
+            held = max(1, len(cases) // 5)
+            for side, some in (("holdout", cases[:held]), ("dev", cases[held:])):
+                places.setdefault(side, []).extend((turn, m, c) for turn, c in enumerate(some))
+        for side, all_of in places.items():
+            want |= {(c, m, side) for _, m, c in sorted(all_of)[:sample]}
+        assert set(map(tuple, pb.split(table, sample).collect())) == want
+
+
 def test_probes_meet_before_they_are_sorted(spark):
     found = made(spark, [("a", "A", "ra", ["who", "then"])], [])
     plan = found._jdf.queryExecution().executedPlan().toString()
