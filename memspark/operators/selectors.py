@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 
 def terms(nodes: DataFrame, label: Column, longest: int = 4, stop: tuple[str, ...] = ("the", "a", "an", "of", "and")) -> DataFrame:
@@ -34,16 +36,20 @@ def matching(edges: list[tuple[str, str]]) -> int:
     return sum(place(seed, set()) for seed in sorted(by))
 
 
-def agreeing_sources(support: DataFrame, least: int) -> DataFrame:
-    """support(raw, seed, token) to (raw, agreement, edges): sources of which a maximum matching pairs `least` or more
-    seeds with query tokens. A group holds a source's seeds for one query, so it is as small as the query is."""
+@arrow_udf(T.LongType())
+def agreement(pairs: pa.Array) -> pa.Array:
+    """Size of a maximum matching of each list of struct(seed, token)."""
+    return pa.array([matching([(p["seed"], p["token"]) for p in some]) for some in pairs.to_pylist()], pa.int64())
 
-    def run(table: pa.Table) -> pa.Table:
-        pairs = list(zip(table.column("seed").to_pylist(), table.column("token").to_pylist(), strict=True))
-        return pa.table({"raw": [table.column("raw")[0].as_py()], "agreement": [matching(pairs)], "edges": [len(set(pairs))]})
 
-    kind = support.schema["raw"].dataType.simpleString()
-    found = support.select("raw", "seed", "token").distinct().groupBy("raw").applyInArrow(run, f"raw {kind}, agreement long, edges long")
+def agreeing_sources(support: DataFrame, least: int) -> DataFrame:
+    """support(raw, seed, token) to (raw, agreement, edges): sources of which a maximum matching pairs `least` or more
+    seeds with query tokens. A source's seeds for one query are one row, as small as the query is; rows are matched in
+    Arrow batches, so that a source costs no group of its own, and those of fewer pairs, seeds or tokens are not matched."""
+    pairs = support.select("raw", F.struct("seed", "token").alias("pair")).groupBy("raw").agg(F.collect_set("pair").alias("pairs"))
+    names = lambda n: F.size(F.array_distinct(F.col(f"pairs.{n}")))
+    enough = pairs.where((F.size("pairs") >= least) & (names("seed") >= least) & (names("token") >= least))
+    found = enough.select("raw", agreement("pairs").alias("agreement"), F.size("pairs").cast("long").alias("edges"))
     return found.where(F.col("agreement") >= least)
 
 

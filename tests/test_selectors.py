@@ -25,6 +25,17 @@ def test_sources_need_distinct_seeds_for_their_tokens(spark):
     assert [tuple(r) for r in found.collect()] == [("r2", 2, 2)]
 
 
+def test_a_source_is_no_group_of_its_own(spark):
+    edges = [(f"s{i}", t) for i in range(4) for t in "abc"] + [("s9", "d")]
+    rows = [(r, s, t) for r in range(500) for s, t in random.Random(r).sample(edges, r % 9 + 1)]
+    found = se.agreeing_sources(spark.createDataFrame(rows, "raw int, seed string, token string").repartition(5), 2)
+    assert "GroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for r, s, t in rows:
+        by.setdefault(r, set()).add((s, t))
+    assert {tuple(r) for r in found.collect()} == {(r, n, len(e)) for r, e in by.items() if (n := se.matching(list(e))) >= 2}
+
+
 def test_events_group_in_order_of_time(spark):
     rows = [("q", 1, 1, "d1", None, ["a", "b"]), ("q", 2, 2, "d1", None, ["b"]), ("q", 3, 3, "d2", None, ["a", "b"]), ("q", 4, 4, "d3", 2, ["x"]), ("q", 5, 5, "d4", 2, ["y"]), ("q", 6, 6, "d3", 3, ["x"]), ("p", 7, 1, None, None, None)]
     df = spark.createDataFrame(rows, "question string, id long, at long, day string, ordinal int, tokens array<string>")
