@@ -67,7 +67,7 @@ def task_score(task: str, text: Column, tags: Column) -> Column:
     return F.size(F.array_intersect(F.array(*map(F.lit, wanted)), F.regexp_extract_all(F.lower(said), F.lit(f"({TERM})"), F.lit(1))))
 
 
-def judged(candidates: DataFrame, task: str, ns: str, scope: str, moment: Column) -> DataFrame:
+def judged(candidates: DataFrame, task: str, ns: str, scope: str, moment: Column, most: int = 1_000_000) -> DataFrame:
     """A row a candidate id and line, with `copies`: `reason` is why it does not enter, null if it may. What agrees in all that
     a context shows is one line; two lines of one id are in conflict, and neither enters."""
     rows = candidates.withColumn("reason", reason(ns, scope, moment)).withColumns({
@@ -76,10 +76,18 @@ def judged(candidates: DataFrame, task: str, ns: str, scope: str, moment: Column
     at = F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at")
     payload = F.struct("candidate_id", "entity_ids", "episode_ids", "kind", at, "product_id", "record_ids", "task_score", "text", "trust_state")
     rows = rows.withColumn("line", F.concat(F.lit("ITEM|"), F.to_json(payload, {"ignoreNullFields": "false"})))
-    same = rows.groupBy("candidate_id", "kind", "trust_state", "occurred_at", "task_score", "reason", "line").agg(F.count(F.lit(1)).alias("copies"))
+    # Ids hardly repeat: only those that do, found by the hash of the id, have lines to compare, and their rows alone meet.
+    rows = materialize(rows.select("candidate_id", "kind", "trust_state", "occurred_at", "task_score", "reason", "line", F.xxhash64("candidate_id").alias("__id")), "lines")
+    again = materialize(rows.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id"), "repeated")
+    few = again.limit(most + 1).count() <= most
+    again = F.broadcast(again) if few else again.hint("merge")
+    names = [c for c in rows.columns if c != "__id"]
+    alone = rows.join(again, "__id", "left_anti").select(*names, F.lit(1).cast("long").alias("copies"))
+    same = rows.join(again, "__id", "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
     lines = same.where("reason is null").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
     both = same.join(lines, "candidate_id", "left")
-    return both.withColumn("reason", F.when(F.col("lines") > 1, F.coalesce("reason", F.lit("conflicting_candidate_id"))).otherwise(F.col("reason"))).drop("lines")
+    both = both.withColumn("reason", F.when(F.col("lines") > 1, F.coalesce("reason", F.lit("conflicting_candidate_id"))).otherwise(F.col("reason"))).drop("lines")
+    return alone.unionByName(both.select(alone.columns))
 
 
 def rejected(rows: DataFrame) -> DataFrame:

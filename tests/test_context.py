@@ -81,3 +81,13 @@ def test_packs_as_by_hand(spark, chunk):
     with pytest.raises(ValueError):
         cx.assembled(found, "x" * 100, 20, 0)
     assert cx.assembled(found.limit(0), "x", 20, 0).collect() == []
+
+
+def test_ids_that_stand_once_are_not_grouped(spark):
+    rows = [row(f"c{i}") for i in range(6)] + [row("twice")] * 2 + [row("differs"), row("differs", text="other words"), row("bad", text=None), row("bad", text=None), row(None), row(None)]
+    table = spark.createDataFrame(rows, cx.CANDIDATE)
+    for most in (1_000_000, 0):
+        found = cx.judged(table, "a task", "n", "s", F.lit(NOW), most)
+        got = sorted((r.candidate_id or "", r.reason, r.copies) for r in found.collect())
+        want = [("", "malformed", 2), ("bad", "malformed", 2), *[(f"c{i}", None, 1) for i in range(6)], *[("differs", "conflicting_candidate_id", 1)] * 2, ("twice", None, 2)]
+        assert got == want
