@@ -91,3 +91,10 @@ def test_ids_that_stand_once_are_not_grouped(spark):
         got = sorted((r.candidate_id or "", r.reason, r.copies) for r in found.collect())
         want = [("", "malformed", 2), ("bad", "malformed", 2), *[(f"c{i}", None, 1) for i in range(6)], *[("differs", "conflicting_candidate_id", 1)] * 2, ("twice", None, 2)]
         assert got == want
+
+
+def test_what_is_written_between_steps_is_packed_well(spark):
+    from memspark.scratch import materialize
+
+    files = materialize(spark.range(100), "packed").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
