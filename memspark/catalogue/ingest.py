@@ -143,11 +143,11 @@ def compact_lines(spark, d):
 
 def _claims(spark, d):
     o = tables.table(spark, d, "orders")
-    c = tables.claim_records(spark, d).drop("t0", "conf", "ns", "predicate", "subject", "object").join(o.withColumn("id", tables.tagged("clm", "o_orderkey")), "id")
+    status = F.when(F.col("o_orderstatus") == "F", "asserted").when(F.col("o_orderstatus") == "O", "observed").otherwise("superseded")
     attrs = F.to_json(F.struct(tables.tagged("cust", "o_custkey").alias("subject"), F.lower("o_orderpriority").alias("predicate"), F.col("o_orderstatus").alias("object"), F.col("o_orderkey").alias("n")))
     ns = F.when(F.col("o_custkey") % 2 == 0, "local.default").otherwise(F.concat(F.lit("ns."), F.lower("o_orderstatus")))
-    return c.select(
-        "id", "kind", ns.alias("ns"), "scope", "status", F.lit(1.0).alias("conf"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("t0"), F.lit(None).cast("string").alias("t1"),
+    return o.select(
+        tables.tagged("clm", "o_orderkey").alias("id"), F.lit("CLM").alias("kind"), ns.alias("ns"), F.lit("project").alias("scope"), status.alias("status"), F.lit(1.0).alias("conf"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("t0"), F.lit(None).cast("string").alias("t1"),
         F.array(tables.tagged("raw", "o_custkey")).alias("prov"), F.array().cast("array<string>").alias("evidence"), attrs.alias("attrs"),
     )
 

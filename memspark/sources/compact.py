@@ -17,42 +17,49 @@ STATUS_CODES = {
     "asserted": "a", "observed": "o", "inferred": "i", "hypothetical": "h", "contradicted": "x", "superseded": "z", "deprecated": "d", "deleted_soft": "_",
 }
 MAGIC = "!LX1"
+KINDS, STATUSES = ({v: k for k, v in m.items()} for m in (CODES, STATUS_CODES))
 BARE = re.compile(r"[A-Za-z_][A-Za-z0-9_:./-]*\Z")
+#: A name, and its value if that is a plain word or a quoted one without escapes; other JSON is left to the decoder.
+FIELD = re.compile(r''' *([^ =]*)(?:="([^"\\\x00-\x1f]*)"|=(?!["\[{])([^ ]*))?''')
+NAMES = ("null", "true", "false")
+NUMBERS = ("nan", "inf", "infinity")  # words that are numbers
+written = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+held = json.JSONDecoder().raw_decode
 SCHEMA = "id string, kind string, ns string, scope string, status string, conf double, t0 string, t1 string, prov array<string>, evidence array<string>, attrs string, fault string"
 
 
 def shown(value) -> str:
     """A value as it stands in a line: a plain word bare, anything else as JSON."""
-    if isinstance(value, str) and BARE.match(value) and value not in ("null", "true", "false"):
+    if type(value) is int:
+        return str(value)
+    if isinstance(value, str) and BARE.match(value) and value not in NAMES:
         return value
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return written(value)
 
 
 def fields(line: str):
     """(name, value) of each field of a line; a quoted or bracketed value is JSON and may hold blanks."""
     at = 0
     while at < len(line):
-        if line[at] == " ":
-            at += 1
-            continue
-        stop = next((i for i in range(at, len(line)) if line[i] in " ="), len(line))
-        if stop == len(line) or line[stop] == " ":
-            yield line[at:stop], None
-            at = stop
-        elif line[stop + 1 : stop + 2] in ('"', "[", "{"):
-            value, end = json.JSONDecoder().raw_decode(line, stop + 1)
-            yield line[at:stop], value
-            at = end
-        else:
-            end = line.find(" ", stop)
-            end = len(line) if end < 0 else end
-            yield line[at:stop], plain(line[stop + 1 : end])
-            at = end
+        found = FIELD.match(line, at)
+        name, quoted, word = found.groups()
+        at = found.end()
+        if quoted is not None:
+            yield name, quoted
+        elif word is not None:
+            yield name, plain(word)
+        elif line[at : at + 1] == "=":
+            value, at = held(line, at + 1)
+            yield name, value
+        elif name:
+            yield name, None
 
 
 def plain(word: str):
-    if word in ("null", "true", "false"):
+    if word in NAMES:
         return json.loads(word)
+    if BARE.match(word) and word.lower() not in NUMBERS:
+        return word
     for kind in (int, float):
         try:
             return kind(word)
@@ -63,12 +70,11 @@ def plain(word: str):
 
 def parsed(line: str, ns: str, scope: str) -> dict:
     """A record of a line, or its fault."""
-    kinds, statuses = ({v: k for k, v in m.items()} for m in (CODES, STATUS_CODES))
     out = {"ns": ns, "scope": scope, "status": "asserted", "conf": 1.0, "prov": [], "evidence": []}
     attrs = {}
     try:
         code, rid, *rest = line.split(" ", 2)
-        out |= {"kind": kinds[code], "id": rid}
+        out |= {"kind": KINDS[code], "id": rid}
         for name, value in fields(rest[0] if rest else ""):
             if name[:2] in ("~@", "~^"):
                 out["prov" if name[1] == "@" else "evidence"].append(name[2:])
@@ -77,12 +83,13 @@ def parsed(line: str, ns: str, scope: str) -> dict:
             elif name == "~c":
                 out["conf"] = float(value)
             elif name == "~s":
-                out["status"] = statuses[str(value)]
+                out["status"] = STATUSES[str(value)]
             elif not name.startswith("~"):
                 attrs[name] = value
     except (KeyError, ValueError, TypeError) as e:
         return {"fault": f"{type(e).__name__}: {e}"}
-    return out | {"attrs": json.dumps(attrs, separators=(",", ":"), ensure_ascii=False)}
+    out["attrs"] = written(attrs)
+    return out
 
 
 def encoded(records: DataFrame, ns: str = "local.default", scope: str = "project") -> DataFrame:
@@ -100,14 +107,13 @@ def encoded(records: DataFrame, ns: str = "local.default", scope: str = "project
     def run(batches):
         for b in batches:
             lines = []
-            for r in b.to_pylist():
-                parts = [r["code"], r["id"]]
-                parts += [f"~{k}={shown(r[k])}" for k in ("n", "sc") if r[k] is not None]
-                parts += [f"~c={r['c']}"] if r["c"] is not None else []
-                parts += [f"~s={r['s']}"] if r["s"] is not None else []
-                parts += [r["refs"]] if r["refs"] else []
-                parts += [f"~{k}={shown(r[k])}" for k in ("t0", "t1") if r[k] is not None]
-                parts += [f"{k}={shown(v)}" for k, v in json.loads(r["attrs"] or "{}").items()]
+            for rid, code, n, sc, c, s, refs, t0, t1, attrs in zip(*(column.to_pylist() for column in b.columns), strict=True):
+                parts = [code, rid]
+                parts += [f"~{k}={shown(x)}" for k, x in (("n", n), ("sc", sc)) if x is not None]
+                parts += [f"~{k}={x}" for k, x in (("c", c), ("s", s)) if x is not None]
+                parts += [refs] if refs else []
+                parts += [f"~{k}={shown(x)}" for k, x in (("t0", t0), ("t1", t1)) if x is not None]
+                parts += [f"{k}={shown(v)}" for k, v in json.loads(attrs or "{}").items()]
                 lines.append(" ".join(parts))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lines, pa.string())], names=["id", "value"])
 

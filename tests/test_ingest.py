@@ -101,3 +101,20 @@ def test_places_and_percentiles_of_ties_and_empty_tables(spark):
     assert [r.rank for r in placed] == list(range(1, 52)) and [(r.v, r.id) for r in placed] == sorted(((r.v, r.id) for r in placed), key=lambda x: (-x[0], x[1]))
     assert {r.g: r.value for r in ev.percentile_of(rows, "v", 0.5, "g").collect()} == {"a": 1.0, "b": 7.0}
     assert ev.percentile_of(rows.where("false"), "v", 0.5).isEmpty()
+
+
+def test_compact_fields_are_read_without_a_decoder_where_they_can_be(monkeypatch):
+    line = 'a=b c="d e" f=1 g=-2.5 h=null  i="x\\"=y" j=[1,"k l"] m n= o={"p":"q r"}z=1e3 ~@raw:1 nan=nan u=inf_x t="" '
+    got = list(compact.fields(line))
+    assert [x for x in got if x[0] != "nan"] == [
+        ("a", "b"), ("c", "d e"), ("f", 1), ("g", -2.5), ("h", None), ("i", 'x"=y'), ("j", [1, "k l"]), ("m", None), ("n", ""), ("o", {"p": "q r"}), ("z", 1000.0), ("~@raw:1", None), ("u", "inf_x"), ("t", ""),
+    ]
+    assert dict(got)["nan"] != dict(got)["nan"]
+    monkeypatch.setattr(compact, "held", None)  # plain lines need none
+    assert dict(compact.fields('t0="1995-03-04" subject=cust:1 predicate="5-low" n=7')) == {"t0": "1995-03-04", "subject": "cust:1", "predicate": "5-low", "n": 7}
+
+
+def test_compact_claims_are_read_in_one_scan(spark, data):
+    from memspark.catalogue.ingest import compact_lines
+
+    assert "Join" not in compact_lines(spark, data)._jdf.queryExecution().optimizedPlan().toString()
