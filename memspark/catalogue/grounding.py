@@ -42,7 +42,7 @@ def _index(spark, d):
     e = tables.table(spark, d, "embeddings").select(tables.tagged("part", "vec_id").alias("id"), "embedding", "label")
     text = F.when(F.col("label") == 9, "another").otherwise(gr.node_text(F.col("kind"), F.col("label_"), F.col("properties")))
     nodes = _nodes(spark, d).select("id", "kind", F.col("label").alias("label_"), "properties")
-    return e.join(nodes, "id").select("id", "embedding", gr.source_hash(text, MODEL).alias("source_hash"))
+    return e.join(nodes.hint("merge"), "id").select("id", "embedding", gr.source_hash(text, MODEL).alias("source_hash"))
 
 
 @query(NODE_TEXT_SQL + " select id, text from node_text")

@@ -430,3 +430,25 @@ def test_hops_of_large_frontiers(spark, directed):
     seeds = spark.createDataFrame([("hub",), ("lone",), ("hub",)], "id string")
     rows = lambda most: sorted(map(tuple, graph.k_hop(edges, seeds, 3, directed, most).collect()))
     assert rows(0) == rows(100) and {r[0]: r[1] for r in rows(100)}["m1"] == 2 and len(rows(100)) == 36
+
+
+def test_nearest_nodes_are_scored_before_they_meet_and_no_side_is_one_tasks(spark, data):
+    from memspark.catalogue import grounding as cg
+
+    plan = cg.node_vector_topk(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_records_of_nearest_nodes_are_looked_up_where_they_are(spark):
+    from memspark.operators import grounding as gr
+
+    near = spark.createDataFrame([("n1", 0.5), ("n2", 0.4), ("n3", 0.3)], "id string, score double")
+    nodes = spark.createDataFrame([("n1", "c1"), ("n2", None), ("n3", "gone")], "id string, source_record_id string")
+    records = spark.createDataFrame([("c1", "CLM"), ("c1", "CLM"), ("n2", "ENT"), ("x", "CLM")], "id string, kind string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        leg = gr.node_leg(near, nodes, records)
+        assert "SortMergeJoin" not in leg._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(tuple(r)[1:3] for r in leg.collect()) == [("n1", "c1"), ("n2", "n2")]
