@@ -1,5 +1,7 @@
 """Walks under budgets, by hand."""
 
+from pyspark.sql import functions as F
+
 from memspark.operators import traversal as tv
 
 
@@ -50,3 +52,22 @@ def test_places_left_go_to_records_between_reached_nodes(spark):
     hits = {r.id: round(r.score, 6) for r in tv.hits(tv.traverse(spark, relations, ids(spark, "a"), ids(spark, "b"), 1, 5, ids(spark, "rel00002")), records, records["lex"]).collect()}
     assert hits == {"a": 1.1, "rel00002": 0.35}
     assert tv.traverse(spark, relations, ids(spark), ids(spark), 3, 5).collect() == []
+
+
+def test_stores_of_relations_are_written_once_and_seeds_are_sent_to_them(spark, data):
+    from memspark.catalogue import traversal as ct
+    from memspark.operators import grounding as gr
+
+    stores = ct._stores(spark, data)
+    for rows in (stores.relations, stores.records, stores.grounding):
+        assert not [f for f in rows.inputFiles() if "lineitem" in f]
+    ends = stores.relations.select(F.col("source").alias("id"), "src", "dst")
+    seeds = spark.createDataFrame([("rel:customer:1>nation:3",), ("supplier:1",)], "id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = gr.ground_seeds(seeds, stores.entities, stores.records, stores.grounding, ends, 50)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Generate" not in plan and "SortMergeJoin" not in plan
+    assert "supplier:1" in {r.id for r in found.collect()}
