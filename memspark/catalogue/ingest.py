@@ -9,6 +9,7 @@ from memspark.functions import text as tx
 from memspark.operators import evaluation as ev
 from memspark.operators import fidelity as fi
 from memspark.operators import ingest as ig
+from memspark.scratch import materialize
 from memspark.sources import compact, tables
 
 from .registry import Registry
@@ -123,13 +124,15 @@ select o_orderkey as outcome, count(n) as checks, count(n) > 0 and coalesce(bool
 from orders left join v on k = o_orderkey and n <= o_orderkey % 4 group by o_orderkey""")
 def verified_outcomes(spark, d):
     """Outcomes that name their order's first lines as checks; an even line retries the one before."""
-    line = tables.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
+    line = tables.dealt_lines(spark, d, "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
+    line = materialize(line, "lines")  # read as checks, as retries and as what outcomes name
     vid = lambda n: F.concat_ws("-", F.col("l_orderkey").cast("string"), n.cast("string"))
     n = F.col("l_linenumber")
     v = line.select(vid(n).alias("verification"), (F.col("l_orderkey") % 5).alias("run"), F.when(F.col("l_returnflag") != "R", "passed").otherwise("failed").alias("verdict"), F.when((F.col("l_linestatus") == "F") & (n % 2 == 0), vid(n - 1)).alias("retry_of"))
     o = tables.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, -1).otherwise(F.col("o_orderkey") % 5).alias("run"))
-    named = line.select(F.col("l_orderkey").alias("o_orderkey"), n.alias("n"), vid(n).alias("verification"))
-    rows = o.join(named, (o["o_orderkey"] == named["o_orderkey"]) & (F.col("n") <= o["o_orderkey"] % 4), "left").select(o["o_orderkey"].alias("outcome"), "run", "verification")
+    parts = max(1, -(-o.count() // ig.CHECKS))
+    named = line.where(n <= F.col("l_orderkey") % 4).select(F.col("l_orderkey").alias("o_orderkey"), vid(n).alias("verification"))
+    rows = o.repartition(parts, "o_orderkey").join(named.repartition(parts, "o_orderkey").hint("merge"), "o_orderkey", "left").select(F.col("o_orderkey").alias("outcome"), "run", "verification")
     return ig.verified_outcomes(rows, v)
 
 

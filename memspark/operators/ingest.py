@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import knowledge
 
 BATCH = 10_000
+CHECKS = 500_000  # verifications of a task
 
 
 def plan_batches(items: DataFrame, stored: DataFrame, most: int = BATCH) -> DataFrame:
@@ -100,10 +101,15 @@ def appended_nodes(stored: DataFrame, added: DataFrame) -> DataFrame:
 
 def verified_outcomes(outcomes: DataFrame, verifications: DataFrame) -> DataFrame:
     """(outcome, checks, accepted) of outcomes(outcome, run, verification), a row a verification named: accepted if it names
-    some, and each is there, of its run, passed and not retried since: verifications(verification, run, verdict, retry_of)."""
-    retried = verifications.where("retry_of is not null").select(F.col("retry_of").alias("verification"), F.lit(True).alias("retried")).distinct()
+    some, and each is there, of its run, passed and not retried since: verifications(verification, run, verdict, retry_of).
+
+    Tasks are as many as verifications need; outcomes that name none are dealt by themselves, not all to one task."""
+    parts = max(1, -(-verifications.count() // CHECKS))
+    met = lambda df: df.repartition(parts, "verification").hint("merge")
+    retried = met(verifications.where("retry_of is not null").select(F.col("retry_of").alias("verification"), F.lit(True).alias("retried"))).distinct()
     v = verifications.select("verification", F.col("run").alias("of"), "verdict")
-    j = outcomes.join(v, "verification", "left").join(retried, "verification", "left")
-    good = (F.col("of") == F.col("run")) & (F.col("verdict") == "passed") & F.col("retried").isNull()
-    checks = F.count("verification")
-    return j.groupBy("outcome").agg(checks.alias("checks"), ((checks > 0) & F.bool_and(F.coalesce(good, F.lit(False)))).alias("accepted"))
+    rows = outcomes.withColumn("named", F.col("verification")).withColumn("verification", F.coalesce("verification", F.concat(F.lit("\0"), F.col("outcome").cast("string"))))
+    j = met(rows).join(met(v), "verification", "left").join(retried.hint("merge"), "verification", "left")
+    good = F.col("named").isNotNull() & (F.col("of") == F.col("run")) & (F.col("verdict") == "passed") & F.col("retried").isNull()
+    checks = F.count("named")
+    return j.select("outcome", "named", good.alias("good")).repartition(parts, "outcome").groupBy("outcome").agg(checks.alias("checks"), ((checks > 0) & F.bool_and(F.coalesce("good", F.lit(False)))).alias("accepted"))

@@ -118,3 +118,14 @@ def test_compact_claims_are_read_in_one_scan(spark, data):
     from memspark.catalogue.ingest import compact_lines
 
     assert "Join" not in compact_lines(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_outcomes_without_checks_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ig, "CHECKS", 10)
+    v = spark.range(100).select(F.concat(F.lit("v"), "id").alias("verification"), F.lit(1).alias("run"), F.lit("passed").alias("verdict"), F.lit(None).cast("string").alias("retry_of"))
+    o = spark.range(2000).select(F.col("id").alias("outcome"), F.lit(1).alias("run"), F.when(F.col("id") < 100, F.concat(F.lit("v"), "id")).alias("verification"))
+    got = ig.verified_outcomes(o, v)
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    tasks = got.withColumn("p", F.spark_partition_id()).groupBy("p").count()
+    assert tasks.count() == 10
+    assert (got.where("accepted").count(), got.where("checks = 0 and not accepted").count()) == (100, 1900)
