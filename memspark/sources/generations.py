@@ -63,10 +63,14 @@ class Generations:
         """A table, or some of its buckets; empty, with the schema given, if there is none of it."""
         held = self.manifest(generation).get(name)
         if held is None:
-            return self.spark.createDataFrame([], schema)
+            return self._nothing(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
         kind = StructType.fromJson(held["schema"])
         paths = [p for b, own in held["files"].items() if buckets is None or int(b) in buckets for p in own]
-        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self._nothing(kind)
+
+    def _nothing(self, kind: StructType) -> DataFrame:
+        """No rows, and known to have none: joins with them are planned away, and no task starts Python for them."""
+        return self.spark.range(0).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind])
 
     def stage(self, name: str, rows: DataFrame, key: str) -> dict:
         """Write rows by bucket of a key into a new folder that no manifest names yet. A bucket is as many tasks' as there are

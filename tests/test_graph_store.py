@@ -209,3 +209,14 @@ def test_common_values_and_buckets_are_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "store").rglob("part-*.parquet"))) > 1 and list(staged["files"]) == ["0"]
+
+
+def test_tables_that_are_not_there_cost_no_tasks(spark, tmp_path):
+    from memspark.sources import graph_store as gs
+    from memspark.sources.generations import Generations
+
+    store = Generations(spark, f"file://{tmp_path}/store", 4)
+    for name, ddl in gs.SCHEMAS.items():
+        rows = gs.read(store, name)
+        assert rows.schema == spark.createDataFrame([], ddl).schema
+        assert rows.rdd.getNumPartitions() == 0 and rows.count() == 0
