@@ -346,6 +346,19 @@ def test_supply_groups_are_held_by_few_rows_a_task(spark, data, monkeypatch):
     assert "l_partkey" not in "".join(x for x in tables.supply_ends(spark, data)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "l_suppkey" in x and "Aggregate" in x)
 
 
+def test_both_ends_of_an_edge_come_from_one_reading(spark, data):
+    """Degrees and motifs with a loop, a repeated edge and a null end; line items are grouped once, not once an end."""
+    from memspark.catalogue import graph as cg
+
+    edges = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "b"), ("b", None)], "src string, dst string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "id string")
+    assert rows(graph.degrees(nodes, edges)) == sorted([("a", 4), ("b", 3), ("c", 0), (None, 0)], key=repr)
+    assert rows(graph.motifs(edges)) == [("edge", 4), ("fork", 3), ("join", 1), ("path", 3 * 1 + 1 * 2)]
+    for made in (cg.degree_stats,):
+        plan = made(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [l_orderkey") == 1
+
+
 def test_large_frontiers_are_not_broadcast(spark, monkeypatch):
     """Three hops from a hub's leaf, with frontiers above the bound: no hop's plan broadcasts a frontier or what was seen."""
     edges = spark.range(60).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst"))
