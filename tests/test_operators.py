@@ -354,7 +354,7 @@ def test_both_ends_of_an_edge_come_from_one_reading(spark, data):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "id string")
     assert rows(graph.degrees(nodes, edges)) == sorted([("a", 4), ("b", 3), ("c", 0), (None, 0)], key=repr)
     assert rows(graph.motifs(edges)) == [("edge", 4), ("fork", 3), ("join", 1), ("path", 3 * 1 + 1 * 2)]
-    for made in (cg.degree_stats,):
+    for made in (cg.degree_stats, cg.graph_motifs):
         plan = made(spark, data)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [l_orderkey") == 1
 
