@@ -24,13 +24,12 @@ select split_part(id, ':', 1) as kind, count(*) as n from n where id not in (sel
 def eligible_transitive(spark, d):
     """Lines refer to claims, claims to customers; a superseded claim takes its lines along."""
     claims = tables.claim_records(spark, d)
-    line = tables.table(spark, d, "lineitem")
-    lines = line.select(F.concat_ws(":", F.lit("line"), "l_orderkey", "l_linenumber").alias("id"), tables.tagged("clm", "l_orderkey").alias("ref"))
-    people = tables.table(spark, d, "customer").select(tables.tagged("cust", "c_custkey").alias("id"), F.lit(True).alias("current"))
-    records = claims.select("id", pq.current(F.col("status")).alias("current")).unionByName(lines.select("id", F.lit(True).alias("current"))).unionByName(people)
-    references = lines.unionByName(claims.select("id", F.col("subject").alias("ref")))
-    kept = graph.eligible(records, references)
-    return kept.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    line = tables.table(spark, d, "lineitem").dropna(subset=["l_orderkey", "l_linenumber"])  # what lacks a key has no id
+    lines = line.select(F.concat_ws(":", F.lit("line"), "l_orderkey", "l_linenumber").alias("id"), F.lit(True).alias("current"), tables.tagged("clm", "l_orderkey").alias("ref"), F.lit("line").alias("kind"))
+    people = tables.table(spark, d, "customer").select(tables.tagged("cust", "c_custkey").alias("id"), F.lit(True).alias("current"), F.lit("cust").alias("kind"))
+    records = claims.select("id", pq.current(F.col("status")).alias("current"), F.lit("clm").alias("kind")).unionByName(people).where("id is not null")
+    kept = graph.eligible(records, claims.select("id", F.col("subject").alias("ref")), lines)  # a line's id has its claim's key
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select distinct lang as ns from documents order by ns limit 100")

@@ -359,6 +359,40 @@ def test_both_ends_of_an_edge_come_from_one_reading(spark, data):
         assert plan.count("Relation [l_orderkey") == 1
 
 
+def test_eligible_rounds_and_leaves_agree_with_a_closure(spark):
+    """Chains, a cycle, ids of one row and of several that disagree, ids without a kind, null references; with ids sent and merged."""
+    draw = random.Random(5)
+    names = [f"{kind}:{n}" for kind in ("a", "b", "c") for n in range(12)] + ["plain", "d:1"]
+    for some, bound in ((names, 0), ([*names, *(f"k{n}:x" for n in range(120))], 100_000)):  # too many kinds to tell apart
+        made = [(n, draw.random() > 0.15) for n in some] + [("b:1", True), ("b:1", False), ("d:1", None)]
+        refs = [(draw.choice(some), draw.choice(some)) for _ in range(len(some) // 2)] + [("a:1", "a:2"), ("a:2", "a:1"), ("a:3", None), ("c:1", "gone:1")]
+        under = [(f"leaf:{n}", draw.random() > 0.1, draw.choice([*some, None])) for n in range(40)]
+        bad = {i for i, current in made if current is False}
+        while more := {i for i, r in refs if r in bad} - bad:
+            bad |= more
+        want = sorted([(i,) for i, _ in made if i not in bad] + [(i,) for i, current, r in under if current and r not in bad])
+        records, references = spark.createDataFrame(made, "id string, current boolean"), spark.createDataFrame(refs, "id string, ref string")
+        leaves = spark.createDataFrame(under, "id string, current boolean, ref string")
+        assert rows(graph.eligible(records, references, leaves, bound)) == sorted(want, key=repr)
+        if not bound:
+            assert rows(graph.eligible(records.unionByName(leaves.drop("ref")), references.unionByName(leaves.select("id", "ref")))) == sorted(want, key=repr)
+
+
+def test_eligible_transitive_reads_lines_once_and_merges_many_ids(spark, data, monkeypatch):
+    """No round carries line items along; ids above the bound are not broadcast because their files are small."""
+    from memspark.catalogue import state
+
+    plans, write, whole = [], graph.materialize, graph.eligible
+    monkeypatch.setattr(graph, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, name))[1])
+    want = rows(state.eligible_transitive(spark, data))
+    assert "l_orderkey" not in "".join(plans)
+    monkeypatch.setattr(graph, "eligible", lambda *tables: whole(*tables, broadcast_rows=0))
+    found = state.eligible_transitive(spark, data)
+    plan = found._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Relation [l_orderkey") == 1 and "Broadcast" not in plan.executedPlan().toString()
+    assert rows(found) == want
+
+
 def test_large_frontiers_are_not_broadcast(spark, monkeypatch):
     """Three hops from a hub's leaf, with frontiers above the bound: no hop's plan broadcasts a frontier or what was seen."""
     edges = spark.range(60).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst"))
