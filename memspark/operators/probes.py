@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memspark.scratch import materialize
+from memspark.scratch import materialize, sent
 
 from . import graph
 
@@ -27,11 +27,11 @@ def probe(motif: Column | str, query: Column, expected: Column, sources: Column,
     ]
 
 
-def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends among nodes, and their labels."""
-    for end in ("src", "dst"):
-        edges = edges.join(nodes.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end)
-    return edges
+def labelled(rows: DataFrame, nodes: DataFrame, n: int, *ends: str) -> DataFrame:
+    """Rows with all their ends among n nodes, and the labels of these."""
+    for end in ends:
+        rows = rows.join(sent(nodes.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), n), end)
+    return rows
 
 
 def paths(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def paths(edges: DataFrame) -> DataFrame:
     out = out.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= CONTINUATIONS)
     out = out.select(F.col("src").alias("middle"), F.col("id").alias("second"), F.col("dst").alias("end"), F.col("source").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     into = edges.select(F.col("src").alias("start"), F.col("dst").alias("middle"), F.col("id").alias("first"), F.col("source").alias("a"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    both = into.join(out, ["middle", "salt"]).where("start != middle and middle != end and start != end")
+    both = into.join(out.hint("merge"), ["middle", "salt"]).where("start != middle and middle != end and start != end")
     return both.select("first", "second", "start", "middle", "end", F.array("a", "b").alias("sources"))
 
 
@@ -52,7 +52,8 @@ def generated(nodes: DataFrame, edges: DataFrame, links: DataFrame, trust: DataF
     two-edge paths, provenance, and claims without evidence that must not be asserted. Of probes of one family with the same
     answer the first counts, by the id of its edge or episode."""
     nodes = materialize(nodes.select("id", "label", "source", "facets"), "nodes")
-    edges = materialize(labelled(edges.select("id", "src", "predicate", "dst", "edge_kind", "source"), nodes), "edges")
+    n = nodes.count()  # of written rows
+    edges = materialize(labelled(edges.select("id", "src", "predicate", "dst", "edge_kind", "source"), nodes, n, "src", "dst"), "edges")
     facets = F.filter(F.array(*map(F.lit, FACETS)), lambda f: F.array_contains("facets", f))
     asked = nodes.where(F.size(F.array_distinct("facets")) > 1)
     out = asked.select(F.col("id").alias("by"), *probe("five_w_one_h_then", F.concat(F.lit("Recover the "), F.array_join(facets, ", "), F.lit(" context for "), "label"), F.array("id"), F.array("source")))
@@ -64,23 +65,21 @@ def generated(nodes: DataFrame, edges: DataFrame, links: DataFrame, trust: DataF
     action = F.when(F.col("family") == "contradiction", "surface_dispute").otherwise("retrieve")
     out = out.unionByName(typed.select(F.col("id").alias("by"), *probe(F.col("family"), said, F.array("src", "dst"), F.array("source"), action)))
 
-    hops = paths(edges)
-    for end in ("start", "middle", "end"):
-        hops = hops.join(nodes.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end)
+    hops = labelled(paths(edges), nodes, n, "start", "middle", "end")
     trace = F.concat(F.lit("Trace from "), "start_label", F.lit(" through "), "middle_label", F.lit(" to "), "end_label")
     out = out.unionByName(hops.select(F.concat_ws(" ", "first", "second").alias("by"), *probe("multi_hop", trace, F.array("start", "middle", "end"), F.col("sources"))))
 
-    held = links.select(F.col("node").alias("id"), "episode", F.col("source").alias("from")).join(nodes.select("id", "label"), "id")
+    held = links.select(F.col("node").alias("id"), "episode", F.col("source").alias("from")).join(sent(nodes.select("id", "label"), n), "id")
     which = F.concat(F.lit("Which episode supports or produced "), "label", F.lit("?"))
     out = out.unionByName(held.select(F.col("episode").alias("by"), *probe("provenance", which, F.array("id"), F.array("from"), episodes=F.array("episode"))))
 
-    bare = trust.where("state = 'unverified'").select("id").distinct().join(nodes, "id")
+    bare = trust.where("state = 'unverified'").select("id").distinct().join(sent(nodes, n), "id")
     asserted = F.concat(F.lit("Can this be asserted as established knowledge: "), "label", F.lit("?"))
     out = out.unionByName(bare.select(F.col("id").alias("by"), *probe("unsupported", asserted, F.array("id"), F.array("source"), "abstain_or_qualify")))
 
     rest = [c for c in out.columns if c not in ("by", "motif", "expected")]
     # Answers hardly repeat: probes meet before they are sorted, not after, and few a task, so that none spills.
-    parts = max(1, -(-3 * (nodes.count() + edges.count()) // PROBES))  # of written rows
+    parts = max(1, -(-3 * (n + edges.count()) // PROBES))  # of written rows
     met = out.where(F.size("expected") > 0).repartition(parts, "motif", "expected")
     one = met.groupBy("motif", "expected").agg(F.min(F.struct("by", *rest)).alias("x")).select("motif", "expected", *[F.col(f"x.{c}") for c in rest])
     material = F.concat_ws("\x1f", "motif", "query", F.array_join("expected", "\x1e"), F.array_join("sources", "\x1e"), F.array_join("episodes", "\x1e"), "action")

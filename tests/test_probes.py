@@ -80,3 +80,17 @@ def test_probes_meet_before_they_are_sorted(spark):
     found = made(spark, [("a", "A", "ra", ["who", "then"])], [])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "Exchange hashpartitioning(motif" not in plan
+
+
+def test_many_nodes_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Ids compress so well that the files of millions of nodes are small enough for Spark to gather them on the driver."""
+    from memspark import scratch
+
+    nodes = [(i, i.upper(), f"r{i}", ["who", "then"]) for i in "abc"]
+    edges = [("e1", "a", "causes", "b", "semantic", "r1"), ("e2", "b", "before", "c", "semantic", "r2")]
+    few = made(spark, nodes, edges, [("b", "ep1", "q1")], [("a", "unverified")])
+    monkeypatch.setattr(scratch, "FEW", 2, raising=False)
+    many = made(spark, nodes, edges, [("b", "ep1", "q1")], [("a", "unverified")])
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect())) and few.count() == 8
