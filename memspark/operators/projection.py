@@ -91,21 +91,24 @@ def facets() -> dict[str, Column]:
 def references(records: DataFrame) -> DataFrame:
     """source, kind, ns, scope, role, value, required: a row for each thing that a record names, without blank ones."""
     kind = F.col("kind")
+    listed = lambda role: F.transform(F.coalesce(F.col(role), F.array().cast("array<string>")), text).alias(role)
+    needed = {
+        "subject": F.when(kind == "CLM", attr("subject")),
+        "src": F.when(kind.isin("REL", "FLOW"), attr("src")),
+        "dst": F.when(kind.isin("REL", "FLOW"), attr("dst")),
+        "actor": F.when(kind == "EVT", attr("actor", "subject")),
+        "target": F.when(kind == "STA", attr("target", "subject")),
+        "raw_id": F.when(kind == "SPAN", attr("raw_id")),
+        "entity": F.when(kind == "PROV", attr("entity")),
+        **{p: F.coalesce(text(F.col("ext")[p]), attr(p)) for p in RECONCILING},
+    }
+    free = {"object": F.when(kind.isin("CLM", "EVT"), attr("object")), **facets()}
+    # Values become columns first: a generator works out anew all that its input mentions.
+    rows = records.select(F.col("id").alias("source"), "kind", "ns", "scope", listed("prov"), listed("evidence"), *[v.alias(role) for role, v in (needed | free).items()])
     ref = lambda role, value, required: F.struct(F.lit(role).alias("role"), value.alias("value"), F.lit(required).alias("required"))
-    listed = lambda role: F.transform(F.coalesce(F.col(role), F.array().cast("array<string>")), lambda x: ref(role, text(x), True))
-    own = [
-        ref("subject", F.when(kind == "CLM", attr("subject")), True),
-        ref("object", F.when(kind.isin("CLM", "EVT"), attr("object")), False),
-        ref("src", F.when(kind.isin("REL", "FLOW"), attr("src")), True),
-        ref("dst", F.when(kind.isin("REL", "FLOW"), attr("dst")), True),
-        ref("actor", F.when(kind == "EVT", attr("actor", "subject")), True),
-        ref("target", F.when(kind == "STA", attr("target", "subject")), True),
-        ref("raw_id", F.when(kind == "SPAN", attr("raw_id")), True),
-        ref("entity", F.when(kind == "PROV", attr("entity")), True),
-        *[ref(name, value, False) for name, value in facets().items()],
-        *[ref(p, F.coalesce(text(F.col("ext")[p]), attr(p)), True) for p in RECONCILING],
-    ]
-    rows = records.select(F.col("id").alias("source"), "kind", "ns", "scope", F.inline(F.concat(F.array(*own), listed("prov"), listed("evidence"))))
+    own = [ref(role, F.col(role), role in needed) for role in needed | free]
+    cited = lambda role: F.transform(role, lambda x: ref(role, x, True))
+    rows = rows.select("source", "kind", "ns", "scope", F.inline(F.concat(F.array(*own), cited("prov"), cited("evidence"))))
     return rows.where(F.col("value").isNotNull())
 
 
@@ -119,7 +122,7 @@ def gist(records: DataFrame) -> DataFrame:
 def wanted(named: DataFrame, known: DataFrame) -> DataFrame:
     """(ref, source): the records that a projection of references looks at, there or not, sources of what is quoted included."""
     direct = named.select(F.col("value").alias("ref"), "source")
-    quoted = direct.join(known.where("raw is not null").select("ref", "raw"), "ref").select(F.col("raw").alias("ref"), "source")
+    quoted = direct.join(known.where("raw is not null").select("ref", "raw").hint("merge"), "ref").select(F.col("raw").alias("ref"), "source")
     return direct.unionByName(quoted).distinct()
 
 
@@ -127,7 +130,7 @@ def looked_up(named: DataFrame, known: DataFrame, often: int = 50_000) -> DataFr
     """named(value, ...) with what is known(value, ...) of each value. A value that more than `often` rows name, as a status is
     of a third of all claims, would be one task's; there are few of these, so what is known of them is sent to their rows."""
     common = F.broadcast(materialize(named.groupBy("value").count().where(F.col("count") > often).select("value"), "common"))
-    rare = named.join(common, "value", "left_anti").join(known, "value", "left")
+    rare = named.join(common, "value", "left_anti").join(known.hint("merge"), "value", "left")
     return rare.unionByName(named.join(common, "value", "left_semi").join(F.broadcast(known.join(common, "value", "left_semi")), "value", "left"))
 
 
@@ -137,6 +140,9 @@ def project(records: DataFrame, named: DataFrame, known: DataFrame) -> Projectio
 
     A name that is a record's id is that record. Otherwise a required one is an unresolved reference, and any other a value,
     the same node for the same text but for case and white space in one boundary. Edges without two different ends are left out.
+
+    All that is joined is as large as the change, so it is merged: left alone, Spark goes by the size of files, and ids compress so
+    well that millions of rows would be gathered on the driver.
     """
     squashed = F.regexp_replace("value", r"\s+", " ")
     kinds = F.create_map(*[F.lit(x) for pair in NODE_KINDS.items() for x in pair])
@@ -155,15 +161,15 @@ def project(records: DataFrame, named: DataFrame, known: DataFrame) -> Projectio
         F.col("id").alias("source"), "ns", "scope", "status", F.col("conf").alias("confidence"), F.col("t0").alias("valid_from"), F.col("t1").alias("valid_to"),
         "created_at", "updated_at", F.when(F.col("status").isin(*EXCLUDED), F.col("updated_at")).alias("expired_at"), text(F.col("agent")).alias("agent"),
     )
-    edges = materialize(ends_of(records, refs, agents).join(facts, "source"), "edges")
+    edges = materialize(ends_of(records, refs, agents).join(facts.hint("merge"), "source"), "edges")
     episodes = episodes_of(records, refs, known)
     nodes = refs.select("source", "node").unionByName(agents.select("source", "node")).unionByName(records.select(F.col("id").alias("source"), F.col("id").alias("node")))
-    links = materialize(nodes.distinct().join(episodes, "source").select("node", "episode", "source"), "links")
+    links = materialize(nodes.repartition("source").distinct().join(episodes.hint("merge"), "source").select("node", "episode", "source"), "links")
 
     told = refs.where(F.col("node_kind").isin("value", "unresolved_reference")).select("node", F.col("node_kind").alias("kind"), F.col("node_label").alias("label"), "source")
-    told = told.unionByName(agents.select("node", F.lit("agent").alias("kind"), F.col("name").alias("label"), "source")).distinct()
-    joined = edges.select("source", F.explode(F.array("src", "dst")).alias("node")).unionByName(links.select("source", "node")).distinct()
-    synthetic = told.join(joined, ["source", "node"], "left_semi").select("node", "kind", "label", F.lit(True).alias("synthetic"), "source")
+    told = told.unionByName(agents.select("node", F.lit("agent").alias("kind"), F.col("name").alias("label"), "source")).repartition("source").distinct()
+    joined = edges.select("source", F.explode(F.array("src", "dst")).alias("node")).unionByName(links.select("source", "node")).repartition("source")
+    synthetic = told.join(joined.hint("merge"), ["source", "node"], "left_semi").select("node", "kind", "label", F.lit(True).alias("synthetic"), "source")
     real = records.select(F.col("id").alias("node"), kinds[F.col("kind")].alias("kind"), projections.label().alias("label"), F.lit(False).alias("synthetic"), F.col("id").alias("source"))
     return Projection(edges, links, terms_of(records, refs, agents), real.unionByName(synthetic), wanted(named, known))
 
@@ -171,7 +177,11 @@ def project(records: DataFrame, named: DataFrame, known: DataFrame) -> Projectio
 def ends_of(records: DataFrame, refs: DataFrame, agents: DataFrame) -> DataFrame:
     """source, id, src, predicate, dst, edge_kind of the edges that records make, each once."""
     role, kind = F.col("role"), F.col("kind")
-    one = refs.join(records.select(F.col("id").alias("source"), attr("activity").alias("activity")), "source").join(agents.select("source", F.col("node").alias("by")), "source", "left")
+    done = records.where("kind = 'PROV'").select(F.col("id").alias("source"), attr("activity").alias("activity"))
+    done = done.join(agents.select("source", F.col("node").alias("by")).hint("merge"), "source", "left")
+    entities = refs.where(role == "entity").join(done.hint("merge"), "source")  # only these look at more of their record
+    nothing = F.lit(None).cast("string")
+    one = refs.where(role != "entity").withColumns({"activity": nothing, "by": nothing}).unionByName(entities)
     predicate = (
         F.when(role.isin("prov", "evidence"), F.when(role == "prov", "provenance").otherwise("evidence"))
         .when(role == "subject", "about").when(role.isin("object", "dst"), "object").when(role == "src", "subject").when(role == "actor", "participated_in")
@@ -189,15 +199,18 @@ def ends_of(records: DataFrame, refs: DataFrame, agents: DataFrame) -> DataFrame
         "source", F.when(into, F.col("node")).otherwise(origin).alias("src"), predicate.alias("predicate"), F.when(into, F.col("source")).otherwise(F.col("node")).alias("dst"), base.alias("base")
     )
     pick = lambda names: F.max(F.when(role.isin(*names), F.col("node")))
-    pairs = refs.where(kind.isin("CLM", "REL", "FLOW")).groupBy("source").agg(pick(ENDS[0]).alias("src"), pick(ENDS[1]).alias("dst"))
+    ends = refs.where(kind.isin("CLM", "REL", "FLOW") & role.isin(*ENDS[0], *ENDS[1]))
+    pairs = ends.repartition("source").groupBy("source").agg(pick(ENDS[0]).alias("src"), pick(ENDS[1]).alias("dst"))
     named = F.coalesce(attr("predicate"), F.when(kind == "CLM", "asserts").when(kind == "REL", "related_to").otherwise("flows_to"))
-    double = pairs.join(records.select(F.col("id").alias("source"), named.alias("predicate")), "source").select("source", "src", "predicate", "dst", F.lit("semantic").alias("base"))
+    double = pairs.join(records.select(F.col("id").alias("source"), named.alias("predicate")).hint("merge"), "source").select("source", "src", "predicate", "dst", F.lit("semantic").alias("base"))
     by = agents.select("source", F.col("node").alias("src"), F.lit("contributed").alias("predicate"), F.col("source").alias("dst"), F.lit("provenance").alias("base"))
     rows = single.unionByName(double).unionByName(by).where("src is not null and dst is not null and src != dst")
     family = graph.family(F.col("predicate"))
     rows = rows.withColumn("edge_kind", F.when((F.col("base") == "semantic") & (family != "semantic"), family).otherwise(F.col("base")))
     named = F.concat(F.lit("kge:"), F.left(F.sha2(F.concat_ws("\x1f", "source", "src", "predicate", "dst", "edge_kind"), 256), F.lit(24)))
-    return rows.select("source", named.alias("id"), "src", "predicate", "dst", "edge_kind").distinct()
+    # Edges hardly repeat, and only within a record: dealt once, by records, which they meet there too.
+    rows = rows.select("source", "src", "predicate", "dst", "edge_kind").repartition("source").distinct()
+    return rows.select("source", named.alias("id"), "src", "predicate", "dst", "edge_kind")
 
 
 def episodes_of(records: DataFrame, refs: DataFrame, known: DataFrame) -> DataFrame:
@@ -207,8 +220,8 @@ def episodes_of(records: DataFrame, refs: DataFrame, known: DataFrame) -> DataFr
     cited = refs.where(F.col("role").isin("prov", "evidence") & F.col("raw").isNotNull()).select("source", "raw")
     spanned = refs.where("role = 'raw_id'").select("source", F.col("value").alias("raw"))
     there = known.select(F.col("ref").alias("raw"))
-    quoted = own.unionByName(cited.unionByName(spanned).join(there, "raw", "left_semi").select("source", "raw")).distinct()
-    alone = records.where(F.col("kind").isin(*DIRECT) & text(F.col("agent")).isNotNull()).select(F.col("id").alias("source")).join(quoted, "source", "left_anti")
+    quoted = own.unionByName(cited.unionByName(spanned).join(there.hint("merge"), "raw", "left_semi").select("source", "raw")).distinct()
+    alone = records.where(F.col("kind").isin(*DIRECT) & text(F.col("agent")).isNotNull()).select(F.col("id").alias("source")).join(quoted.hint("merge"), "source", "left_anti")
     return quoted.select("source", episode_of(F.col("raw")).alias("episode")).unionByName(alone.select("source", episode_of(F.concat(F.lit("direct:"), "source")).alias("episode")))
 
 

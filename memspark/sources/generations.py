@@ -51,13 +51,17 @@ class Generations:
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def touched(self, *keys: DataFrame) -> list[int]:
-        """The buckets that the keys (one column each) lie in: at most `buckets` numbers."""
+    def counted(self, *keys: DataFrame) -> dict[int, int]:
+        """The buckets that the keys (one column each) lie in, and how many do: at most `buckets` pairs."""
         found = None
         for k in keys:
             own = k.select(self.bucket(F.col(k.columns[0])).alias("b"))
             found = own if found is None else found.unionByName(own)
-        return sorted(r[0] for r in found.distinct().collect())
+        return dict(sorted(tuple(r) for r in found.groupBy("b").count().collect()))
+
+    def touched(self, *keys: DataFrame) -> list[int]:
+        """The buckets that the keys lie in."""
+        return list(self.counted(*keys))
 
     def read(self, name: str, buckets: list[int] | None = None, schema: StructType | str | None = None, generation: int | None = None) -> DataFrame:
         """A table, or some of its buckets; empty, with the schema given, if there is none of it."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memspark.operators import projection as pj
-from memspark.scratch import materialize
+from memspark.scratch import materialize, sent
 
 from .generations import Generations
 
@@ -48,8 +48,9 @@ def nodes(store: Generations) -> DataFrame:
 
 def of(store: Generations, name: str, ids: DataFrame, key: str) -> DataFrame:
     """A table's rows with one of ids (one column), from the buckets that these lie in alone."""
-    rows = read(store, name, store.touched(ids))
-    return rows.join(ids.toDF(key).distinct(), key, "left_semi").select(*columns(name))
+    there = store.counted(ids)
+    rows = read(store, name, list(there))
+    return rows.join(sent(ids.toDF(key).distinct(), sum(there.values())), key, "left_semi").select(*columns(name))
 
 
 def staged(store: Generations, changed: DataFrame, removed: DataFrame | None = None) -> tuple[dict, dict]:
@@ -58,28 +59,31 @@ def staged(store: Generations, changed: DataFrame, removed: DataFrame | None = N
 
     Read and written are the buckets of the records that changed or named what changed; tallies and wants only grow."""
     changed = materialize(changed.select(*columns("records")), "changed")
-    gone = changed.select("id") if removed is None else changed.select("id").unionByName(removed.select("id")).distinct()
+    gone = changed.select("id") if removed is None else materialize(changed.select("id").unionByName(removed.select("id")).distinct(), "gone")
+    within = store.counted(gone)
+    left = sent(gone, sum(within.values()))
     old = materialize(of(store, "records", gone, "id"), "old")
     before, after = (pj.gist(x).withColumn("g", F.struct("ref_kind", "ref_label", "raw")).select("ref", "g") for x in (old, changed))
     altered = before.join(after.withColumnRenamed("g", "h"), "ref", "full_outer").where(~F.col("g").eqNullSafe(F.col("h"))).select("ref")
-    followers = of(store, "wants", materialize(altered, "altered"), "ref").select(F.col("source").alias("id")).distinct().join(gone, "id", "left_anti")
+    followers = of(store, "wants", materialize(altered, "altered"), "ref").select(F.col("source").alias("id")).distinct().join(left, "id", "left_anti")
     followers = materialize(of(store, "records", materialize(followers, "followers"), "id"), "following")
     todo = changed.unionByName(followers)  # both written
     sources = materialize(gone.unionByName(followers.select("id")), "sources")
+    touched = store.counted(sources)
+    buckets, own = list(touched), sent(sources.toDF("source"), sum(touched.values()))
 
     def gist_of(refs: DataFrame) -> DataFrame:
-        there = of(store, "records", refs, "id").join(gone, "id", "left_anti")
-        new = changed.join(refs.toDF("id").distinct(), "id", "left_semi")
+        there = of(store, "records", refs, "id").join(left, "id", "left_anti")
+        new = changed.join(sent(refs.toDF("id"), refs.count()), "id", "left_semi")
         return pj.gist(there.unionByName(new))
 
     named = materialize(pj.references(todo), "named")
-    values = named.select("value").distinct()
+    values = materialize(named.select("value").distinct(), "values")
     direct = materialize(gist_of(values), "known")
-    further = direct.where("raw is not null").select("raw").join(values.toDF("raw"), "raw", "left_anti").distinct()
-    known = materialize(direct.unionByName(gist_of(further)), "known")
+    further = direct.where("raw is not null").select("raw").join(sent(values.toDF("raw"), values.count()), "raw", "left_anti").distinct()
+    known = materialize(direct.unionByName(gist_of(materialize(further, "further"))), "known")
 
     new = pj.project(todo, named, known)
-    buckets, own = store.touched(sources), sources.toDF("source")
     replaced, was = {}, None
     for name, key in OWNED.items():
         held = read(store, name, buckets)
@@ -89,8 +93,8 @@ def staged(store: Generations, changed: DataFrame, removed: DataFrame | None = N
             was = pj.tally(held.join(own, "source", "left_semi")).withColumn("n", -F.col("n"))
             added = pj.tally(mine).unionByName(was).groupBy("node", "kind", "label", "synthetic").agg(F.sum("n").alias("n")).where("n != 0")
         replaced[name] = (store.stage(name, held.join(own, "source", "left_anti").select(*held.columns).unionByName(mine), key), buckets)
-    kept = read(store, "records", store.touched(gone)).join(gone, "id", "left_anti").select(*changed.columns)
-    replaced["records"] = (store.stage("records", kept.unionByName(changed), "id"), store.touched(gone))
+    kept = read(store, "records", list(within)).join(left, "id", "left_anti").select(*changed.columns)
+    replaced["records"] = (store.stage("records", kept.unionByName(changed), "id"), list(within))
     return replaced, {"tallies": store.stage("tallies", added, "node"), "wants": store.stage("wants", new.wants, "ref")}
 
 

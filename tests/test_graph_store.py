@@ -220,3 +220,20 @@ def test_tables_that_are_not_there_cost_no_tasks(spark, tmp_path):
         rows = gs.read(store, name)
         assert rows.schema == spark.createDataFrame([], ddl).schema
         assert rows.rdd.getNumPartitions() == 0 and rows.count() == 0
+
+
+def test_many_ids_are_not_sent_to_all_tasks(spark, store, monkeypatch):
+    """Files of ids are so small that Spark, left alone, gathers millions of them on the driver."""
+    from memspark import scratch
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    table = rows(spark, [rec(f"clm:{i}", "CLM", {"subject": "ent:1", "predicate": "likes", "object": "tea"}, evidence=["span:1"]) for i in range(6)])
+    store.commit(0, {"records": (store.stage("records", table, "id"), None)})
+    ids = scratch.materialize(spark.createDataFrame([("clm:1",), ("clm:4",), ("gone",)], "id string"), "ids")
+    assert "Broadcast" in plan(gs.of(store, "records", ids, "id"))
+    monkeypatch.setattr(scratch, "FEW", 2, raising=False)
+    found = gs.of(store, "records", ids, "id")
+    assert "Broadcast" not in plan(found) and sorted(r.id for r in found.collect()) == ["clm:1", "clm:4"]
+    named, known = pj.references(table), pj.gist(rows(spark, [rec("span:1", "SPAN", {"raw_id": "raw:1"})]))
+    quoted = pj.wanted(named, known)
+    assert "Broadcast" not in plan(quoted) and {r.source for r in quoted.where("ref = 'raw:1'").collect()} == {f"clm:{i}" for i in range(6)}
